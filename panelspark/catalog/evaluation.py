@@ -152,7 +152,7 @@ add("prune_correlated",
     lambda s, d: (lambda p: s.createDataFrame([(f,) for f in ev.prune_correlated(p, list(_FEATS), 0.3)], "feature string"))(feature_panel(s, d)), None)
 
 # --- return series -----------------------------------------------------------------------------------------------
-_P = ["n_days", "cagr", "ann_vol", "sharpe", "sortino", "win_rate", "total_return", "max_drawdown", "calmar"]
+_P = ["n_days", "cagr", "ann_vol", "sharpe", "sortino", "win_rate", "log_growth", "max_drawdown", "calmar"]
 
 
 def _rets(s, d):
@@ -163,12 +163,12 @@ cte("rets_s", "SELECT strategy, date, ret / 100 AS ret FROM rets")
 cte("navs", "SELECT *, nav / max(nav) OVER (PARTITION BY strategy ORDER BY date) - 1 AS drawdown FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY date)) AS nav FROM rets_s)")
 cte("perf_a", """SELECT strategy, count(*) AS n_days, exp(sum(ln(1 + ret))) AS g, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS down,
     avg(CASE WHEN ret > 0 THEN 1 WHEN ret < 0 THEN 0 END) AS win_rate, min(drawdown) AS max_drawdown FROM navs GROUP BY 1""")
-cte("perf", """SELECT strategy, n_days, pow(g, 252.0::DOUBLE / n_days) - 1 AS cagr, sd * sqrt(252) AS ann_vol, m / sd * sqrt(252) AS sharpe, m / down * sqrt(252) AS sortino, win_rate, g - 1 AS total_return,
+cte("perf", """SELECT strategy, n_days, pow(g, 252.0::DOUBLE / n_days) - 1 AS cagr, sd * sqrt(252) AS ann_vol, m / sd * sqrt(252) AS sharpe, m / down * sqrt(252) AS sortino, win_rate, g - 1 AS total_return, ln(g) AS log_growth,
     max_drawdown, (pow(g, 252.0::DOUBLE / n_days) - 1) / abs(max_drawdown) AS calmar FROM perf_a""")
 _psql = ", ".join(f"{r(x)} AS {x}" for x in _P[1:])
-add("return_metrics", lambda s, d: ev.performance_by(_rets(s, d)).select("strategy", "n_days", *[rc(x).alias(x) for x in _P[1:]]), f"SELECT strategy, n_days, {_psql} FROM perf", dates="")
+add("return_metrics", lambda s, d: ev.performance_by(_rets(s, d)).withColumn("log_growth", F.log1p("total_return")).select("strategy", "n_days", *[rc(x).alias(x) for x in _P[1:]]), f"SELECT strategy, n_days, {_psql} FROM perf", dates="")
 add("win_rate", lambda s, d: _rets(s, d).groupBy("strategy").agg(rc(ev.return_stats()["win_rate"]).alias("win_rate")), f"SELECT strategy, {r('win_rate')} AS win_rate FROM perf", dates="")
-add("nav_drawdown", lambda s, d: ev.nav_drawdown(_rets(s, d)).select("strategy", "date", rc("nav").alias("nav"), rc("drawdown").alias("drawdown")), f"SELECT strategy, date, {r('nav')} AS nav, {r('drawdown')} AS drawdown FROM navs")
+add("nav_drawdown", lambda s, d: ev.nav_drawdown(_rets(s, d)).select("strategy", "date", rc(F.log("nav")).alias("log_nav"), rc("drawdown").alias("drawdown")), f"SELECT strategy, date, {r('ln(nav)')} AS log_nav, {r('drawdown')} AS drawdown FROM navs")
 add("performance_by", lambda s, d: ev.against_benchmark(ev.performance_by(_rets(s, d)), "Brand#1").select("strategy", rc("sharpe").alias("sharpe"), "beats_sharpe", "beats_return", "smaller_drawdown"),
     f"""SELECT p.strategy, {r('p.sharpe')} AS sharpe, p.sharpe > q.sharpe AS beats_sharpe, p.total_return > q.total_return AS beats_return, p.max_drawdown > q.max_drawdown AS smaller_drawdown
         FROM perf p, (SELECT * FROM perf WHERE strategy = 'Brand#1') q""", dates="")
@@ -249,7 +249,9 @@ add("train_intersect_test",
 add("leakage_audit",
     lambda s, d: splits.leakage_audit(feature_panel(s, d).withColumn("leaky", -c("target")), _folds(s, d).withColumn("train_hi", F.when(c("fold") == 1, c("test_hi")).otherwise(c("train_hi"))), [*_FEATS, "leaky"], 10, purge=False)
     .select("kind", "subject", rc("value").alias("value")),
-    """SELECT 'feature_is_target' AS kind, 'leaky' AS subject, -1.0::DOUBLE AS value""" , dates="")
+    f"""SELECT 'feature_is_target' AS kind, 'leaky' AS subject, {r('corr(-target, target)')} AS value FROM fpanel_y HAVING abs(corr(-target, target)) > 0.95
+        UNION ALL SELECT 'train_not_before_test', '1', datediff('day', max(CASE WHEN pos < test_hi THEN date END), min(CASE WHEN pos >= test_lo THEN date END))::DOUBLE FROM cal, folds WHERE fold = 1
+        UNION ALL SELECT 'train_test_overlap', '1', count(*)::DOUBLE FROM cal, folds WHERE fold = 1 AND pos >= test_lo AND pos < test_hi""", dates="")
 add("lookahead_probe",
     lambda s, d: splits.lookahead_probe(
         t.bars_filled(s, d), lambda b: add_features(b, [tech.log_momentum(20), tech.rsi(), tech.supertrend(), tech.kama_dist()]).select("date", "pos", "ticker", *[rc(x).alias(x) for x in ("mom_20", "rsi", "supertrend", "kama_dist")]), 1500)

@@ -214,8 +214,8 @@ def _ledger_files(s, d):
 
 
 add("read_ledger",
-    lambda s, d: _ledger_files(s, d).select("date", "sleeve", "status", c("n_positions").cast("long").alias("n_positions"), rc("day_return", 9).alias("day_return")),
-    f"SELECT date, sleeve, status, n_positions::BIGINT AS n_positions, {r('day_return', 9)} AS day_return FROM ledger")
+    lambda s, d: _ledger_files(s, d).select("date", "sleeve", "status", c("n_positions").cast("long").alias("n_positions"), rc("day_return", 14).alias("day_return")),
+    f"SELECT date, sleeve, status, n_positions::BIGINT AS n_positions, {r('day_return', 14)} AS day_return FROM ledger")
 
 
 def _append(s, d):
@@ -228,11 +228,11 @@ def _append(s, d):
 
 
 add("append_ledger",
-    lambda s, d: _append(s, d).select("date", "sleeve", c("n_positions").cast("long").alias("n_positions"), rc("day_return", 9).alias("day_return")),
-    f"SELECT date, sleeve, n_positions::BIGINT AS n_positions, {r('day_return', 9)} AS day_return FROM ledger")
+    lambda s, d: _append(s, d).select("date", "sleeve", c("n_positions").cast("long").alias("n_positions"), rc("day_return", 14).alias("day_return")),
+    f"SELECT date, sleeve, n_positions::BIGINT AS n_positions, {r('day_return', 14)} AS day_return FROM ledger")
 add("append_if_newer",
-    lambda s, d: led.append_if_newer(t.ledger(s, d), t.ledger(s, d).where("date < '2024-01-20'")).select("date", "sleeve", rc("day_return", 9).alias("day_return")),
-    f"SELECT date, sleeve, {r('day_return', 9)} AS day_return FROM ledger WHERE date >= DATE '2024-01-20'")
+    lambda s, d: led.append_if_newer(t.ledger(s, d), t.ledger(s, d).where("date < '2024-01-20'")).select("date", "sleeve", rc("day_return", 14).alias("day_return")),
+    f"SELECT date, sleeve, {r('day_return', 14)} AS day_return FROM ledger WHERE date >= DATE '2024-01-20'")
 add("except_logged",
     lambda s, d: t.ledger(s, d).select("sleeve", "date").join(
         t.ledger(s, d).where("day_return < 0").select("sleeve", "date"), ["sleeve", "date"], "left_anti"),

@@ -40,8 +40,8 @@ def walk_forward_folds(positions: DataFrame, n_splits: int, train_min: int, test
     return fold.select((kept - c("i")).cast("long").alias("fold"), "train_lo", "train_hi", "test_lo", "test_hi")
 
 
-def in_fold(panel: DataFrame, folds: DataFrame, horizon: int, purge: bool = True) -> DataFrame:
-    """Every panel row once per fold it serves, with ``role`` train or test.
+def fold_sides(df: DataFrame, folds: DataFrame, horizon: int, purge: bool = True) -> DataFrame:
+    """Rows with a position, once per fold they serve, flagged ``in_train`` / ``in_test``.
 
     ``folds`` has at most ``n_splits`` rows, so its broadcast does not grow with the data. A training row
     whose label reaches into the test window is purged.
@@ -49,34 +49,38 @@ def in_fold(panel: DataFrame, folds: DataFrame, horizon: int, purge: bool = True
     test = (c("pos") >= c("test_lo")) & (c("pos") < c("test_hi"))
     train = (c("pos") >= c("train_lo")) & (c("pos") < c("train_hi"))
     if purge:
-        train = train & (c("pos") + horizon < c("test_lo"))
-    return panel.join(F.broadcast(folds), train | test).withColumn(
-        "role", F.when(test, "test").otherwise("train")).drop("train_lo", "train_hi", "test_lo", "test_hi")
+        train = train & ((c("pos") + horizon < c("test_lo")) | (c("pos") >= c("test_lo")))
+    return df.join(F.broadcast(folds), train | test).withColumns({"in_train": train, "in_test": test}).drop(
+        "train_lo", "train_hi", "test_lo", "test_hi")
+
+
+def in_fold(panel: DataFrame, folds: DataFrame, horizon: int, purge: bool = True) -> DataFrame:
+    """Panel rows per fold with ``role`` train or test."""
+    sides = fold_sides(panel, folds, horizon, purge)
+    roles = F.array_compact(F.array(F.when(c("in_train"), "train"), F.when(c("in_test"), "test")))
+    return sides.withColumn("role", F.explode(roles)).drop("in_train", "in_test")
 
 
 def fold_stats(panel: DataFrame, folds: DataFrame, horizon: int, purge: bool = True) -> DataFrame:
     """Rows and date range of both sides of each fold, from counts per date."""
     per_date = panel.groupBy("date", "pos").agg(F.count(F.lit(1)).alias("_n"))
-    side = in_fold(per_date, folds, horizon, purge)
-    is_train = c("role") == "train"
+    side = fold_sides(per_date, folds, horizon, purge)
+    train, test = c("in_train"), c("in_test")
     return side.groupBy("fold").agg(
-        F.min(F.when(is_train, c("date"))).alias("train_from"), F.max(F.when(is_train, c("date"))).alias("train_to"),
-        F.min(F.when(~is_train, c("date"))).alias("test_from"), F.max(F.when(~is_train, c("date"))).alias("test_to"),
-        F.sum(F.when(is_train, c("_n")).otherwise(0)).alias("n_train"),
-        F.sum(F.when(~is_train, c("_n")).otherwise(0)).alias("n_test"),
+        F.min(F.when(train, c("date"))).alias("train_from"), F.max(F.when(train, c("date"))).alias("train_to"),
+        F.min(F.when(test, c("date"))).alias("test_from"), F.max(F.when(test, c("date"))).alias("test_to"),
+        F.sum(F.when(train, c("_n")).otherwise(0)).alias("n_train"),
+        F.sum(F.when(test, c("_n")).otherwise(0)).alias("n_test"),
     )
 
 
-def train_test_overlap(panel: DataFrame, folds: DataFrame, horizon: int) -> DataFrame:
+def train_test_overlap(panel: DataFrame, folds: DataFrame, horizon: int, purge: bool = True) -> DataFrame:
     """Dates that are on both sides of a fold; must be empty.
 
-    A date never straddles the sides, so dates tell as much as rows.
+    All rows of a date fall on the same side, so dates tell as much as rows.
     """
-    dates = panel.select("date", "pos").distinct()
-    test = (c("pos") >= c("test_lo")) & (c("pos") < c("test_hi"))
-    train = (c("pos") >= c("train_lo")) & (c("pos") < c("train_hi")) & (c("pos") + horizon < c("test_lo"))
-    sides = dates.join(F.broadcast(folds), train | test)
-    return sides.where(train).select("fold", "date").intersect(sides.where(test).select("fold", "date"))
+    sides = fold_sides(panel.select("date", "pos").distinct(), folds, horizon, purge)
+    return sides.where("in_train").select("fold", "date").intersect(sides.where("in_test").select("fold", "date"))
 
 
 def leakage_audit(panel: DataFrame, folds: DataFrame, features: Sequence[str], horizon: int, purge: bool = True) -> DataFrame:
@@ -87,7 +91,7 @@ def leakage_audit(panel: DataFrame, folds: DataFrame, features: Sequence[str], h
     gap = F.datediff("test_from", "train_to")
     order = stats.where(gap < 1).select(
         F.lit("train_not_before_test").alias("kind"), c("fold").cast("string").alias("subject"), gap.cast("double").alias("value"))
-    overlap = train_test_overlap(panel, folds, horizon).groupBy("fold").agg(F.count(F.lit(1)).alias("n")).select(
+    overlap = train_test_overlap(panel, folds, horizon, purge).groupBy("fold").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("train_test_overlap").alias("kind"), c("fold").cast("string").alias("subject"), c("n").cast("double").alias("value"))
     return contaminated.unionByName(order).unionByName(overlap)
 
