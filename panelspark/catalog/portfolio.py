@@ -279,8 +279,8 @@ cte("stgt", "SELECT date, 's' || (num % 4) AS sleeve, b.ticker, volume / sum(vol
 cte("sfac", """SELECT date, sleeve, CASE sleeve WHEN 's1' THEN least(1.0::DOUBLE / 7, 0.05) / (1.0::DOUBLE / 7) WHEN 's2' THEN 1.0::DOUBLE
     ELSE greatest(0.3 - CASE WHEN has2 THEN 2.0::DOUBLE / 7 ELSE 0 END, 0) / (4.0::DOUBLE / 7) END AS f, CASE sleeve WHEN 's1' THEN 1 WHEN 's2' THEN 2 ELSE 4 END / 7.0::DOUBLE AS sh
     FROM (SELECT DISTINCT date, sleeve, bool_or(sleeve = 's2') OVER (PARTITION BY date) AS has2 FROM stgt) WHERE sleeve <> 's3'""")
-add("combine_sleeves", lambda s, d: pf.combine_sleeves(sleeve_targets(s, d), sleeve_table(s, d)).select("date", "ticker", rc("weight").alias("weight")),
-    f"SELECT x.date, ticker, {r('w * sh * f')} AS weight FROM stgt x JOIN sfac f ON x.date = f.date AND x.sleeve = f.sleeve")
+add("combine_sleeves", lambda s, d: pf.combine_sleeves(sleeve_targets(s, d), sleeve_table(s, d)).select("date", "ticker", rc("weight", 9).alias("weight")),
+    f"SELECT x.date, ticker, {r('w * sh * f', 9)} AS weight FROM stgt x JOIN sfac f ON x.date = f.date AND x.sleeve = f.sleeve")
 add("microcap_caps",
     lambda s, d: pf.microcap_caps(weights(s, d), t.brand_number() % 3 == 0, 0.02, 0.015).select("strategy", "date", "ticker", rc("weight").alias("weight")),
     f"""SELECT strategy, date, ticker, {r('CASE WHEN m AND agg > 0.02 THEN w2 * 0.02 / agg ELSE w2 END')} AS weight FROM (SELECT *, sum(CASE WHEN m THEN w2 ELSE 0 END) OVER (PARTITION BY strategy, date) AS agg FROM (

@@ -84,7 +84,10 @@ def _risk_parity_weights(returns: np.ndarray, iters: int) -> np.ndarray:
     w = np.full(len(cov), 1.0 / len(cov))
     for _ in range(iters):
         contribution = w * (cov @ w)
-        w = np.clip(w * np.sqrt(contribution.mean() / (contribution + 1e-12)), 0, None)
+        share = contribution.mean() / (contribution + 1e-12)
+        if (share < 0).any():  # a hedge in the book: no equal contribution exists, keep what is reached
+            break
+        w = w * np.sqrt(share)
         w /= w.sum()
     return w
 

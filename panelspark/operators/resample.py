@@ -44,7 +44,7 @@ def bootstrap_sims(returns: DataFrame, n_sims: int = 1000, block: int = 10, seed
         *[e.alias(f"_full_{k}") for k, e in zip(names, block_sums(F.lit(block)))],
         *[e.alias(f"_last_{k}") for k, e in zip(names, block_sums(rest))])
     # every series runs every simulation; the draws are rows made from the series, nothing is crossed
-    draws = size.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).cast("long"))
+    draws = size.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long"))))
     draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), c("_b") - 1)))
     draws = draws.withColumn("_start", block_start("sim", "_k", seed, c("_n"), block))
     is_last = c("_k") == c("_b") - 1
