@@ -120,7 +120,7 @@ feature("vol_of_vol", lambda: [tech.vol_of_vol()], f"({roll('stddev_samp', 'sd',
 feature("parkinson_vol", lambda: [tech.parkinson_vol()], f"sqrt(({roll('avg', 'pow(ln(high/low),2)', 20)}) / (4 * ln(2)) * 252)", "filled")
 feature("yang_zhang_vol", lambda: [tech.yang_zhang_vol()],
         f"sqrt(252 * (({roll('var_samp', 'oc', 20)}) + {K!r} * ({roll('var_samp', 'cc', 20)}) + {1 - K!r} * ({roll('avg', 'rs', 20)})))", "yz")
-feature("bollinger_z", lambda: [[{"bollinger_z": tech.bollinger_z()[0]["boll_z"]}]],
+feature("bollinger_z", lambda: [tech.bollinger_z(name="bollinger_z")],
         f"(close - ({roll('avg', 'close', 20)})) / ({roll('stddev_samp', 'close', 20)})", "filled")
 feature("ema_dist", lambda: [tech.ema_dist()], "(close - ema20) / ema20", "ewa")
 feature("pct_rank_60", lambda: [tech.pct_rank()],

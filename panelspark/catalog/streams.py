@@ -51,8 +51,8 @@ add("stream_standings",
     f"SELECT sleeve, n_days, {', '.join(f'{r(x, 8)} AS {x}' for x in _ST)}, last_date, last_positions FROM stand", dates="last_date")
 add("stream_period_rollup",
     lambda s, d: s.read.parquet(streamed(s, d, ls.stream_period_rollup)).select("period", "sleeve", rc("ret", 8).alias("ret")),
-    f"""SELECT cast(date_trunc('week', date) AS DATE) AS period, sleeve, {r('exp(sum(ln(1 + day_return))) - 1', 8)} AS ret FROM ledger GROUP BY 1, 2
-        HAVING date_trunc('week', date) + INTERVAL 7 DAY <= (SELECT max(date) FROM ledger) - INTERVAL 1 DAY""", dates="period")
+    f"""SELECT period, sleeve, {r('exp(sum(ln(1 + day_return))) - 1', 8)} AS ret FROM (SELECT *, cast(date_trunc('week', date) AS DATE) AS period FROM ledger)
+        WHERE period + INTERVAL 7 DAY <= (SELECT max(date) FROM ledger) - INTERVAL 1 DAY GROUP BY 1, 2""", dates="period")
 
 # --- user functions ----------------------------------------------------------------------------------------------
 add("rolling_apply",

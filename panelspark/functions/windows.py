@@ -120,17 +120,17 @@ def gain_recurrence_levels(name: str, x: Column, gain: Column, tag: str, keys: S
     Same closed form as :func:`ewm_levels`, but blocks are cut by accumulated decay instead of rows.
     """
     span = 300.0
-    v, g, acc, blk, inside, term, run, prev = (f"_{tag}_{s}" for s in ("x", "g", "l", "k", "m", "t", "s", "p"))
+    v, g, acc, blk, inside, term, run, prev, first = (f"_{tag}_{s}" for s in ("x", "g", "l", "k", "m", "t", "s", "p", "r"))
     by = ordered(keys)
     c = F.col
     cum = ordered([*keys, blk]).rowsBetween(Window.unboundedPreceding, 0)
     previous = ordered(keys, [blk]).rangeBetween(-1, -1)
     return [
-        {v: x, g: gain, f"_{tag}_r": F.row_number().over(by)},
-        {acc: F.sum(F.when(c(f"_{tag}_r") > 1, -F.log1p(-c(g))).otherwise(0.0)).over(
+        {first: F.row_number().over(by)},
+        {v: x, g: gain, acc: F.sum(F.when(c(first) > 1, -F.log1p(-gain)).otherwise(0.0)).over(
             by.rowsBetween(Window.unboundedPreceding, 0))},
         {blk: F.floor(c(acc) / span).cast("long"), inside: c(acc) - F.floor(c(acc) / span) * span},
-        {term: F.when(c(f"_{tag}_r") == 1, 1.0).otherwise(c(g)) * c(v) * F.exp(c(inside))},
+        {term: F.when(c(first) == 1, 1.0).otherwise(c(g)) * c(v) * F.exp(c(inside))},
         {run: F.sum(c(term)).over(cum), prev: F.sum(c(term)).over(previous)},
         {
             name: F.exp(-c(inside))

@@ -53,6 +53,7 @@ def rolling_beta_levels(name: str = "beta", ref_col: str = "_bench", n: int = 60
             "_br": safe_div(c("close"), F.lag("close").over(series())) - 1,
             "_bm": safe_div(c(ref_col), F.lag(ref_col).over(series())) - 1,
         },
+        {},
         {
             name: F.when(
                 F.count(x).over(frame) == n,

@@ -11,7 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_div, total
+from ..functions.columns import safe_div
 from ..functions.windows import (
     Levels, add_features, delay, ewm_levels, gain_recurrence_levels, merge_levels, rolling, series, so_far,
 )
@@ -19,6 +19,21 @@ from ..functions.windows import (
 c = F.col
 ANNUAL = math.sqrt(252)
 
+# Levels are laid out so that windows of one ordering are neighbours and share a sort, and windows of one
+# frame share a buffer, however many features are asked for: 0 offsets, 1 arithmetic, 2 rolling, 3 rolling
+# over rolling, 4-7 exponential means by block, 8-10 by date again, 11-14 the second exponential mean of
+# the directional index, 15-17 the adaptive average.
+EWM_AT, AFTER_EWM, KAMA_SUMS_AT = 2, 8, 15
+
+
+def _at(level: int, levels: Levels) -> Levels:
+    return delay(levels, level)
+
+
+def _ewm(name: str, x: Column, alpha: float, tag: str) -> Levels:
+    """Inputs and ordinals at levels 2-3 (by date), block sums at 4-7."""
+    return _at(EWM_AT, ewm_levels(name, x, alpha, tag))
+
 
 def prev() -> dict[str, Column]:
     return {"_pc": F.lag("close").over(series())}
@@ -45,21 +60,30 @@ def true_range() -> Levels:
     return [prev(), {"true_range": tr()["_tr"]}]
 
 
-def _wma(x: str, n: int) -> Column:
-    """Weights 1..n, the newest row weighs n; null while any of the n rows is null."""
-    return total([(n - k) * F.lag(x, k).over(series()) for k in range(n)]) / (n * (n + 1) / 2)
+def _wma(x: Column, n: int) -> Column:
+    """Weights 1..n, the newest row weighs n; null while any of the n rows is null.
+
+    With the row number i: the weighted sum is sum(j x_j) - (i - n) sum(x_j) over the frame.
+    """
+    frame = series().rowsBetween(-(n - 1), 0)
+    weighted = F.sum(c("_i") * x).over(frame) - (c("_i") - n) * F.sum(x).over(frame)
+    return F.when(F.count(x).over(frame) == n, weighted / (n * (n + 1) / 2))
+
+
+def row_index() -> dict[str, Column]:
+    return {"_i": F.row_number().over(series()).cast("double")}
 
 
 def wma(n: int) -> Levels:
-    return [{f"wma_{n}": _wma("close", n)}]
+    return [row_index(), {}, {f"wma_{n}": _wma(c("close"), n)}]
 
 
 def hull_dist(n: int = 20) -> Levels:
     half, root = max(n // 2, 1), max(int(math.sqrt(n)), 1)
     return [
-        {"_w1": _wma("close", half), "_w2": _wma("close", n)},
-        {"_hr": 2 * c("_w1") - c("_w2")},
-        {"_h": _wma("_hr", root)},
+        row_index(), {},
+        {"_w1": _wma(c("close"), half), "_w2": _wma(c("close"), n)},
+        {"_h": _wma(2 * c("_w1") - c("_w2"), root)},
         {"hull_dist": safe_div(c("close") - c("_h"), c("_h"))},
     ]
 
@@ -69,17 +93,17 @@ def adx(n: int = 14) -> Levels:
     plus = F.when((up > down) & (up > 0), up).otherwise(0.0)
     minus = F.when((down > up) & (down > 0), down).otherwise(0.0)
     a = 1 / n
-    moves = merge_levels(
-        ewm_levels("_atr_a", c("_tr"), a, "ea"),
-        ewm_levels("_ep", plus, a, "ep"),
-        ewm_levels("_em", minus, a, "em"),
-    )
-    pdi, mdi = 100 * safe_div(c("_ep"), c("_atr_a")), 100 * safe_div(c("_em"), c("_atr_a"))
     head: Levels = [
         {**prev(), "_ph": F.lag("high").over(series()), "_pl": F.lag("low").over(series())}, tr(),
     ]
+    pdi, mdi = 100 * safe_div(c("_ep"), c("_atr_a")), 100 * safe_div(c("_em"), c("_atr_a"))
     dx = 100 * safe_div(F.abs(pdi - mdi), pdi + mdi)
-    return head + moves + ewm_levels("adx", dx, a, "ed")
+    x, ordinal, *blocks = ewm_levels("adx", dx, a, "ed")
+    return merge_levels(
+        head,
+        _ewm("_atr_a", c("_tr"), a, "ea"), _ewm("_ep", plus, a, "ep"), _ewm("_em", minus, a, "em"),
+        _at(AFTER_EWM, [x, ordinal, {}, *blocks]),
+    )
 
 
 def kama_dist(er: int = 10, fast: int = 2, slow: int = 30) -> Levels:
@@ -88,24 +112,26 @@ def kama_dist(er: int = 10, fast: int = 2, slow: int = 30) -> Levels:
     ratio = safe_div(F.abs(c("close") - c("_ck")), c("_vol"))
     # no full window yet: volatility is null, the ratio counts as 0 and the gain is the slow one
     gain = F.pow(F.coalesce(ratio, F.lit(0.0)) * (f - s) + s, 2)
-    return [
+    first, decay, block, term, sums, value = gain_recurrence_levels("_kama", c("close"), gain, "k")
+    head: Levels = [
         {**prev(), "_ck": F.lag("close", er).over(series())},
         {"_dc": F.abs(c("close") - c("_pc"))},
-        {"_vol": rolling(F.sum, "_dc", er)},
-    ] + gain_recurrence_levels("_kama", c("close"), gain, "k") + [
-        {"kama_dist": safe_div(c("close") - c("_kama"), c("_kama"))}
+        {"_vol": rolling(F.sum, "_dc", er), **first},
+        decay, block, term,
     ]
+    tail = [sums, value, {"kama_dist": safe_div(c("close") - c("_kama"), c("_kama"))}]
+    return merge_levels(head, _at(KAMA_SUMS_AT, tail))
 
 
 def supertrend(n: int = 10, mult: float = 3.0) -> Levels:
     """Direction flips only when the close leaves yesterday's band, so the state is the last event."""
     mid = (c("high") + c("low")) / 2
-    return [prev(), tr()] + ewm_levels("_atr_s", c("_tr"), 1 / n, "es") + [
+    event = F.when(c("close") > c("_upp"), 1.0).when(c("close") < c("_lop"), -1.0)
+    return merge_levels([prev(), tr()], _ewm("_atr_s", c("_tr"), 1 / n, "es"), _at(AFTER_EWM, [
         {"_up": mid + mult * c("_atr_s"), "_lo": mid - mult * c("_atr_s")},
         {"_upp": F.lag("_up").over(series()), "_lop": F.lag("_lo").over(series())},
-        {"_ev": F.when(c("close") > c("_upp"), 1.0).when(c("close") < c("_lop"), -1.0)},
-        {"supertrend": F.coalesce(F.last("_ev", ignorenulls=True).over(so_far()), F.lit(1.0))},
-    ]
+        {"supertrend": F.coalesce(F.last(event, ignorenulls=True).over(so_far()), F.lit(1.0))},
+    ]))
 
 
 def trend(n: int = 40) -> Levels:
@@ -113,21 +139,20 @@ def trend(n: int = 40) -> Levels:
     frame = series().rowsBetween(-(n - 1), 0)
     x, y = c("_i"), c("_ly")
     sxx = (n * n - 1) / 12.0
+    r2 = F.coalesce(safe_div(c("_sxy") * c("_sxy") / sxx, c("_syy")), F.lit(0.0))
     return [
-        {"_i": F.row_number().over(series()).cast("double"), "_ly": F.log("close")},
+        row_index(),
+        {"_ly": F.log("close")},
         {
             "_sxy": F.when(F.count(y).over(frame) == n, F.covar_pop(x, y).over(frame)),
             "_syy": F.var_pop(y).over(frame),
         },
-        {
-            "trend_slope": c("_sxy") / sxx * 252,
-            "trend_r2": F.when(c("_sxy").isNotNull(), F.coalesce(safe_div(c("_sxy") * c("_sxy") / sxx, c("_syy")), F.lit(0.0))),
-        },
+        {"trend_slope": c("_sxy") / sxx * 252, "trend_r2": F.when(c("_sxy").isNotNull(), r2)},
     ]
 
 
 def rel_volume(n: int = 20) -> Levels:
-    return [{"rel_volume": safe_div(c("volume"), rolling(F.avg, "volume", n))}]
+    return _at(2, [{"rel_volume": safe_div(c("volume"), rolling(F.avg, "volume", n))}])
 
 
 def obv_z(n: int = 60) -> Levels:
@@ -142,31 +167,31 @@ def obv_z(n: int = 60) -> Levels:
 
 def cmf(n: int = 20) -> Levels:
     flow = safe_div((c("close") - c("low")) - (c("high") - c("close")), c("high") - c("low")) * c("volume")
-    return [
+    return _at(1, [
         {"_mfv": flow},
         {"cmf": safe_div(rolling(F.sum, "_mfv", n), rolling(F.sum, "volume", n))},
-    ]
+    ])
 
 
 def vwap_dist(n: int = 20) -> Levels:
-    return [
+    return _at(1, [
         {"_tpv": (c("high") + c("low") + c("close")) / 3 * c("volume")},
         {"_vwap": safe_div(rolling(F.sum, "_tpv", n), rolling(F.sum, "volume", n))},
         {"vwap_dist": safe_div(c("close") - c("_vwap"), c("_vwap"))},
-    ]
+    ])
 
 
 def vol_accel(n: int = 10) -> Levels:
-    return [
+    return _at(2, [
         {"_mv": rolling(F.avg, "volume", n)},
         {"vol_accel": safe_div(c("_mv"), F.lag("_mv", n).over(series())) - 1},
-    ]
+    ])
 
 
 def atr_pct(n: int = 14) -> Levels:
-    return [prev(), tr()] + ewm_levels("_atr_p", c("_tr"), 1 / n, "ea") + [
-        {"atr_pct": safe_div(c("_atr_p"), c("close"))}
-    ]
+    return merge_levels([prev(), tr()], _ewm("_atr_a", c("_tr"), 1 / n, "ea"), _at(AFTER_EWM, [
+        {"atr_pct": safe_div(c("_atr_a"), c("close"))}
+    ]))
 
 
 def realized_vol(n: int) -> Levels:
@@ -181,10 +206,10 @@ def vol_of_vol(n: int = 20) -> Levels:
 
 
 def parkinson_vol(n: int = 20) -> Levels:
-    return [
+    return _at(1, [
         {"_hl2": F.pow(F.log(safe_div(c("high"), c("low"))), 2)},
         {"parkinson_vol": F.sqrt(rolling(F.avg, "_hl2", n) / (4 * math.log(2)) * 252)},
-    ]
+    ])
 
 
 def yang_zhang_vol(n: int = 20) -> Levels:
@@ -205,32 +230,33 @@ def yang_zhang_vol(n: int = 20) -> Levels:
     ]
 
 
-def bollinger_z(n: int = 20) -> Levels:
-    return [{"boll_z": safe_div(c("close") - rolling(F.avg, "close", n), rolling(F.stddev_samp, "close", n))}]
+def bollinger_z(n: int = 20, name: str = "boll_z") -> Levels:
+    return _at(2, [{name: safe_div(c("close") - rolling(F.avg, "close", n), rolling(F.stddev_samp, "close", n))}])
 
 
 def ema_dist(span: int = 20) -> Levels:
-    return ewm_levels("_ema", c("close"), 2 / (span + 1), "ee") + [
+    return merge_levels(_ewm("_ema", c("close"), 2 / (span + 1), "ee"), _at(AFTER_EWM, [
         {"ema_dist": safe_div(c("close") - c("_ema"), c("_ema"))}
-    ]
+    ]))
 
 
 def pct_rank(n: int = 60, name: str = "pct_rank_60") -> Levels:
     """Share of the last n closes strictly below the current one."""
     frame = series().rowsBetween(-(n - 1), 0)
     below = F.size(F.filter("_win", lambda y: y < c("close")))
-    return [
+    return _at(2, [
         {"_win": F.collect_list("close").over(frame)},
         {name: F.when(F.size("_win") == n, below / F.lit(float(n)))},
-    ]
+    ])
 
 
 def rsi(n: int = 14) -> Levels:
     change = c("close") - c("_pc")
     gain = F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))
     loss = F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))
-    sides = merge_levels(ewm_levels("_gain", gain, 1 / n, "eg"), ewm_levels("_loss", loss, 1 / n, "el"))
-    return [prev()] + sides + [{"rsi": 100 - 100 / (1 + safe_div(c("_gain"), c("_loss")))}]
+    return merge_levels([prev()], _ewm("_gain", gain, 1 / n, "eg"), _ewm("_loss", loss, 1 / n, "el"), _at(AFTER_EWM, [
+        {"rsi": 100 - 100 / (1 + safe_div(c("_gain"), c("_loss")))}
+    ]))
 
 
 def single_name_features(

@@ -15,6 +15,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a panel plan has more generated classes than the default cache holds (100); every task would
+        # compile them again. Static: set it where the cluster session is built
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
