@@ -67,17 +67,18 @@ def rank_pct_split(df: DataFrame, x: str, out: str, by: Sequence[str] = ("date",
     return df.join(ranked, [*keys, x], "left")
 
 
-def quantile_bounds(df: DataFrame, cols: Sequence[str], p: float, by: Sequence[str] = ("date",),
-                    exact: bool = True) -> DataFrame:
-    """Lower and upper quantile of every column per group, linearly interpolated, in one aggregate.
+def quantile_pair(x: str, p: float, exact: bool = True) -> Column:
+    """Lower and upper quantile, linearly interpolated, as one aggregate of an array.
 
-    Exact percentiles keep a group's distinct values in memory; above about a million names per group
-    pass ``exact=False`` for the bounded-memory sketch.
+    The exact one keeps a group's distinct values in memory; above about a million names per group pass
+    ``exact=False`` for the bounded-memory sketch.
     """
-    def pair(c):
-        if exact:
-            return F.percentile(c, F.array(F.lit(p), F.lit(1 - p)))
-        return F.percentile_approx(c, [p, 1 - p], F.lit(10000))
+    if exact:
+        return F.percentile(x, F.array(F.lit(p), F.lit(1 - p)))
+    return F.percentile_approx(x, [p, 1 - p], F.lit(10000))
+
 
-    agg = df.groupBy(*by).agg(*[pair(c).alias(f"_q_{c}") for c in cols])
-    return agg
+def quantile_bounds(df: DataFrame, cols: Sequence[str], p: float, by: Sequence[str] = ("date",),
+                    exact: bool = True) -> DataFrame:
+    """The pair of every column per group."""
+    return df.groupBy(*by).agg(*[quantile_pair(x, p, exact).alias(f"_q_{x}") for x in cols])

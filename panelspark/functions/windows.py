@@ -70,8 +70,8 @@ def add_features(df: DataFrame, features: Sequence[Levels], keep: Sequence[str]
     for level in merge_levels(*features):
         if level:
             df = df.withColumns(level)
-    added = [c for c in df.columns if c not in before and not c.startswith("_")]
-    return df.select(*[c for c in df.columns if c in before], *(keep or added))
+    added = keep or [c for c in df.columns if not c.startswith("_")]
+    return df.select(*[c for c in df.columns if c in before], *[c for c in added if c not in before])
 
 
 def ewm_levels(name: str, x: Column, alpha: float, tag: str, keys: Sequence[str] = ("ticker",)) -> Levels:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import graduated_multiplier, safe_div
-from ..functions.ranks import quantile_bounds, rank_pct
+from ..functions.ranks import quantile_bounds, quantile_pair, rank_pct
 from ..functions.windows import add_features, series
 from .joins import interval_join
 
@@ -23,18 +23,23 @@ def sector_rank(x) -> Column:
     return cs_rank(x, ("date", "sector"))
 
 
-def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, exact: bool = True) -> DataFrame:
+def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, exact: bool = True, stored: bool = False) -> DataFrame:
     """Clip every column to its per-date quantiles.
 
-    One aggregate gives the bounds of all columns; the bounds (one row per date) come back by
-    broadcast, so the panel itself is not shuffled again.
+    By default the quantiles are window aggregates, so a panel that is still a plan is computed once and
+    shares the exchange by date with the ranks. A ``stored`` panel (a written table, cheap to read twice)
+    takes its bounds from one grouped aggregate instead: it combines on the map side, so a date with
+    very many names is no hot task, and the bounds (one row per date) come back by broadcast.
     """
     if p <= 0:
         return panel
-    bounds = quantile_bounds(panel, cols, p, exact=exact)
-    out = panel.join(F.broadcast(bounds), "date")
+    if stored:
+        source = panel.join(F.broadcast(quantile_bounds(panel, cols, p, exact=exact)), "date")
+    else:
+        w = Window.partitionBy("date")
+        source = panel.withColumns({f"_q_{x}": quantile_pair(x, p, exact).over(w) for x in cols})
     clipped = {x: F.when(c(x).isNotNull(), F.greatest(F.least(c(x), c(f"_q_{x}")[1]), c(f"_q_{x}")[0])) for x in cols}
-    return out.withColumns(clipped).select(*panel.columns)
+    return source.withColumns(clipped).select(*panel.columns)
 
 
 def forward_return(h: int, name: str = "fwd"):
@@ -48,12 +53,8 @@ def member_forward_return(bars: DataFrame, h: int, membership: DataFrame | None
 
 
 def demean_target(labels: DataFrame, by: Sequence[str] = ("date",), fwd: str = "fwd") -> DataFrame:
-    """Forward return minus its mean over the market or the sector.
-
-    The mean combines on the map side and joins back, so a date with very many names is no hot task.
-    """
-    means = labels.groupBy(*by).agg(F.avg(fwd).alias("_m"))
-    return labels.join(means, list(by)).withColumn("target", c(fwd) - c("_m")).drop("_m")
+    """Forward return minus its mean over the market or the sector; shares the exchange of the ranks."""
+    return labels.withColumn("target", c(fwd) - F.avg(fwd).over(Window.partitionBy(*by)))
 
 
 def ranked_signals() -> Mapping[str, Column]:
@@ -120,9 +121,8 @@ def long_short_legs(scores: DataFrame, q: float, by: Sequence[str] = ("date",))
 
 def normalize(weights: DataFrame, col: str = "weight", by: Sequence[str] = ("date",)) -> DataFrame:
     """Divide by the group's sum (kept as is when the sum is not positive)."""
-    sums = weights.groupBy(*by).agg(F.sum(col).alias("_sum"))
-    return weights.join(sums, list(by)).withColumn(
-        col, F.when(c("_sum") > 0, c(col) / c("_sum")).otherwise(c(col))).drop("_sum")
+    total = F.sum(col).over(Window.partitionBy(*by))
+    return weights.withColumn(col, F.when(total > 0, c(col) / total).otherwise(c(col)))
 
 
 def overlay_weights(scores: DataFrame, tilt: float = 1.0, cap: float = 0.10, by: Sequence[str] = ("date",)) -> DataFrame:

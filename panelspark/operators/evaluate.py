@@ -189,8 +189,8 @@ def against_benchmark(perf: DataFrame, benchmark: str) -> DataFrame:
 
 def cvar(returns: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     """Mean of the returns at or below the alpha quantile."""
-    q = returns.groupBy(*keys).agg(F.percentile("ret", F.lit(alpha)).alias("var"))
-    return returns.join(q, list(keys)).where("ret <= var").groupBy(*keys).agg(
+    q = F.percentile("ret", F.lit(alpha)).over(Window.partitionBy(*keys))
+    return returns.withColumn("var", q).where("ret <= var").groupBy(*keys).agg(
         F.first("var").alias("var"), F.avg("ret").alias("cvar"))
 
 
@@ -202,17 +202,17 @@ def stress_tests(returns: DataFrame, costs: DataFrame | None = None, keys: Seque
     removed.
     """
     k = list(keys)
-    base = returns.groupBy(*k).agg(
-        F.count("ret").alias("_n"), F.percentile("ret", F.array(F.lit(0.01), F.lit(0.95))).alias("_q"))
+    series = Window.partitionBy(*k)
+    base = returns.withColumns({
+        "_n": F.count("ret").over(series), "_q": F.percentile("ret", F.array(F.lit(0.01), F.lit(0.95))).over(series)})
     if costs is not None:
-        base = base.join(costs, k)
         years = F.greatest(c("_n") / 252.0, F.lit(1e-9))
-        base = base.withColumn("stress_cost_extra_annual", c("avg_turnover") * (c("n_rebalances") / years) * 0.0005)
+        base = base.join(costs, k).withColumn("stress_cost_extra_annual", c("avg_turnover") * (c("n_rebalances") / years) * 0.0005)
         base = base.withColumn("_drag", c("stress_cost_extra_annual") / 252.0)
     else:
         base = base.withColumns({"stress_cost_extra_annual": F.lit(None).cast("double"), "_drag": F.lit(0.0005)})
     lo, hi = c("_q")[0], c("_q")[1]
-    r = returns.join(base.select(*k, "_q", "_drag", "stress_cost_extra_annual"), k).withColumns({
+    r = base.withColumns({
         "_dragged": c("ret") - c("_drag"),
         "_tail": F.when(c("ret") <= lo, c("ret") * 2).otherwise(c("ret")),
         "_calm": F.when(c("ret") < hi, c("ret")),
@@ -236,11 +236,11 @@ def avg_pairwise_corr(basket: DataFrame, threshold: float = 0.80, keys: Sequence
     of the daily sum over k names is k + (k^2 - k) * mean correlation: two aggregates, no pairs.
     """
     k = list(keys)
-    stats = basket.groupBy(*k, "ticker").agg(F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s")).where("_s > 0")
-    z = basket.join(stats, [*k, "ticker"]).withColumn("_z", (c("ret") - c("_m")) / c("_s"))
-    daily = z.groupBy(*k, "date").agg(F.sum("_z").alias("_sum"))
-    names = stats.groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias("k"))
-    out = daily.groupBy(*k).agg(F.var_pop("_sum").alias("_v")).join(names, k)
+    name = Window.partitionBy(*k, "ticker")
+    z = basket.withColumns({"_m": F.avg("ret").over(name), "_s": F.stddev_pop("ret").over(name)}).where("_s > 0")
+    # every name is there on every date, so any date counts the names
+    daily = z.groupBy(*k, "date").agg(F.sum((c("ret") - c("_m")) / c("_s")).alias("_sum"), F.count(F.lit(1)).alias("_names"))
+    out = daily.groupBy(*k).agg(F.var_pop("_sum").alias("_v"), F.max("_names").cast("double").alias("k"))
     return out.select(
         *k, c("k").cast("long").alias("n_names"),
         F.when(c("k") >= 2, (c("_v") - c("k")) / (c("k") * c("k") - c("k"))).alias("avg_corr"),

@@ -38,11 +38,10 @@ def filings_wide(filings: DataFrame) -> DataFrame:
     return g.groupBy("ticker", "filed").agg(*picks, *growth)
 
 
-def fundamental_ratios(bars: DataFrame, filings: DataFrame) -> DataFrame:
-    """Ten value, quality and growth ratios on every bar, from filings public by that date."""
-    known = asof_join(bars.select("date", "ticker", "close"), filings_wide(filings))
+def ratio_columns() -> dict:
+    """Ten value, quality and growth ratios from the close and the known filing values."""
     mcap = c("close") * c("shares")
-    ratios = {
+    return {
         "earnings_yield": safe_div(c("net_income"), mcap),
         "book_to_price": safe_div(c("equity"), mcap),
         "sales_to_price": safe_div(c("revenue"), mcap),
@@ -54,7 +53,44 @@ def fundamental_ratios(bars: DataFrame, filings: DataFrame) -> DataFrame:
         "rev_growth_yoy": c("rev_growth_yoy"),
         "ni_growth_yoy": c("ni_growth_yoy"),
     }
-    return known.select("date", "ticker", *[v.alias(k) for k, v in ratios.items()])
+
+
+def fundamental_ratios(bars: DataFrame, filings: DataFrame) -> DataFrame:
+    """The ratios on every bar, from filings public by that date."""
+    known = asof_join(bars.select("date", "ticker", "close"), filings_wide(filings))
+    return known.select("date", "ticker", *[v.alias(k) for k, v in ratio_columns().items()])
+
+
+def insider_columns(signed="signed_value", purchases="purchases") -> dict:
+    """Purchases over 90 rows, net over 90 per gross over 365; short windows sum what is there."""
+    frame = lambda n: series().rowsBetween(-(n - 1), 0)
+    return {
+        "insider_buy_count_90d": F.sum(purchases).over(frame(90)),
+        "insider_net_buy_norm": F.sum(signed).over(frame(90)) / (F.sum(F.abs(signed)).over(frame(365)) + 1.0),
+    }
+
+
+def event_columns(bars: DataFrame, filings: DataFrame | None, insider: DataFrame | None) -> DataFrame:
+    """Known filing values and the day's insider flow on every bar, with one exchange for both.
+
+    Filings carry forward; a flow counts on its own date only (0 elsewhere).
+    """
+    parts = []
+    if filings is not None:
+        parts.append(filings_wide(filings))
+    if insider is not None:
+        flow = daily_insider_flow(insider)
+        parts.append(flow.select("ticker", c("date").alias("filed"), c("date").alias("_flow_day"), "signed_value", "purchases"))
+    if not parts:
+        return bars
+    events = parts[0]
+    for p in parts[1:]:
+        events = events.unionByName(p, allowMissingColumns=True)
+    out = asof_join(bars, events)
+    if insider is not None:
+        same = c("_flow_day") == c("date")
+        out = out.withColumns({x: F.when(same, c(x)).otherwise(0.0) for x in ("signed_value", "purchases")}).drop("_flow_day")
+    return out
 
 
 def pit_dedupe(facts: DataFrame, priority: Sequence[tuple[str, str]]) -> DataFrame:
@@ -98,9 +134,4 @@ def insider_features(bars: DataFrame, tx: DataFrame, roll_forward: DataFrame | N
         tx = roll_to_trading_day(tx.withColumnRenamed("filed", "date"), roll_forward).withColumnRenamed("date", "filed")
     flow = daily_insider_flow(tx)
     out = calendar_left_join(bars.select("date", "ticker"), flow, ["date", "ticker"], "zero")
-    frame = lambda n: series().rowsBetween(-(n - 1), 0)
-    return out.select(
-        "date", "ticker",
-        F.sum("purchases").over(frame(90)).alias("insider_buy_count_90d"),
-        (F.sum("signed_value").over(frame(90)) / (F.sum(F.abs("signed_value")).over(frame(365)) + 1.0)).alias("insider_net_buy_norm"),
-    )
+    return out.select("date", "ticker", *[v.alias(k) for k, v in insider_columns().items()])

@@ -49,6 +49,14 @@ def interval_join(panel: DataFrame, membership: DataFrame) -> DataFrame:
     return panel.join(m, inside, "left_semi")
 
 
+def with_membership(panel: DataFrame, membership: DataFrame, flag: str = "member") -> DataFrame:
+    """The same test as a column: a ticker's few windows travel as one array, so rows are neither
+    dropped nor joined by range."""
+    spells = membership.groupBy(c("ticker")).agg(F.collect_list(F.struct("start", "end")).alias("_spells"))
+    inside = F.exists("_spells", lambda w: (c("date") >= F.coalesce(w["start"], c("date"))) & (c("date") <= F.coalesce(w["end"], c("date"))))
+    return panel.join(spells, "ticker", "left").withColumn(flag, F.coalesce(inside, F.lit(False))).drop("_spells")
+
+
 def submission_join(submissions: DataFrame, transactions: DataFrame, universe: DataFrame) -> DataFrame:
     """Open-market transactions of the universe's filings.
 

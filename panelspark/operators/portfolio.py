@@ -65,9 +65,9 @@ def lookback_returns(picks: DataFrame, returns: DataFrame, n: int = 60) -> DataF
     a return. ``picks(strategy, date, pos, ticker)``."""
     days = picks.select("strategy", "date", "ticker", F.explode(F.sequence(F.greatest(c("pos") - (n - 1), F.lit(0)), c("pos"))).alias("pos"))
     hist = days.join(returns.where("r IS NOT NULL").select("ticker", "pos", "r"), ["ticker", "pos"])
-    size = hist.groupBy("strategy", "date").agg(F.countDistinct("ticker").alias("_k"))
-    full = hist.groupBy("strategy", "date", "pos").agg(F.count(F.lit(1)).alias("_have")).join(size, ["strategy", "date"]).where("_have = _k")
-    return hist.join(full.select("strategy", "date", "pos"), ["strategy", "date", "pos"])
+    book = Window.partitionBy("strategy", "date")
+    names, have = F.size(F.collect_set("ticker").over(book)), F.count(F.lit(1)).over(Window.partitionBy("strategy", "date", "pos"))
+    return hist.withColumns({"_k": names, "_have": have}).where("_have = _k").drop("_k", "_have")
 
 
 def inverse_vol(picks: DataFrame, returns: DataFrame, cap: float, n: int = 60) -> DataFrame:
@@ -187,17 +187,16 @@ def microcap_caps(weights: DataFrame, is_micro: Column, max_agg: float = 0.10, m
     """Cap each microcap, then their sum."""
     df = weights.withColumn("_m", is_micro).withColumn(
         "weight", F.when(c("_m"), F.least("weight", F.lit(max_pos))).otherwise(c("weight")))
-    agg = df.where("_m").groupBy(*by).agg(F.sum("weight").alias("_a"))
-    scale = F.when(c("_m") & (c("_a") > max_agg), max_agg / c("_a")).otherwise(1.0)
-    return df.join(agg, list(by), "left").withColumn("weight", c("weight") * scale).drop("_m", "_a")
+    agg = F.sum(F.when(c("_m"), c("weight"))).over(Window.partitionBy(*by))
+    scale = F.when(c("_m") & (agg > max_agg), max_agg / agg).otherwise(1.0)
+    return df.withColumn("weight", c("weight") * scale).drop("_m")
 
 
 def rescale_book(weights: DataFrame, cap: Column | float, by: Sequence[str] = BOOK) -> DataFrame:
     """Scale a book down to its cap; a book under the cap stays."""
     cap = cap if isinstance(cap, Column) else F.lit(cap)
-    sums = weights.groupBy(*by).agg(F.sum("weight").alias("_t"))
-    return weights.join(sums, list(by)).withColumn(
-        "weight", c("weight") * F.when((c("_t") > cap) & (c("_t") > 0), cap / c("_t")).otherwise(1.0)).drop("_t")
+    total = F.sum("weight").over(Window.partitionBy(*by))
+    return weights.withColumn("weight", c("weight") * F.when((total > cap) & (total > 0), cap / total).otherwise(1.0))
 
 
 EXPERIMENTAL_CAP = 0.05

@@ -68,18 +68,22 @@ def rolling_beta(panel: DataFrame, bench: DataFrame, n: int = 60) -> DataFrame:
     return add_features(joined, [rolling_beta_levels("beta", "_bench", n)]).drop("_bench")
 
 
+def breadth_flags(mas: Sequence[int] = (20, 50, 200), highs: int = 252):
+    """Per-name conditions; a name in warm-up counts as false."""
+    flags = {f"_is_breadth_pct_above_{n}": c("close") > rolling(F.avg, "close", n) for n in mas}
+    flags["_is_breadth_new_highs"] = c("close") >= rolling(F.max, "close", highs)
+    flags["_is_breadth_new_lows"] = c("close") <= rolling(F.min, "close", highs)
+    return [{}, {}, {k: F.coalesce(v, F.lit(False)).cast("double") for k, v in flags.items()}]
+
+
 def breadth(bars: DataFrame, mas: Sequence[int] = (20, 50, 200), highs: int = 252) -> DataFrame:
     """Per date: share of *all* names above their own n-row mean, at their n-row high, at their low.
 
-    A name in warm-up counts as not above, and a name that has not started yet still counts in the
-    denominator. The average over names combines on the map side.
+    A name that has not started yet still counts in the denominator. The sum over names combines on the
+    map side.
     """
-    levels = {f"_a{n}": F.coalesce(c("close") > rolling(F.avg, "close", n), F.lit(False)) for n in mas}
-    levels["_nh"] = F.coalesce(c("close") >= rolling(F.max, "close", highs), F.lit(False))
-    levels["_nl"] = F.coalesce(c("close") <= rolling(F.min, "close", highs), F.lit(False))
+    level = breadth_flags(mas, highs)[2]
     names = bars.agg(F.countDistinct("ticker")).scalar()
-    outs = {f"breadth_pct_above_{n}": f"_a{n}" for n in mas}
-    outs.update({"breadth_new_highs": "_nh", "breadth_new_lows": "_nl"})
-    sums = bars.withColumns(levels).groupBy("date").agg(
-        *[F.sum(c(v).cast("double")).alias(k) for k, v in outs.items()])
+    outs = [k[4:] for k in level]
+    sums = bars.withColumns(level).groupBy("date").agg(*[F.sum(f"_is_{k}").alias(k) for k in outs])
     return sums.select("date", *[(c(k) / names).alias(k) for k in outs])

@@ -37,7 +37,7 @@ def bootstrap_sims(returns: DataFrame, n_sims: int = 1000, block: int = 10, seed
         fold = lambda f: F.aggregate(x, F.lit(0.0), lambda a, e: a + f(e))
         return [fold(lambda e: e), fold(lambda e: e * e), F.aggregate(x, F.lit(1.0), lambda a, e: a * (1 + e))]
 
-    wins = rows.withColumn("_w", F.collect_list("ret").over(ahead)).join(size.select("strategy", "_b"), "strategy")
+    wins = rows.withColumns({"_w": F.collect_list("ret").over(ahead), "_b": F.ceil(c("_n") / block).cast("long")})
     names = ["s", "q", "g"]
     table = wins.select(
         "strategy", c("_i").alias("_start"),

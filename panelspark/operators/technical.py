@@ -61,13 +61,10 @@ def true_range() -> Levels:
 
 
 def _wma(x: Column, n: int) -> Column:
-    """Weights 1..n, the newest row weighs n; null while any of the n rows is null.
-
-    With the row number i: the weighted sum is sum(j x_j) - (i - n) sum(x_j) over the frame.
-    """
-    frame = series().rowsBetween(-(n - 1), 0)
-    weighted = F.sum(c("_i") * x).over(frame) - (c("_i") - n) * F.sum(x).over(frame)
-    return F.when(F.count(x).over(frame) == n, weighted / (n * (n + 1) / 2))
+    """Weights 1..n, the newest row weighs n; null while any of the n rows is null."""
+    win = F.collect_list(x).over(series().rowsBetween(-(n - 1), 0))
+    weighted = F.aggregate(F.transform(win, lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    return F.when(F.size(win) == n, weighted / (n * (n + 1) / 2))
 
 
 def row_index() -> dict[str, Column]:
@@ -75,17 +72,16 @@ def row_index() -> dict[str, Column]:
 
 
 def wma(n: int) -> Levels:
-    return [row_index(), {}, {f"wma_{n}": _wma(c("close"), n)}]
+    return _at(2, [{f"wma_{n}": _wma(c("close"), n)}])
 
 
 def hull_dist(n: int = 20) -> Levels:
     half, root = max(n // 2, 1), max(int(math.sqrt(n)), 1)
-    return [
-        row_index(), {},
+    return _at(2, [
         {"_w1": _wma(c("close"), half), "_w2": _wma(c("close"), n)},
         {"_h": _wma(2 * c("_w1") - c("_w2"), root)},
         {"hull_dist": safe_div(c("close") - c("_h"), c("_h"))},
-    ]
+    ])
 
 
 def adx(n: int = 14) -> Levels:

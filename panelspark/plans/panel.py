@@ -4,15 +4,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_nonfinite, drop_incomplete
-from ..functions.windows import add_features
+from ..functions.windows import add_features, merge_levels
 from ..operators import cross_section as xs
 from ..operators import fundamentals as fund
 from ..operators import relative
-from ..operators.joins import interval_join, sector_join
+from ..operators.joins import sector_join, with_membership
 from ..operators.technical import single_name_features
 
 c = F.col
@@ -63,38 +63,54 @@ class PanelConfig:
 
 def build_panel(bars: DataFrame, bench: DataFrame, cfg: PanelConfig = PanelConfig(), refs: DataFrame | None = None,
                 ref_names: Sequence[str] = (), sectors: DataFrame | None = None, membership: DataFrame | None = None,
-                filings: DataFrame | None = None, insider: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+                filings: DataFrame | None = None, insider: DataFrame | None = None,
+                n_names: int | None = None) -> tuple[DataFrame, list[str]]:
     """Panel and its feature columns.
 
     ``bars`` aligned long bars with ``pos``; ``bench(date, close)``; ``refs(date, ref, close)`` with
-    ``ref_names`` the series to use. Everything per ticker runs in one exchange by ticker, everything per
-    date in one exchange by date; per-date scalars come back by broadcast.
+    ``ref_names`` the series to use; ``n_names`` the size of the universe if known. The bars pass once
+    through an exchange by ticker (filings, flows and all per-ticker features) and once through an
+    exchange by date (breadth, ranks, label, quantiles); nothing is joined back to itself.
     """
     by_date = bench.select("date", c("close").alias("_bench"))
     if refs is not None:
         picks = [F.max(F.when(c("ref") == n, c("close"))).alias(f"_ref_{n}") for n in ref_names]
         by_date = by_date.join(refs.where(c("ref").isin(*ref_names)).groupBy("date").agg(*picks), "date")
+    p = fund.event_columns(bars, filings, insider)
+    if sectors is not None:
+        p = sector_join(p, sectors)
+    if membership is not None:
+        p = with_membership(p, membership, "_member")
     levels = single_name_features(cfg.momentum_windows, cfg.vol_windows)
     levels += [relative.relative_strength_column("rs_bench", "_bench")]
     levels += [relative.relative_strength_column(f"rs_{n}", f"_ref_{n}") for n in ref_names]
     levels += [relative.rolling_beta_levels("beta_bench", "_bench"), xs.forward_return(cfg.horizon)]
-    p = add_features(relative.market_join(bars, by_date), levels)
-    p = relative.market_join(p, relative.breadth(bars, cfg.breadth_mas))
+    flags = relative.breadth_flags(cfg.breadth_mas)
+    levels.append(flags)
+    if insider is not None:
+        levels.append([{}, {}, fund.insider_columns()])
+    ranked: list[tuple[str, str]] = []
     if filings is not None:
-        ratios = fund.fundamental_ratios(bars, filings)
-        p = xs.rank_fill_neutral(p.join(ratios, ["date", "ticker"], "left"), fund.FUNDAMENTAL_COLS, "f_").drop(*fund.FUNDAMENTAL_COLS)
+        levels.append([fund.ratio_columns()])
+        ranked += [(x, f"f_{x}") for x in fund.FUNDAMENTAL_COLS]
     if insider is not None:
-        flows = fund.insider_features(bars, insider)
-        p = xs.rank_fill_neutral(p.join(flows, ["date", "ticker"], "left"), fund.INSIDER_COLS, "i_").drop(*fund.INSIDER_COLS)
-    if sectors is not None:
-        p = sector_join(p, sectors)
-    p = xs.add_ranked_signals(p, cfg.sector_neutral)
+        ranked += [(x, f"i_{x}") for x in fund.INSIDER_COLS]
+    shares = [f"_is_{k}" for k in [x[4:] for x in flags[2]]]
+    keep = [x for level in merge_levels(*levels) for x in level if not x.startswith("_")]
+    p = add_features(relative.market_join(p, by_date), levels, keep=list(dict.fromkeys(keep + shares)))
+    # from here on by date
+    market = Window.partitionBy("date")
+    names = F.lit(n_names) if n_names else bars.agg(F.countDistinct("ticker")).scalar()
+    p = p.withColumns({x[4:]: F.sum(x).over(market) / names for x in shares}).drop(*shares)
+    for raw, out in ranked:
+        p = p.withColumn(out, F.coalesce(xs.cs_rank(raw), F.lit(0.0)))
+    p = xs.add_ranked_signals(p.drop(*[raw for raw, _ in ranked]), cfg.sector_neutral)
     if membership is not None:
-        member = interval_join(p.select("date", "ticker"), membership).withColumn("_in", F.lit(True))
-        p = p.join(member, ["date", "ticker"], "left").withColumn("fwd", F.when(c("_in"), c("fwd"))).drop("_in")
+        p = p.withColumn("fwd", F.when(c("_member"), c("fwd")))
     p = xs.demean_target(p, ("date", "sector") if cfg.sector_neutral else ("date",))
-    keys = {"date", "pos", "ticker", "open", "high", "low", "close", "volume", "fwd", "target", "sector"}
-    features = [x for x in p.columns if x not in keys and not x.startswith("_")]
+    not_features = {*bars.columns, *fund.CONCEPTS, "rev_growth_yoy", "ni_growth_yoy", "signed_value", "purchases",
+                    "fwd", "target", "sector"}
+    features = [x for x in p.columns if x not in not_features and not x.startswith("_")]
     p = clean_nonfinite(p.select("date", "pos", "ticker", *features, "target"))
     p = xs.winsorize(p, features, cfg.winsorize_pct, cfg.exact_quantiles)
     return drop_incomplete(p, features, cfg.keep_unlabeled), features
