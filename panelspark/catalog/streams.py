@@ -75,3 +75,30 @@ def full_panel(s, d, **options):
 
 
 add("build_panel", lambda s, d: (lambda p: p[0].select("date", "ticker", *[rc(x).alias(x) for x in p[1]], rc("target").alias("target")))(full_panel(s, d, winsorize_pct=0.01)))
+
+
+# --- books of the daily run ----------------------------------------------------------------------------------------
+def assignment(s, d):
+    """Brands dealt to the five books by their number."""
+    from ..functions.columns import first_match
+    from ..plans.books import BOOKS
+    return t.tickers(s, d).withColumn("book", first_match([(t.brand_number() % 5 == i, b.name) for i, b in enumerate(BOOKS)], None))
+
+
+def daily_books(s, d):
+    from ..plans.books import build_books
+    return build_books(t.bars_filled(s, d), t.benchmark(s, d).select("date", "close"), assignment(s, d))
+
+
+def system(s, d):
+    """The combined system with its caps and the learning multipliers of the ledger's sleeves."""
+    from ..operators import monitor as mon, portfolio as pf
+    from ..plans.books import combine_system
+    mult = pf.learning_multipliers(mon.rolling_performance(t.ledger(s, d))).withColumn(
+        "sleeve", F.when(c("sleeve") == "sleeve_0", "stocks").when(c("sleeve") == "sleeve_1", "crypto").when(c("sleeve") == "sleeve_2", "metals").otherwise(c("sleeve")))
+    held = daily_books(s, d).withColumn("weight", F.greatest("weight", F.lit(0.04)))
+    return combine_system(held, {"stocks": 0.65, "metals": 0.15, "crypto": 0.20}, mult)
+
+
+add("build_books", daily_books)
+add("combine_system", system)
