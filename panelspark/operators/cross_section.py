@@ -95,7 +95,7 @@ def _by_score(by: Sequence[str], desc: bool = True):
     return Window.partitionBy(*by).orderBy(s, c("ticker").asc() if desc else c("ticker").desc())
 
 
-def with_pick_rank(scores: DataFrame, q: float, by: Sequence[str] = ("date",)) -> DataFrame:
+def with_pick_rank(scores: DataFrame, q: float | Column, by: Sequence[str] = ("date",)) -> DataFrame:
     """Adds ``_rn`` (1 = best) and ``_k`` = max(ceil(n q), 1) over the non-null scores."""
     s = scores.where("score IS NOT NULL")
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))

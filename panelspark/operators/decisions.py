@@ -13,7 +13,7 @@ from .cross_section import with_pick_rank
 c = F.col
 
 
-def decide(scores: DataFrame, max_weight: float = 0.08, top_q: float = 0.30, floor: float = 60.0, cost: float = 0.001,
+def decide(scores: DataFrame, max_weight: float | Column = 0.08, top_q: float | Column = 0.30, floor: float = 60.0, cost: float = 0.001,
            by: Sequence[str] = ("strategy", "date")) -> DataFrame:
     """One decision per asset.
 

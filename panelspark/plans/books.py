@@ -123,11 +123,9 @@ def build_books(bars: DataFrame, bench: DataFrame, assignment: DataFrame, books:
         "risk_on": c("exposure") > 0, "governor": c("exposure") * (0.5 + 0.5 * kelly) * F.coalesce("_gov", F.lit(1.0)),
         "overload": F.lit(False), "strategy": c("book"),
     })
-    parts = [decide(s.where(c("book") == b.name).select("strategy", "date", "ticker", "score", "current", "risk_on", "governor", "overload"),
-                    b.position_cap, b.top_quantile) for b in books]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # caps and quantiles are columns of the book, so all books pass through one plan
+    out = decide(s.select("strategy", "date", "ticker", "score", "current", "risk_on", "governor", "overload"),
+                 by_book(books, lambda b: b.position_cap, c("strategy")), by_book(books, lambda b: b.top_quantile, c("strategy")))
     capped = pf.rescale_book(out.withColumn("weight", c("target_weight")), by_book(
         books, lambda b: min(b.class_cap, pf.EXPERIMENTAL_CAP) if b.bucket == "experimental" else b.class_cap, c("strategy")))
     return capped.withColumnRenamed("strategy", "book")
