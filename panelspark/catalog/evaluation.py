@@ -10,6 +10,7 @@ from ..functions.windows import add_features
 from ..operators import cross_section as xs
 from ..operators import evaluate as ev
 from ..operators import joins, regime as rg, relative, splits, technical as tech
+from ..plans.panel import select_families
 from ..sources import tables as t
 from .base import add, cte, r, rc
 from .features import W, roll
@@ -257,5 +258,5 @@ add("lookahead_probe",
         t.bars_filled(s, d), lambda b: add_features(b, [tech.log_momentum(20), tech.rsi(), tech.supertrend(), tech.kama_dist()]).select("date", "pos", "ticker", *[rc(x).alias(x) for x in ("mom_20", "rsi", "supertrend", "kama_dist")]), 1500)
     .agg(F.count(F.lit(1)).alias("changed")), "SELECT 0::BIGINT AS changed", dates="")
 add("select_families",
-    lambda s, d: feature_panel(s, d).select("date", "ticker", *[rc(x).alias(x) for x in __import__("panelspark.plans.panel", fromlist=["x"]).select_families(list(_FEATS), ["momentum", "volatility"])]),
+    lambda s, d: feature_panel(s, d).select("date", "ticker", *[rc(x).alias(x) for x in select_families(list(_FEATS), ["momentum", "volatility"])]),
     f"SELECT date, ticker, {r('mom20')} AS mom_20, {r('mom60')} AS mom_60, {r('v20')} AS realized_vol_20 FROM fpanel")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as col
-from ..functions.windows import series
+from ..functions.windows import ordered
 from ..operators import cross_section as xs
 from ..operators import decisions as dec
 from ..operators import evaluate as ev
@@ -140,7 +140,10 @@ for _mode, _pay in _PAY.items():
             {r('snav * (1 + sum(contribution / snav) OVER (PARTITION BY strategy ORDER BY date))')} AS equity_spy FROM dca_{_mode}""")
 
 # --- sizing -----------------------------------------------------------------------------------------------------------
-_rw = lambda n: __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("strategy").orderBy("date").rowsBetween(-(n - 1), 0)
+
+
+def _rw(n: int):
+    return ordered(["strategy"]).rowsBetween(-(n - 1), 0)
 
 
 def _sizing(s, d):

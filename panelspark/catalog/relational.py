@@ -1,7 +1,7 @@
 """Queries over sources, projections, joins, cross-sections and set operations."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -25,7 +25,6 @@ c = F.col
 
 def scratch(spark, stem: str) -> str:
     """A fresh folder name below the shared folder."""
-    import uuid
     return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
