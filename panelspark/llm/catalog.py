@@ -4,14 +4,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contaminated
 from .simhash import simhash_components
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(documents(spark, folder))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
 }
 ORACLES: dict[str, str] = {}
