@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .decontaminate import contaminated
+from .pii import find_pii
 from .simhash import simhash_components
 
 
@@ -16,8 +17,13 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(documents(spark, folder))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(documents(spark, folder)).drop("found")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
+    "op7_pii": op7_pii,
 }
 ORACLES: dict[str, str] = {}
