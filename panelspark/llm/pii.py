@@ -50,7 +50,7 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
          "digits AND instr(text, '-') > 0", "true", 0.3, "ssn|social|security", base=False),
 )
-#: Code points on either side in which context words count, what they add, and the least score of an added span.
+#: Code points on either side, up to the next match of the kind, in which context words count, what they add, and the least score of an added span.
 NEAR, RAISE, LEAST = 40, 0.2, 0.5
 
 
@@ -68,14 +68,19 @@ def findings(text: Column) -> list[tuple[str, Column]]:
         steps.append((f"_m_{k.name}", F.expr(f"if({on(k.present)}, regexp_extract_all(_text, {_quoted(k.pattern)}, 0), array())")))
     for k in KINDS:
         # gaps between matches give the starts: the same finds, read as separators
-        pieces = f"zip_with(slice(split(_text, {_quoted(k.pattern)}, -1), 1, size(_m_{k.name})), _m_{k.name}, (g, m) -> struct(length(g) AS gap, m AS m))"
+        steps.append((f"_g_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, split(_text, {_quoted(k.pattern)}, -1), array())")))
+    for k in KINDS:
+        m, g = f"_m_{k.name}", f"_g_{k.name}"
+        # whole columns go in as arguments: inside a lambda they could be evaluated for each match
+        pieces = (
+            f"zip_with(zip_with(slice({g}, 1, size({m})), {m}, (g, m) -> struct(g AS g, m AS m)), slice({g}, 2, size({m})),"
+            f" (x, h) -> struct(length(x.g) AS gap, x.m AS m, concat(right(x.g, {NEAR}), ' ', left(h, {NEAR})) AS near))")
         located = (
-            f"aggregate({pieces}, struct(0 AS at, cast(array() AS array<struct<start: int, m: string>>) AS out),"
-            " (a, x) -> struct(a.at + x.gap + length(x.m) AS at, concat(a.out, array(struct(a.at + x.gap AS start, x.m AS m))) AS out), a -> a.out)")
-        near = f"substring(_text, greatest(s.start - {NEAR} + 1, 1), s.start - greatest(s.start - {NEAR}, 0) + length(s.m) + {NEAR})"
+            f"aggregate({pieces}, struct(0 AS at, cast(array() AS array<struct<start: int, m: string, near: string>>) AS out),"
+            " (a, x) -> struct(a.at + x.gap + length(x.m) AS at, concat(a.out, array(struct(a.at + x.gap AS start, x.m AS m, x.near AS near))) AS out), a -> a.out)")
         scored = (
             f"transform(filter({located}, s -> {k.valid.replace('m,', 's.m,')}), s -> struct('{k.name}' AS kind, s.start AS start,"
-            f" s.start + length(s.m) AS `end`, least(1.0D, {k.score}D + if({near} RLIKE '(?i){k.words}', {RAISE}D, 0.0D)) AS score))"
+            f" s.start + length(s.m) AS `end`, least(1.0D, {k.score}D + if(s.near RLIKE '(?i){k.words}', {RAISE}D, 0.0D)) AS score))"
             .replace("\\b", "\\\\b"))
         kept = scored if k.base else f"filter({scored}, s -> s.score >= {LEAST}D)"
         steps.append((f"_s_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, {kept}, cast(array() AS array<struct<kind: string, start: int, `end`: int, score: double>>))")))
