@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .decontaminate import contaminated
+from .language import predict_language, train_language_model
 from .pii import find_pii
 from .simhash import simhash_components
 
@@ -21,9 +22,15 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder)).drop("found")
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return predict_language(docs, train_language_model(docs))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
     "op7_pii": op7_pii,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
