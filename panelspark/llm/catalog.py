@@ -1,12 +1,14 @@
 """Registered queries of the ten operators and the pipeline, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import TOKENIZERS, documents
 from .decontaminate import contaminated
 from .language import predict_language, train_language_model
 from .pii import find_pii
+from .pieces import encode, load_model
 from .simhash import simhash_components
 
 
@@ -18,6 +20,12 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(documents(spark, folder))
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each text, and the digest of what they decode to."""
+    encoded = encode(documents(spark, folder), load_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return encoded.select("doc_id", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder)).drop("found")
 
@@ -27,10 +35,16 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return predict_language(docs, train_language_model(docs))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_pii": op7_pii,
     "op9_language": op9_language,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

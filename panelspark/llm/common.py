@@ -1,6 +1,7 @@
 """Helpers the operators of this folder share: shared folders, checkpoints, groups in sorted streams."""
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import shared_folder
 
+#: Folder of the public vocabulary files, which are never copied here.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")

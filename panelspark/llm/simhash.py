@@ -142,3 +142,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = named.join(smallest, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(member, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns kept, of one document of each near-duplicate class: the smallest id.
+
+    Rows of one id are one document and go or stay together, by the smallest class of their fingerprints;
+    rows with a null id stay.
+    """
+    classes = simhash_components(docs, id_col, text_col, shingle, distance)
+    gone = classes.groupBy(id_col).agg(F.min("component_id").alias("_first")).where(F.col("_first") < F.col(id_col)).select(F.col(id_col).alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
