@@ -10,6 +10,7 @@ from .language import predict_language, train_language_model
 from .pii import find_pii
 from .pieces import encode, load_model
 from .simhash import simhash_components
+from .tokenfile import token_file_digest
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(documents(spark, folder))
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    with open(f"{TOKENIZERS}/word_bpe_49k.json", encoding="utf-8") as f:
+        return token_file_digest(documents(spark, folder), f.read())
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of each text, and the digest of what they decode to."""
     encoded = encode(documents(spark, folder), load_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
@@ -42,6 +48,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_token_files": op4_token_files,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_pii": op7_pii,
     "op9_language": op9_language,
