@@ -9,6 +9,7 @@ from .decontaminate import contaminated
 from .language import predict_language, train_language_model
 from .pii import find_pii
 from .pieces import encode, load_model
+from .shards import shard_digest
 from .simhash import simhash_components
 from .tokenfile import token_file_digest
 
@@ -41,6 +42,10 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return predict_language(docs, train_language_model(docs))
 
 
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_digest(documents(spark, folder))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op7_pii": op7_pii,
     "op9_language": op9_language,
+    "op10_shards": op10_shards,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
