@@ -9,6 +9,7 @@ from .decontaminate import contaminated
 from .language import predict_language, train_language_model
 from .pii import find_pii
 from .pieces import encode, load_model
+from .quality import score_quality, train_quality_model
 from .shards import shard_digest
 from .simhash import simhash_components
 from .tokenfile import token_file_digest
@@ -33,6 +34,11 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return score_quality(docs, train_quality_model(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder)).drop("found")
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op9_language": op9_language,
     "op10_shards": op10_shards,
