@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import TOKENIZERS, documents
 from .decontaminate import contaminated
 from .language import predict_language, train_language_model
+from .neighbors import vector_components
 from .pii import find_pii
 from .pieces import encode, load_model
 from .quality import score_quality, train_quality_model
@@ -43,6 +44,10 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder)).drop("found")
 
 
+def op8_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_components(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return predict_language(docs, train_language_model(docs))
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_vectors": op8_vectors,
     "op9_language": op9_language,
     "op10_shards": op10_shards,
     "pipeline": pipeline,

@@ -28,5 +28,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = stored(moved.select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
