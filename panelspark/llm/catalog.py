@@ -11,6 +11,7 @@ from .neighbors import vector_components
 from .pii import find_pii
 from .pieces import encode, load_model
 from .quality import score_quality, train_quality_model
+from .repeats import remove_repeats
 from .shards import shard_digest
 from .simhash import simhash_components
 from .tokenfile import token_file_digest
@@ -20,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(documents(spark, folder))
 
@@ -63,6 +68,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_repeats": op2_repeats,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_sentencepiece": op5_sentencepiece,
