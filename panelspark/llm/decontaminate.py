@@ -23,7 +23,7 @@ FILTER_BITS = 26
 _TABLE = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _SPAN = max(m[-1] for m in MASKS) + 1
 _BEFORE, _AFTER = WINDOW - 1, WINDOW + _SPAN
-_MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(WINDOW)]
+_MIX = np.random.default_rng(3).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def token_codes(lowered: bytes) -> np.ndarray:

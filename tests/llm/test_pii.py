@@ -57,8 +57,8 @@ def test_odd_texts_equal_plain_search(spark):
     rng = random.Random(3)
     parts = ["a@b.c", "_d@e.f", "@", ".", "+1 (017) 555-7713", "4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "0001.02.3.255", "é", "𝔘", " ", "-",
              "12345678901234567890", "+", "x%y", "37828224631000 5", "(", ")", "\n", "00", "a", "1.2.3.4.5.6.7.8", "\\", "'", " "]
-    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
-    texts += ["9" * 100_000, "a" * 60_000 + "@", "1." * 30_000, "+1" + " " * 50_000, "a@b" + ".c" * 30_000, "", None]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(400)]
+    texts += ["9" * 100_000, "a" * 60_000 + "@", "1." * 4_000, "+1" + " " * 50_000, "a@b" + ".c" * 30_000, "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = find_pii(df).collect()
     assert len(rows) == len(texts)
