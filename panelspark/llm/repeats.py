@@ -1,8 +1,8 @@
 """Repeated word sequences across documents, by prefix-partitioned suffix trees.
 
 The suffixes of all texts are cut to ``min_words`` words: removal only asks for nodes at that depth. A suffix is
-a string of one-byte word symbols and a 64-bit fingerprint of its words. Symbol strings are split into ranges,
-so that every range of prefixes (of whatever length it takes) fits a task; a task reads its range in order,
+a string of one-byte word symbols, eight at most, and a 64-bit fingerprint of all its words for the path below
+them. Symbol strings are split into ranges, so that every range of prefixes (of whatever length it takes) fits a task; a task reads its range in order,
 which is the subtree laid out by depth, and the common prefix of neighbours gives the internal nodes. A node
 as deep as ``min_words`` holds the documents that share a sequence.
 
@@ -25,7 +25,8 @@ from .common import sorted_groups, text_bytes
 
 #: Words of an anchor, and entries a block of documents gathers before it settles what it can.
 ANCHOR, BLOCK = 5, 400_000
-_MULT = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64) | 1) for k in range(64)]
+_SYMBOLS = 8
+_MULT = np.random.default_rng(2).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ASK, _TOLD, _KNOWN = 0, 1, 2
 
 
@@ -40,7 +41,7 @@ def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
     for k in range(length):
-        total += (hashes[k:k + n] >> np.uint64(k % 7)) * _MULT[k % 64] + np.uint64(k)
+        total += (hashes[k:k + n] ^ _MULT[-1 - k // 64 % 64]) * _MULT[k % 64]
     total ^= total >> np.uint64(31)
     return (total * _MULT[63]).view(np.int64)
 
@@ -119,16 +120,25 @@ def _shared_anchors(texts: DataFrame, min_words: int) -> DataFrame:
     return rows.repartition(place).sortWithinPartitions("value").mapInArrow(judge, "doc long, value long")
 
 
-def repeated_nodes(symbols: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Depth in words of the common prefix of each suffix with the one before it, in sorted order.
+def path_symbols(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The first symbols of each sequence of ``length`` words, packed in order into a signed long."""
+    n = len(hashes) - length + 1
+    total = np.zeros(max(n, 0), np.uint64)
+    for k in range(min(length, _SYMBOLS) if n > 0 else 0):
+        total |= (hashes[k:k + n] >> np.uint64(56)) << np.uint64(56 - 8 * k)
+    return total.view(np.int64)
+
 
-    ``symbols`` is suffix x word; the full depth counts only if the fingerprints agree.
+def node_depths(symbols: np.ndarray, prints: np.ndarray, min_words: int) -> np.ndarray:
+    """Depth in words of the common prefix of each suffix with the one before it, both sorted.
+
+    Equal fingerprints are the full depth; else the symbols in common, at most one less than that.
     """
-    same = symbols[1:] == symbols[:-1]
-    depth = np.where(same.all(axis=1), symbols.shape[1], same.argmin(axis=1))
-    whole = depth == symbols.shape[1]
-    depth[whole & (prints[1:] != prints[:-1])] -= 1
-    return depth
+    differ = (symbols[1:] ^ symbols[:-1]).view(np.uint64)
+    common = np.full(len(differ), _SYMBOLS)
+    for k in range(_SYMBOLS - 1, -1, -1):
+        common[(differ >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0] = k
+    return np.where((differ == 0) & (prints[1:] == prints[:-1]), min_words, np.minimum(common, min_words - 1))
 
 
 def _repeats(texts: DataFrame, min_words: int) -> DataFrame:
@@ -141,25 +151,17 @@ def _repeats(texts: DataFrame, min_words: int) -> DataFrame:
                 hashes = word_hashes(text.split())
                 live = np.flatnonzero(np.isin(window_anchors(hashes, min_words), np.array(shared, np.int64)))
                 prints, first = np.unique(sequence_hashes(hashes, min_words)[live], return_index=True)
-                strings = np.zeros((0, min_words), np.uint8)
-                if len(first):
-                    letters = (hashes >> np.uint64(56)).astype(np.uint8)
-                    strings = np.lib.stride_tricks.sliding_window_view(letters, min_words)[live[first]]
-                held.append((prints, strings))
+                held.append((prints, path_symbols(hashes, min_words)[live][first]))
                 yield doc, prints
 
         for value, doc, kind in _blocks(batches, windows, True):
-            prints, strings = (np.concatenate(x) for x in zip(*held))
+            prints, symbols = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(prints, kind="stable")
-            strings = strings[order][np.searchsorted(prints[order], value)]
+            symbols = symbols[order][np.searchsorted(prints[order], value)]
             # what is known needs no place in the tree: it is spread by fingerprint and document
-            known = kind == _KNOWN
-            mixed = ((value[known].view(np.uint64) ^ doc[known].view(np.uint64)) * _MULT[5]).view(np.uint8).reshape(-1, 8)
-            strings[known, :min(8, min_words)] = mixed[:, :min(8, min_words)]
+            symbols = np.where(kind == _KNOWN, ((value.view(np.uint64) ^ doc.view(np.uint64)) * _MULT[5]).view(np.int64), symbols)
             held.clear()
-            offsets = np.arange(len(value) + 1, dtype=np.int32) * min_words
-            symbols = pa.Array.from_buffers(pa.binary(), len(value), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(strings))])
-            yield pa.RecordBatch.from_arrays([symbols, pa.array(value), pa.array(doc), pa.array(kind)], names=["symbols", "value", "doc", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(symbols), pa.array(value), pa.array(doc), pa.array(kind)], names=["symbols", "value", "doc", "kind"])
 
     def subtree(batches):
         for bounds, symbols, value, doc, kind in sorted_groups(batches, ["symbols", "value"], ["symbols", "value", "doc", "kind"]):
@@ -167,9 +169,8 @@ def _repeats(texts: DataFrame, min_words: int) -> DataFrame:
             out_doc, out_value = [doc[known]], [value[known]]
             leaves = np.flatnonzero(~known)
             if len(leaves):
-                strings = np.frombuffer(b"".join(symbols[leaves]), np.uint8).reshape(-1, min_words)
                 v, d = value[leaves], doc[leaves]
-                new = np.concatenate(([True], repeated_nodes(strings, v) < min_words))  # else a leaf of the node before
+                new = np.concatenate(([True], node_depths(symbols[leaves], v, min_words) < min_words))  # else a leaf of the node before
                 node = np.cumsum(new) - 1
                 least = np.minimum.reduceat(d, np.flatnonzero(new))
                 later = d > least[node]
@@ -177,7 +178,7 @@ def _repeats(texts: DataFrame, min_words: int) -> DataFrame:
                 out_value.append(v[later])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_value))], names=["doc", "value"])
 
-    rows = texts.mapInArrow(emit, "symbols binary, value long, doc long, kind byte")
+    rows = texts.mapInArrow(emit, "symbols long, value long, doc long, kind byte")
     return rows.repartitionByRange("symbols", "value").sortWithinPartitions("symbols", "value").mapInArrow(subtree, "doc long, value long")
 
 
@@ -199,14 +200,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay out of the trees. Null and empty texts have no words; texts shorter than a window lose none; rows with
     a null id are left out; rows of one id are no repeats of each other; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    digests = rows.where("text is not null").select(F.sha2("text", 256).alias("digest"), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    # every join below takes these same rows by id, so the texts are shuffled once
+    digests = rows.where("text <> ''").select(F.sha2("text", 256).alias("digest"), "id")
     first = digests.groupBy("digest").agg(F.min("id").alias("first"))
     copies = digests.join(first, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("copies"))
     marked = rows.join(copies, "id", "left")
-    single = marked.where("text is not null and (copies is null or not array_contains(copies, sha2(text, 256)))").select("id", "text")
+    single = marked.where("copies is null or not array_contains(copies, sha2(text, 256))").select("id", "text")
     anchors = _shared_anchors(single, min_words).groupBy("doc").agg(F.collect_set("value").alias("shared"))
-    likely = rows.join(anchors, rows.id == anchors.doc).where("text is not null").select("id", "text", "shared")
+    likely = rows.join(anchors, rows.id == anchors.doc).select("id", "text", "shared")
     repeats = _repeats(likely, min_words).groupBy("doc").agg(F.collect_set("value").alias("repeated"))
 
     def run(batches):
