@@ -23,7 +23,7 @@ SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: Encoded segments and tested neighbours a worker keeps; either cache starts anew when it is full.
-CACHE, FITS = 200_000, 400_000
+CACHE, FITS = 300_000, 400_000
 
 
 def _fields(data: bytes):
@@ -111,13 +111,18 @@ class Transducer(dict):
                 node = node[0].setdefault(c, [{}, -1])
             node[1] = i
         self._fits: dict[int, bool] = {}
-        # characters that no longer piece holds stand alone; a space mark only ever begins a word
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        self.segments = self._splitter()
+
+    def _splitter(self) -> re.Pattern:
+        """Cuts a normalised text where no piece reaches across: before space marks and around ASCII
+        characters that only stand alone."""
+        longer = [p for p in self.ids if len(p) > 1]
+        if any(SPACE in p.lstrip(SPACE) for p in longer):
+            return re.compile(".+", re.S)
+        joined = {c for p in longer for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        alone = f"[{alone}]|" if alone else ""
-        rest = alone[1:-2] if alone else ""
-        self.segments = re.compile(f"{alone}{SPACE}*[^{SPACE}{rest}]+|{SPACE}+") if not inner else re.compile(".+", re.S)
+        only = f"[{alone}]|" if alone else ""
+        return re.compile(f"{only}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
 
     def normalized(self, text: str) -> str:
         if self.model.remove_extra_whitespaces:
@@ -147,40 +152,58 @@ class Transducer(dict):
 
     def shortest_path(self, s: str) -> list[int]:
         """Ids along the best path; a character without a piece counts as -2 minus its code point."""
-        n, unigram, root, fits = len(s), self.model.kind == _UNIGRAM, self.root[0], self._fits
-        weight: list = [None] * (n + 1)
+        return self._least_cost(s) if self.model.kind == _UNIGRAM else self._only_path(s)
+
+    def _arcs(self, s: str, i: int) -> list[tuple[int, int]]:
+        """End and id of each piece that begins at ``i``, by length; the character alone if it is no piece."""
+        children, out, j = self.root[0], [], i
+        for c in s[i:]:
+            node = children.get(c)
+            if node is None:
+                break
+            children, t = node
+            j += 1
+            if t >= 0:
+                out.append((j, t))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, -2 - ord(s[i])))
+        return out
+
+    def _only_path(self, s: str) -> list[int]:
+        """The path without an infinite arc: depth first, longest piece first. The start of a text has one
+        encoding, so a place that leads nowhere is given up whatever comes before it."""
+        n, fits, path, places, given_up = len(s), self._fits, [-1], [0], set()
+        open_arcs = [self._arcs(s, 0)]
+        while True:
+            arcs, u = open_arcs[-1], path[-1]
+            while arcs:
+                j, t = arcs.pop()
+                if j in given_up:
+                    continue
+                fit = fits.get(u * _PAIR + t)
+                if self.fit(u, t) if fit is None else fit:
+                    break
+            else:
+                given_up.add(places.pop())
+                path.pop()
+                open_arcs.pop()
+                continue
+            path.append(t)
+            if j == n:
+                return path[1:]
+            places.append(j)
+            open_arcs.append(self._arcs(s, j))
+
+    def _least_cost(self, s: str) -> list[int]:
+        n = len(s)
+        weight: list = [0.0] + [None] * n
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        weight[0] = 0.0
-        unknown = 10.0 - min(self.model.scores) if unigram else 0.0
+        unknown = 10.0 - min(self.model.scores)
         for i in range(n):
-            w = weight[i]
-            if w is None:
-                continue
-            u, children, single = last[i], root, False
-            for j in range(i, n):
-                node = children.get(s[j])
-                if node is None:
-                    break
-                children, t = node
-                if t < 0:
-                    continue
-                single = single or j == i
-                if unigram:
-                    new = w - self.model.scores[t]
-                    if weight[j + 1] is not None and weight[j + 1] <= new:
-                        continue
-                elif weight[j + 1] is not None:
-                    continue
-                else:
-                    new = 0.0
-                    fit = fits.get(u * _PAIR + t)
-                    if not (self.fit(u, t) if fit is None else fit):
-                        continue
-                weight[j + 1], last[j + 1], back[j + 1] = new, t, i
-            if not single:
-                t = -2 - ord(s[i])
-                if (weight[i + 1] is None or unigram and weight[i + 1] > w + unknown) and (unigram or self.fit(u, t)):
-                    weight[i + 1], last[i + 1], back[i + 1] = w + unknown, t, i
+            for j, t in self._arcs(s, i):
+                new = weight[i] + (unknown if t < 0 else -self.model.scores[t])
+                if weight[j] is None or new < weight[j]:
+                    weight[j], last[j], back[j] = new, t, i
         path, at = [], n
         while at:
             path.append(last[at])
