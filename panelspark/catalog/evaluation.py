@@ -78,12 +78,14 @@ _REF = {"stock": "STANDARD", "bond": "LARGE", "high_yield": "MEDIUM", "grade": "
 
 def _votes(s, d):
     wide = t.references(s, d).groupBy("date").agg(*[F.max(F.when(c("ref") == v, c("close"))).alias(k) for k, v in _REF.items()])
-    breadth = relative.breadth(t.bars_filled(s, d), (200,)).select("date", F.nullif("breadth_pct_above_200", F.lit(-1.0)).alias("breadth"))
-    return rg.regime_votes(wide.join(breadth, "date"))
+    return rg.regime_votes(wide.join(relative.mature_breadth(t.bars_filled(s, d)), "date"))
 
 
+# a name counts once it has 200 closes of its own; a date without such a name has no vote
+cte("mature", f"""SELECT date, avg(CASE WHEN k >= 200 THEN (close > m)::INT END) AS share FROM (SELECT date, close, count(close) OVER ({W}) AS k,
+    avg(close) OVER ({W} ROWS 199 PRECEDING) AS m FROM filled) GROUP BY date""")
 cte("vote_in", "SELECT x.date, " + ", ".join(f"max(CASE WHEN ref = '{v}' THEN close END) AS {k}" for k, v in _REF.items())
-    + ", any_value(breadth_pct_above_200) AS breadth_share FROM refs x JOIN breadth b ON x.date = b.date GROUP BY x.date")
+    + ", any_value(share) AS breadth_share FROM refs x JOIN mature b ON x.date = b.date GROUP BY x.date")
 cte("vote_a", f"SELECT *, high_yield / nullif(grade, 0) AS q, stock / lag(stock) OVER ({D}) - 1 AS rs, bond / lag(bond) OVER ({D}) - 1 AS rb FROM vote_in")
 cte("vote_b", f"""SELECT *, count(q) OVER ({D}) AS nq, lag(q, 49) OVER ({D}) AS q49, count(rs + rb) OVER ({D}) AS nb,
     CASE WHEN count(rs + rb) OVER ({D} ROWS 62 PRECEDING) = 63 THEN corr(CASE WHEN rb IS NOT NULL THEN rs END, CASE WHEN rs IS NOT NULL THEN rb END) OVER ({D} ROWS 62 PRECEDING) END AS k FROM vote_a""")

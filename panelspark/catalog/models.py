@@ -77,8 +77,8 @@ add("ablation", lambda s, d: lin.ablation(panel(s, d), _FAMS, _folds(s, d), H))
 add("source_gate", lambda s, d: lin.source_gate(panel(s, d), ["mom_20", "realized_vol_20"], ["boll_z"], _folds(s, d), H))
 add("stack", lambda s, d: lin.stack(panel(s, d), NAMES, _folds(s, d), H)[0])
 add("stack_weights", lambda s, d: lin.stack(panel(s, d), NAMES, _folds(s, d), H)[1])
-add("random_forest", lambda s, d: trees.walk_forward_trees(panel(s, d), NAMES, _folds(s, d).where("fold >= 3"), H, lambda: trees.random_forest(trees=20), "rf"))
-add("boosted_trees", lambda s, d: trees.walk_forward_trees(panel(s, d), NAMES, _folds(s, d).where("fold >= 4"), H, lambda: trees.boosted_trees(rounds=5), "xgb"))
+add("random_forest", lambda s, d: trees.walk_forward_trees(panel(s, d), NAMES, _folds(s, d), H, lambda: trees.random_forest(), "rf"))
+add("boosted_trees", lambda s, d: trees.walk_forward_trees(panel(s, d), NAMES, _folds(s, d), H, lambda: trees.boosted_trees(rounds=20), "xgb"))
 
 
 def macro_gate(s, d):

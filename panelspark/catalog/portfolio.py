@@ -11,6 +11,7 @@ from ..operators import evaluate as ev
 from ..operators import governance as gov
 from ..operators import joins, monitor as mon, portfolio as pf, relative, resample
 from ..operators import regime as rg
+from ..session import stored
 from ..sources import ledger as led
 from ..sources import tables as t
 from .base import add, cte, r, rc
@@ -63,16 +64,16 @@ add("equal_weight", lambda s, d: weights(s, d).select("strategy", "date", "ticke
 
 def _raw_weights(s, d):
     """Unequal weights: picks weighted by inverse rank squared."""
-    return picks(s, d).where("strategy = 'top30'").withColumn("weight", 1.0 / (c("pick") * c("pick")))
+    return picks(s, d).withColumn("weight", 1.0 / (c("pick") * c("pick")))
 
 
-cte("w_raw", "SELECT *, 1.0::DOUBLE / (pick * pick) AS weight FROM picks WHERE strategy = 'top30'")
+cte("w_raw", "SELECT *, 1.0::DOUBLE / (pick * pick) AS weight FROM picks")
 cap_ctes("w_cap", "w_raw", CAP)
 cap_ctes("w_strict", "w_raw", 0.1)
-add("cap_and_normalize", lambda s, d: pf.cap_and_normalize(_raw_weights(s, d), CAP).select("date", "ticker", rc("weight").alias("weight")), f"SELECT date, ticker, {r('w')} AS weight FROM w_cap")
+add("cap_and_normalize", lambda s, d: pf.cap_and_normalize(_raw_weights(s, d), CAP).select("strategy", "date", "ticker", rc("weight").alias("weight")), f"SELECT strategy, date, ticker, {r('w')} AS weight FROM w_cap")
 add("cap_strict",
-    lambda s, d: pf.cap_and_normalize(_raw_weights(s, d), 0.1, strict=True).groupBy("date").agg(rc(F.sum("weight")).alias("invested"), rc(F.max("weight")).alias("largest")),
-    f"SELECT date, {r('sum(least(w, 0.1))')} AS invested, {r('max(least(w, 0.1))')} AS largest FROM w_strict_10 GROUP BY 1")
+    lambda s, d: pf.cap_and_normalize(_raw_weights(s, d), 0.1, strict=True).groupBy("strategy", "date").agg(rc(F.sum("weight")).alias("invested"), rc(F.max("weight")).alias("largest")),
+    f"SELECT strategy, date, {r('sum(least(w, 0.1))')} AS invested, {r('max(least(w, 0.1))')} AS largest FROM w_strict_10 GROUP BY 1, 2")
 cte("look", "SELECT p.strategy, p.date, p.ticker, x.pos, x.r FROM picks p JOIN rr x ON p.ticker = x.ticker AND x.pos BETWEEN p.pos - 59 AND p.pos WHERE r IS NOT NULL")
 cte("look_full", "SELECT strategy, date, pos FROM look l GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM look z WHERE z.strategy = l.strategy AND z.date = l.date)")
 cte("ivol_a", "SELECT strategy, date, ticker, 1 / nullif(stddev_samp(r), 0) AS iv FROM look JOIN look_full USING (strategy, date, pos) GROUP BY 1, 2, 3")
@@ -185,23 +186,59 @@ def overlay_market(s, d):
 
 
 SCENARIOS = [
-    gov.Scenario("plain"), gov.Scenario("vol_target", vol_target=0.12), gov.Scenario("kelly", kelly_cap=0.25),
+    gov.Scenario("plain"), gov.Scenario("vol_target", vol_target=0.12), gov.Scenario("kelly", kelly_fraction=0.25),
     gov.Scenario("regime", regime_off=0.2), gov.Scenario("cash", cash_regime=True), gov.Scenario("governed", hard_risk=True),
-    gov.Scenario("band", band=0.05), gov.Scenario("all", 0.12, 0.25, 0.2, True, True, 0.02),
+    gov.Scenario("all", 0.12, 0.25, 0.2, True, True),
 ]
 
 
 def overlays(s, d):
-    days = gov.overlay_days(weights(s, d), returns_r(s, d).select("date", "ticker", "r"), overlay_market(s, d))
-    return gov.apply_overlays(days, SCENARIOS)
+    book = stored(s, pf.portfolio_returns(weights(s, d), returns_r(s, d), t.trading_calendar(s, d)), "book")
+    return gov.apply_overlays(book, overlay_market(s, d), SCENARIOS)
+
+
+def governor_ctes(stem: str, src: str) -> str:
+    """States after each return, and the reason before it, from running products and places of last events."""
+    w = "OVER (PARTITION BY strategy ORDER BY date)"
+    cte(f"{stem}_a", f"SELECT strategy, date, ret, count(ret) {w} AS n, product(1 + ret) {w} AS nav FROM {src}")
+    cte(f"{stem}_b", f"SELECT *, greatest(1, max(nav) {w}) AS peak, coalesce(max(CASE WHEN ret >= 0 THEN n END) {w}, 0) AS gain FROM {stem}_a")
+    cte(f"{stem}_c", f"""SELECT *, max(CASE WHEN ret <= -0.04 OR ret < 0 AND n - gain >= 3 THEN n END) {w} AS hit,
+        last_value(CASE WHEN ret IS NULL THEN NULL WHEN nav / peak - 1 <= -0.2 THEN 1 WHEN nav / peak - 1 >= -0.1 THEN 0 END IGNORE NULLS) {w} AS down FROM {stem}_b""")
+    cte(f"{stem}_d", f"SELECT *, CASE WHEN ret IS NULL THEN NULL WHEN down = 1 THEN 'drawdown' WHEN n - hit < 5 THEN 'cooldown' ELSE 'ok' END AS state FROM {stem}_c")
+    cte(stem, f"""SELECT *, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'ok') AS reason
+        FROM {stem}_d""")
+    return stem
 
 
-add("apply_overlays", overlays)
+cte("gvr_in", "SELECT strategy, date, ret / 10 AS ret FROM rets")
+governor_ctes("gvr", "gvr_in")
+governor_ctes("gvb", "pret")
+cte("gvl_in", "SELECT sleeve AS strategy, date, day_return AS ret FROM ledger")
+governor_ctes("gvl", "gvl_in")
+cte("ov_m", """SELECT a.date, risk_on, breadth_pct_above_200 AS br, stddev_samp(r1 / 100) OVER (PARTITION BY 1 ORDER BY a.date ROWS 19 PRECEDING) * sqrt(252) AS mv
+    FROM rg_a a JOIN regime2 g ON a.date = g.date JOIN breadth b ON a.date = b.date""")
+_P = lambda k: f"OVER (PARTITION BY strategy ORDER BY date ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+cte("ov_a", f"""SELECT p.*, CASE WHEN g.reason = 'ok' THEN 1.0::DOUBLE ELSE 0 END AS gv, risk_on, br, mv FROM pret p
+    JOIN gvb g ON p.strategy = g.strategy AND p.date = g.date LEFT JOIN ov_m m ON p.date = m.date""")
+_Q = "OVER (PARTITION BY strategy ORDER BY date)"
+cte("ov_b", f"""SELECT *, count(ret) {_P(20)} AS n, stddev_samp(ret) {_P(20)} * sqrt(252) AS vol, avg(ret) {_P(60)} AS me, var_samp(ret) {_P(60)} AS va,
+    count(ret) {_P(60)} AS m, lag(risk_on) {_Q} AS lo, lag(br) {_Q} AS lb, lag(mv) {_Q} AS lm FROM ov_a""")
+cte("ov_c", """SELECT *, CASE WHEN n < 5 OR vol IS NULL OR vol = 0 THEN 1.0::DOUBLE ELSE least(0.12 / vol, 1) END AS vt,
+    CASE WHEN m < 5 OR va IS NULL OR va <= 0 THEN 1.0::DOUBLE ELSE greatest(least(0.25 * me / va, 1), 0) END AS ke, CASE WHEN lo < 0.5 THEN 0.2::DOUBLE ELSE 1 END AS rg,
+    CASE WHEN lb IS NULL THEN 1.0::DOUBLE ELSE 0.5 * greatest(least(lb / 0.5, 1), 0) + 0.5 * greatest(least(0.3 / greatest(coalesce(lm, 0), 1e-6), 1), 0) END AS ca FROM ov_b""")
+cte("ov_d", """SELECT strategy, date, gross, cost, ret, unnest(['plain', 'vol_target', 'kelly', 'regime', 'cash', 'governed', 'all']) AS scenario,
+    unnest([1.0::DOUBLE, vt, ke, rg, ca, gv, ca * vt * ke * rg * gv]) AS e FROM ov_c""")
+add("apply_overlays",
+    lambda s, d: overlays(s, d).select("strategy", "scenario", "date", rc("exposure").alias("exposure"), rc("ret", 8).alias("ret")),
+    f"SELECT strategy, scenario, date, {r('e')} AS exposure, {r('ret * e', 8)} AS ret FROM ov_d")
 add("apply_overlays_plain",
     lambda s, d: overlays(s, d).where("scenario = 'plain' AND (gross <> 0 OR cost <> 0)").select("strategy", "date", rc("gross", 8).alias("gross"), rc("cost", 8).alias("cost"), rc("ret", 8).alias("ret")),
     f"SELECT strategy, date, {r('gross', 8)} AS gross, {r('cost', 8)} AS cost, {r('ret', 8)} AS ret FROM pret WHERE gross <> 0 OR cost <> 0")
-add("governor", lambda s, d: gov.governor(_rets(s, d)))
-add("governor_today", lambda s, d: gov.governor_today(t.ledger(s, d).select(c("sleeve").alias("strategy"), "date", c("day_return").alias("ret"))))
+add("governor", lambda s, d: gov.governor(t.returns(s, d, 10.0)),
+    "SELECT strategy, date, CASE WHEN reason = 'ok' THEN 1.0::DOUBLE ELSE 0 END AS exposure, reason FROM gvr")
+add("governor_today", lambda s, d: gov.governor_today(t.ledger(s, d).select(c("sleeve").alias("strategy"), "date", c("day_return").alias("ret"))),
+    """SELECT strategy, CASE WHEN state = 'ok' THEN 1.0::DOUBLE ELSE 0 END AS exposure, state AS reason FROM (
+        SELECT strategy, coalesce(arg_max(state, date) FILTER (WHERE state IS NOT NULL), 'ok') AS state FROM gvl GROUP BY 1)""", dates="")
 add("no_trade_band", lambda s, d: gov.no_trade_band(weights(s, d), 0.05).select("strategy", "rebal_no", "ticker", rc("weight").alias("weight")))
 
 
@@ -241,7 +278,7 @@ add("decide", lambda s, d: dec.decide(decision_input(s, d)).drop("strategy"), "S
 
 
 def _top_n(s, d):
-    scores = _score_assets(s, d).where(F.dayofmonth("date") == 28)
+    scores = _score_assets(s, d)
     decs = dec.decide(decision_input(s, d)).drop("strategy")
     tgt = decs.select("date", "ticker", c("target_weight").alias("weight"))
     return dec.top_n(scores, decs, tgt, t.bars_filled(s, d), 5)
@@ -251,7 +288,7 @@ add("top_n", lambda s, d: _top_n(s, d).select("date", c("place").cast("long").al
     f"""SELECT date, place, ticker AS asset, score, CASE WHEN target_weight > 0 THEN 'BUY' WHEN action IN ('SELL', 'REDUCE') THEN action WHEN comp >= 70 THEN 'WATCH' ELSE coalesce(action, 'HOLD') END AS action,
         round(ev_score, 5) AS ev, coalesce(risk_status, 'n/a') AS risk, round(confidence, 0) AS confidence, round(coalesce(target_weight, 0) * 100, 2) AS position_size, coalesce(reasoning, 'scored, not selected') AS reasoning FROM (
         SELECT a.*, e.* EXCLUDE (date, ticker), round(comp, 1) AS score, row_number() OVER (PARTITION BY a.date ORDER BY round(comp, 1) DESC, a.ticker) AS place
-        FROM (SELECT date, ticker, {' + '.join(f'{v} * {k}' for k, v in xs.SCORE_WEIGHTS.items())} AS comp FROM asset_scores WHERE day(date) = 28) a LEFT JOIN dec_e e ON a.date = e.date AND a.ticker = e.ticker) WHERE place <= 5""")
+        FROM (SELECT date, ticker, {' + '.join(f'{v} * {k}' for k, v in xs.SCORE_WEIGHTS.items())} AS comp FROM asset_scores) a LEFT JOIN dec_e e ON a.date = e.date AND a.ticker = e.ticker) WHERE place <= 5""")
 add("top_signals", lambda s, d: dec.top_signals(dec.decide(decision_input(s, d)).drop("strategy")).select("date", "ticker", "ev_score"),
     "SELECT date, ticker, ev_score FROM dec_e ORDER BY ev_score DESC, ticker LIMIT 10")
 add("top_risks", lambda s, d: dec.top_risks(weights(s, d).withColumn("weight", F.round(c("weight") * (1 + c("rebal_no") / 1000), 6)).where("strategy = 'top30'")).select("date", "ticker", "weight"),
@@ -361,7 +398,7 @@ add("realized_gap_return", lambda s, d: mon.realized_gap_return(gap_targets(s, d
         JOIN filled a ON n.ticker = a.ticker AND a.date = (SELECT max(date) FROM cal WHERE date <= '1997-03-15') JOIN filled b ON n.ticker = b.ticker AND b.date = (SELECT max(date) FROM cal WHERE date <= '1997-06-20') GROUP BY 1""", dates="")
 
 # --- resampling and verdicts ---------------------------------------------------------------------------------------------------------
-SIMS = 50
+SIMS = 1000
 cte("bs_r", "SELECT strategy, ret / 1000 AS ret, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM rets")
 cte("bs_n", "SELECT strategy, any_value(n) AS n, ceil(any_value(n) / 10)::BIGINT AS nb FROM bs_r GROUP BY 1")
 cte("bs_d", f"""SELECT strategy, n, sim, k, k * 10 + o AS p, ((((sim * 1103515 + k * 12345 + 3 * 7919) * 69069 + 362437) % 2147483647) * 48271 % 2147483647) % (n - 10) + o AS i

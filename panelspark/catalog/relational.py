@@ -70,10 +70,9 @@ def _wide_pair(s, d):
 
 add("wide_long_roundtrip", _wide_pair, f"SELECT date, ticker, {r('close', 2)} AS close FROM bars")
 add("long_to_wide",
-    lambda s, d: b.long_to_wide(t.bars(s, d), "close", ["Brand#1", "Brand#2"]).select(
-        "date", rc(c("`Brand#1`"), 2).alias("brand_1"), rc(c("`Brand#2`"), 2).alias("brand_2")),
-    f"""SELECT date, {r("max(CASE WHEN ticker = 'Brand#1' THEN close END)", 2)} AS brand_1,
-        {r("max(CASE WHEN ticker = 'Brand#2' THEN close END)", 2)} AS brand_2 FROM bars GROUP BY date""")
+    lambda s, d: b.long_to_wide(t.bars(s, d), "close", [f"Brand#{k}" for k in range(1, 26)]).select(
+        "date", *[rc(c(f"`Brand#{k}`"), 2).alias(f"brand_{k}") for k in range(1, 26)]),
+    "SELECT date, " + ", ".join(f"{r(f'max(CASE WHEN ticker = {chr(39)}Brand#{k}{chr(39)} THEN close END)', 2)} AS brand_{k}" for k in range(1, 26)) + " FROM bars GROUP BY date")
 
 
 def _membership_csv(s, d):
@@ -331,15 +330,16 @@ add("first_match",
     "SELECT date, ticker, CASE WHEN close > open THEN 'up' WHEN volume > 60 THEN 'heavy' WHEN high = low THEN 'flat' ELSE 'other' END AS label FROM bars")
 
 # --- joins ------------------------------------------------------------------------------------------------
+_CONCEPTS = ["revenue", "shares", "equity", "net_income", "gross_profit", "operating_income", "liabilities", "debt"]
 add("asof_join",
-    lambda s, d: joins.asof_join(t.bars(s, d).select("date", "ticker", "close"), t.filings(s, d).where("concept = 'revenue'").select("ticker", "filed", c("value").alias("revenue"))).select(
-        "date", "ticker", rc("revenue", 4).alias("revenue")),
-    f"""SELECT b.date, b.ticker, {r('f.value', 4)} AS revenue FROM bars b ASOF LEFT JOIN
-        (SELECT * FROM filings WHERE concept = 'revenue') f ON b.ticker = f.ticker AND b.date >= f.filed""")
+    lambda s, d: joins.asof_join(t.bars(s, d).select("date", "ticker", "close"), t.filings(s, d).groupBy("ticker", "filed").pivot("concept", _CONCEPTS).agg(F.max("value"))).select(
+        "date", "ticker", *[rc(k, 4).alias(k) for k in _CONCEPTS]),
+    f"""SELECT b.date, b.ticker, {', '.join(f"{r(f'f_{k}.value', 4)} AS {k}" for k in _CONCEPTS)} FROM bars b """ + " ".join(
+        f"ASOF LEFT JOIN (SELECT * FROM filings WHERE concept = '{k}' AND value IS NOT NULL) f_{k} ON b.ticker = f_{k}.ticker AND b.date >= f_{k}.filed" for k in _CONCEPTS))
 add("asof_lookup",
-    lambda s, d: joins.asof_lookup(t.bars(s, d), t.filings(s, d).where("concept = 'revenue'").select("ticker", c("filed").alias("point_date"))).select(
+    lambda s, d: joins.asof_lookup(t.bars(s, d), t.filings(s, d).select("ticker", c("filed").alias("point_date")).distinct()).select(
         "ticker", c("point_date").alias("date"), rc("price", 2).alias("price")),
-    f"""SELECT f.ticker, f.filed AS date, {r('b.close', 2)} AS price FROM (SELECT * FROM filings WHERE concept = 'revenue') f
+    f"""SELECT f.ticker, f.filed AS date, {r('b.close', 2)} AS price FROM (SELECT DISTINCT ticker, filed FROM filings) f
         ASOF LEFT JOIN bars b ON b.ticker = f.ticker AND f.filed >= b.date""")
 add("interval_join", lambda s, d: joins.interval_join(t.bars(s, d).select("date", "ticker", "close"), t.membership(s, d)).select("date", "ticker", rc("close", 2).alias("close")),
     f"""SELECT date, ticker, {r('close', 2)} AS close FROM bars b WHERE EXISTS (SELECT 1 FROM membership m WHERE m.ticker = b.ticker

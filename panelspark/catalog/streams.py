@@ -41,7 +41,8 @@ def _append(s, d):
 
 add("stream_ledger_append", lambda s, d: _append(s, d).select("date", "sleeve", rc("day_return", 14).alias("day_return")),
     f"SELECT date, sleeve, {r('day_return', 14)} AS day_return FROM ledger")
-add("stream_governor", lambda s, d: s.read.parquet(streamed(s, d, ls.stream_governor, stateful=True)).select("sleeve", "date", "exposure", "reason"))
+add("stream_governor", lambda s, d: s.read.parquet(streamed(s, d, ls.stream_governor, stateful=True)).select("sleeve", "date", "exposure", "reason"),
+    "SELECT strategy AS sleeve, date, CASE WHEN reason = 'ok' THEN 1.0::DOUBLE ELSE 0 END AS exposure, reason FROM gvl")
 add("stream_page_hinkley",
     lambda s, d: s.read.parquet(streamed(s, d, ls.stream_page_hinkley, stateful=True)).select("sleeve", "date", rc("rise", 8).alias("rise"), rc("fall", 8).alias("fall"), "alarm"),
     f"SELECT sleeve, date, {r('rise', 8)} AS rise, {r('fall', 8)} AS fall, alarm FROM ph")
@@ -56,9 +57,9 @@ add("stream_period_rollup",
 
 # --- user functions ----------------------------------------------------------------------------------------------
 add("rolling_apply",
-    lambda s, d: t.bars_filled(s, d).where("ticker < 'Brand#2'").select("date", "ticker", udfs.rolling_apply(lambda v: (v - v.mean()).abs().mean(), "close", 10).alias("mad")).select("date", "ticker", rc("mad", 4).alias("mad")),
+    lambda s, d: t.bars_filled(s, d).select("date", "ticker", udfs.rolling_apply(lambda v: (v - v.mean()).abs().mean(), "close", 10).alias("mad")).select("date", "ticker", rc("mad", 4).alias("mad")),
     f"""SELECT date, ticker, {r('CASE WHEN len(w) = 10 THEN list_avg(list_transform(w, lambda x: abs(x - list_avg(w)))) END', 4)} AS mad FROM (
-        SELECT date, ticker, list(close) OVER ({W} ROWS 9 PRECEDING) AS w FROM filled WHERE ticker < 'Brand#2')""")
+        SELECT date, ticker, list(close) OVER ({W} ROWS 9 PRECEDING) AS w FROM filled)""")
 add("per_date",
     lambda s, d: udfs.per_date(t.bars(s, d).select("date", "ticker", "close"), lambda p: p.assign(gap=p["close"] / p["close"].median() - 1)[["date", "ticker", "gap"]], "date date, ticker string, gap double").select("date", "ticker", rc("gap").alias("gap")),
     f"SELECT b.date, ticker, {r('close / m - 1')} AS gap FROM bars b JOIN (SELECT date, median(close) AS m FROM bars GROUP BY 1) q ON b.date = q.date")

@@ -67,18 +67,14 @@ def rank_pct_split(df: DataFrame, x: str, out: str, by: Sequence[str] = ("date",
     return df.join(ranked, [*keys, x], "left")
 
 
-def quantile_pair(x: str, p: float, exact: bool = True) -> Column:
+def quantile_pair(x: str, p: float) -> Column:
     """Lower and upper quantile, linearly interpolated, as one aggregate of an array.
 
-    The exact one keeps a group's distinct values in memory; above about a million names per group pass
-    ``exact=False`` for the bounded-memory sketch.
+    Exact; the state is the distinct values of a group with their counts, combined before the shuffle.
     """
-    if exact:
-        return F.percentile(x, F.array(F.lit(p), F.lit(1 - p)))
-    return F.percentile_approx(x, [p, 1 - p], F.lit(10000))
+    return F.percentile(x, F.array(F.lit(p), F.lit(1 - p)))
 
 
-def quantile_bounds(df: DataFrame, cols: Sequence[str], p: float, by: Sequence[str] = ("date",),
-                    exact: bool = True) -> DataFrame:
+def quantile_bounds(df: DataFrame, cols: Sequence[str], p: float, by: Sequence[str] = ("date",)) -> DataFrame:
     """The pair of every column per group."""
-    return df.groupBy(*by).agg(*[quantile_pair(x, p, exact).alias(f"_q_{x}") for x in cols])
+    return df.groupBy(*by).agg(*[quantile_pair(x, p).alias(f"_q_{x}") for x in cols])

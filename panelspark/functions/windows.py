@@ -78,39 +78,31 @@ def ewm_levels(name: str, x: Column, alpha: float, tag: str, keys: Sequence[str]
     """Recursive exponential mean ``y = (1-a) y' + a x`` seeded with the first non-null value.
 
     Closed form over blocks of rows: inside a block a running sum of ``a x q^-j`` scaled by ``q^i``;
-    across blocks only the previous one matters, because a block is long enough for anything older to
-    have decayed below one part in 1e20. Block length keeps the powers inside the double range, so a
-    history of any length works and no row leaves the window operator. Six levels, result in the last.
+    across blocks the sums of all earlier blocks, each decayed by the values between. A block's length
+    keeps the powers inside the double range, there are few blocks, and no row leaves the window operator,
+    so a history of any length works, however sparse. Seven levels, result in the last.
     """
     rate = -math.log1p(-alpha)
     rows = 5600 if 50 <= rate * 5600 <= 600 else max(1, int(600 / rate))
-    blk, v, n, base, term, prev, prev_base, run = (
-        f"_blk{rows}", f"_{tag}_x", f"_{tag}_n", f"_{tag}_b", f"_{tag}_t", f"_{tag}_p", f"_{tag}_pb", f"_{tag}_s",
+    blk, end, v, n, base, term, run, older = (
+        f"_blk{rows}", f"_end{rows}", f"_{tag}_x", f"_{tag}_n", f"_{tag}_b", f"_{tag}_t", f"_{tag}_s", f"_{tag}_o",
     )
     by = ordered(keys)
-    in_block = ordered([*keys, blk])
-    cum = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    previous = ordered(keys, [blk]).rangeBetween(-1, -1)
+    cum = ordered([*keys, blk]).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = ordered(keys, [blk]).rangeBetween(Window.unboundedPreceding, -1)
     c = F.col
     since_base = (c(n) - c(base)).cast("double") * rate
-    link = (c(base) - c(prev_base)).cast("double") * rate
+    at = F.row_number().over(by)
+    # decay counts values, so a block without any passes on what came before it unchanged
+    carried = F.aggregate(older, F.lit(0.0), lambda acc, o: acc + o["s"] * F.exp((o["b"] - c(base)).cast("double") * rate))
     return [
-        {v: x, blk: F.floor((F.row_number().over(by) - 1) / rows).cast("long")},
+        {v: x, blk: F.floor((at - 1) / rows).cast("long"), end: at % rows == 0},
         {n: F.count(c(v)).over(by.rowsBetween(Window.unboundedPreceding, 0))},
         {base: F.first(c(n)).over(cum)},
         {term: F.when(c(n) == 1, 1.0).otherwise(alpha) * c(v) * F.exp(since_base)},
-        {
-            run: F.sum(c(term)).over(cum),
-            prev: F.sum(c(term)).over(previous),
-            prev_base: F.min(c(base)).over(previous),
-        },
-        {
-            name: F.when(
-                c(n) > 0,
-                F.exp(-since_base)
-                * (F.coalesce(c(run), F.lit(0.0)) + F.coalesce(c(prev) * F.exp(-link), F.lit(0.0))),
-            )
-        },
+        {run: F.coalesce(F.sum(c(term)).over(cum), F.lit(0.0))},
+        {older: F.collect_list(F.when(c(end), F.struct(c(run).alias("s"), c(base).alias("b")))).over(earlier)},
+        {name: F.when(c(n) > 0, F.exp(-since_base) * (c(run) + carried))},
     ]
 
 

@@ -23,7 +23,7 @@ def sector_rank(x) -> Column:
     return cs_rank(x, ("date", "sector"))
 
 
-def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, exact: bool = True, stored: bool = False) -> DataFrame:
+def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, stored: bool = False) -> DataFrame:
     """Clip every column to its per-date quantiles.
 
     By default the quantiles are window aggregates, so a panel that is still a plan is computed once and
@@ -34,10 +34,10 @@ def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, exact: boo
     if p <= 0:
         return panel
     if stored:
-        source = panel.join(F.broadcast(quantile_bounds(panel, cols, p, exact=exact)), "date")
+        source = panel.join(F.broadcast(quantile_bounds(panel, cols, p)), "date")
     else:
         w = Window.partitionBy("date")
-        source = panel.withColumns({f"_q_{x}": quantile_pair(x, p, exact).over(w) for x in cols})
+        source = panel.withColumns({f"_q_{x}": quantile_pair(x, p).over(w) for x in cols})
     clipped = {x: F.when(c(x).isNotNull(), F.greatest(F.least(c(x), c(f"_q_{x}")[1]), c(f"_q_{x}")[0])) for x in cols}
     return source.withColumns(clipped).select(*panel.columns)
 

@@ -179,12 +179,11 @@ def performance_by(returns: DataFrame, keys: Sequence[str] = ("strategy",)) -> D
 
 def against_benchmark(perf: DataFrame, benchmark: str) -> DataFrame:
     """Winner flags of every strategy against one row of the same table."""
-    ref = perf.where(c("strategy") == benchmark).select(
-        c("sharpe").alias("_s"), c("total_return").alias("_t"), c("max_drawdown").alias("_d"), F.lit(1).alias("_one"))
-    flags = {"beats_sharpe": c("sharpe") > c("_s"), "beats_return": c("total_return") > c("_t"),
-             "smaller_drawdown": c("max_drawdown") > c("_d")}
-    # the reference is one row
-    return perf.withColumn("_one", F.lit(1)).join(F.broadcast(ref), "_one").withColumns(flags).drop("_one", "_s", "_t", "_d")
+    w = Window.partitionBy(F.lit(1))  # one row per strategy
+    ref = lambda v: F.max(F.when(c("strategy") == benchmark, c(v))).over(w)
+    flags = {"beats_sharpe": c("sharpe") > ref("sharpe"), "beats_return": c("total_return") > ref("total_return"),
+             "smaller_drawdown": c("max_drawdown") > ref("max_drawdown")}
+    return perf.withColumns(flags)
 
 
 def cvar(returns: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("strategy",)) -> DataFrame:

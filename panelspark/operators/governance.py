@@ -1,82 +1,103 @@
-"""Path-dependent folds: risk governor, exposure overlays, no-trade band, cash buffer.
+"""Risk governor, exposure overlays, no-trade band, cash buffer.
 
-One strategy's path is sequential by nature, so the unit of parallel work is the strategy (or account).
-Everything that is not path-dependent (selection, weights, per-name returns) is done before in Spark and
-reaches the fold as one row per date.
+The governor and the overlays are windows over one row per strategy and date: what a rule remembers is always
+the place of its last event. Only the cash buffer jumps from release to release, per account.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import NamedTuple, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import cash_regime_scalar, kelly_exposure, vol_target_scalar
+
 c = F.col
 
 
-@dataclass
-class GovernorState:
-    """Kill switch, loss stop and loss freeze, updated one return at a time."""
+@dataclass(frozen=True)
+class Limits:
+    """Drawdowns that stop and that allow again, the loss of a day, losses in a row, days of rest."""
 
     max_drawdown: float = 0.20
+    reenter: float = 0.10
     daily_loss: float = 0.04
     max_losses: int = 3
     cooldown_days: int = 5
-    reenter: float = 0.10
-    nav: float = 1.0
-    peak: float = 1.0
-    losses: int = 0
-    cooldown: int = 0
-    killed: bool = False
-
-    def allowed(self) -> float:
-        return 0.0 if self.killed or self.cooldown > 0 else 1.0
-
-    def reason(self) -> str:
-        return "drawdown" if self.killed else "cooldown" if self.cooldown > 0 else "ok"
-
-    def advance(self, r: float) -> None:
-        self.nav *= 1.0 + r
-        self.peak = max(self.peak, self.nav)
-        fall = self.nav / self.peak - 1.0
-        self.killed = fall <= -self.max_drawdown or (self.killed and fall < -self.reenter)
-        stopped = r <= -self.daily_loss
-        self.cooldown = self.cooldown_days if stopped else max(self.cooldown - 1, 0)
-        self.losses = self.losses + 1 if r < 0 else 0
-        if self.losses >= self.max_losses:
-            self.cooldown = max(self.cooldown, self.cooldown_days)
-
-
-def governor(returns: DataFrame, key: str = "strategy", **limits) -> DataFrame:
-    """Replay: exposure and reason *before* each return, decided from the returns up to the day before;
-    null returns are skipped."""
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        g = GovernorState(**limits)
-        exposure, reason = [], []
-        for r in pdf["ret"]:
-            exposure.append(g.allowed())
-            reason.append(g.reason())
-            if not pd.isna(r):
-                g.advance(float(r))
-        return pd.DataFrame({key: pdf[key], "date": pdf["date"], "exposure": exposure, "reason": reason})
 
-    return returns.select(key, "date", "ret").groupBy(key).applyInPandas(
-        replay, f"{key} string, date date, exposure double, reason string")
 
+def _states(returns: DataFrame, key: str, limits: Limits) -> DataFrame:
+    """``_state`` after each return: drawdown, cooldown or ok; null where the return is null.
+
+    Stopped by drawdown: the last crossing of either limit was the lower one. Resting: the last trigger (a bad
+    day, or a loss that ends a run of losses long enough) lies fewer returns back than the rest lasts.
+    """
+    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    r, n = c("ret"), c("_n")
+    fall = c("_nav") / c("_peak") - 1
+    run = n - F.coalesce("_gain", F.lit(0))
+    trigger = (r <= -limits.daily_loss) | ((r < 0) & (run >= limits.max_losses))
+    crossing = F.when(r.isNotNull(), F.when(fall <= -limits.max_drawdown, True).when(fall >= -limits.reenter, False))
+    return (
+        returns.select(key, "date", "ret")
+        .withColumns({"_n": F.count(r).over(w), "_nav": F.product(1 + r).over(w)})
+        .withColumns({"_peak": F.greatest(F.lit(1.0), F.max("_nav").over(w)), "_gain": F.max(F.when(r >= 0, n)).over(w)})
+        .withColumns({"_hit": F.max(F.when(trigger, n)).over(w), "_down": F.last(crossing, ignorenulls=True).over(w)})
+        .withColumn("_state", F.when(r.isNotNull(), F.when(c("_down"), "drawdown").when(n - c("_hit") < limits.cooldown_days, "cooldown").otherwise("ok")))
+    )
 
-def governor_today(returns: DataFrame, key: str = "strategy", **limits) -> DataFrame:
+
+def governor(returns: DataFrame, key: str = "strategy", limits: Limits = Limits()) -> DataFrame:
+    """Exposure and reason *before* each return, decided from the returns up to the day before; null returns
+    change nothing."""
+    before = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    reason = F.coalesce(F.last("_state", ignorenulls=True).over(before), F.lit("ok"))
+    return _states(returns, key, limits).select(key, "date", reason.alias("reason")).select(
+        key, "date", F.when(c("reason") == "ok", 1.0).otherwise(0.0).alias("exposure"), "reason")
+
+
+def governor_today(returns: DataFrame, key: str = "strategy", limits: Limits = Limits()) -> DataFrame:
     """Exposure and reason after the whole history: what may be held next."""
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = GovernorState(**limits)
-        for r in pdf.sort_values("date")["ret"].dropna():
-            g.advance(float(r))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "exposure": [g.allowed()], "reason": [g.reason()]})
+    last = F.max_by("_state", F.when(c("_state").isNotNull(), c("date")))
+    return _states(returns, key, limits).groupBy(key).agg(F.coalesce(last, F.lit("ok")).alias("reason")).select(
+        key, F.when(c("reason") == "ok", 1.0).otherwise(0.0).alias("exposure"), "reason")
 
-    return returns.select(key, "date", "ret").groupBy(key).applyInPandas(final, f"{key} string, exposure double, reason string")
+
+class GovernorMemory(NamedTuple):
+    """What a stream keeps of a strategy's past: value, peak, and the places of the last gain and trigger."""
+
+    nav: float = 1.0
+    peak: float = 1.0
+    n: int = 0
+    gain: int = 0
+    hit: int = -1_000_000
+    down: bool = False
+
+    def state(self, limits: Limits = Limits()) -> str:
+        return "drawdown" if self.down else "cooldown" if self.n - self.hit < limits.cooldown_days else "ok"
+
+
+def governor_path(returns: np.ndarray, memory: GovernorMemory, limits: Limits = Limits()) -> tuple[list[str], GovernorMemory]:
+    """States after each of further returns, and the memory after the last: the windows of :func:`governor` as
+    running extremes of an array."""
+    r = np.asarray(returns, float)
+    if not len(r):
+        return [], memory
+    n = memory.n + np.arange(1, len(r) + 1)
+    nav = memory.nav * np.cumprod(1 + r)
+    peak = np.maximum(np.maximum.accumulate(nav), memory.peak)
+    gain = np.maximum.accumulate(np.where(r >= 0, n, memory.gain))
+    trigger = (r <= -limits.daily_loss) | ((r < 0) & (n - gain >= limits.max_losses))
+    hit = np.maximum.accumulate(np.where(trigger, n, memory.hit))
+    fall = nav / peak - 1
+    low, crossed = fall <= -limits.max_drawdown, (fall <= -limits.max_drawdown) | (fall >= -limits.reenter)
+    place = np.maximum.accumulate(np.where(crossed, np.arange(len(r)), -1))
+    down = np.where(place >= 0, low[np.maximum(place, 0)], memory.down)
+    after = [GovernorMemory(float(v), float(p), int(i), int(g), int(h), bool(d)) for v, p, i, g, h, d in zip(nav, peak, n, gain, hit, down)]
+    return [m.state(limits) for m in after], after[-1]
 
 
 @dataclass(frozen=True)
@@ -85,101 +106,47 @@ class Scenario:
 
     name: str
     vol_target: float = 0.0
-    kelly_cap: float = 0.0
+    kelly_fraction: float = 0.0
     regime_off: float = 1.0
     cash_regime: bool = False
     hard_risk: bool = False
-    band: float = 0.0
-    commission_bps: float = 1.0
-    slippage_bps: float = 4.0
 
 
-def overlay_days(targets: DataFrame, returns: DataFrame, market: DataFrame) -> DataFrame:
-    """One row per strategy and date for the fold: arrays over the names the strategy ever targets.
+def apply_overlays(book: DataFrame, market: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
+    """Returns of a book under exposure overlays: ``(strategy, scenario, date, exposure, gross, cost, ret)``.
 
-    ``targets(strategy, date, ticker, weight)`` on rebalance dates; ``returns(date, ticker, r)``;
-    ``market(date, risk_on, breadth200, market_vol)``.
-    """
-    names = targets.select("strategy", "ticker").distinct()
-    rows = (
-        returns.join(names, "ticker")
-        .join(targets.select("strategy", "date", "ticker", "weight"), ["strategy", "date", "ticker"], "left")
-    )
-    days = rows.groupBy("strategy", "date").agg(
-        F.array_sort(F.collect_list(F.struct("ticker", F.coalesce("r", F.lit(0.0)).alias("r"), "weight"))).alias("_n"),
-        F.count("weight").alias("_k"))
-    return days.join(F.broadcast(market), "date", "left").select(
-        "strategy", "date", c("_n.ticker").alias("names"), c("_n.r").alias("rets"),
-        F.transform("_n.weight", lambda w: F.coalesce(w, F.lit(0.0))).alias("weights"), (c("_k") > 0).alias("rebalance"),
-        "risk_on", "breadth200", "market_vol")
-
-
-def apply_overlays(days: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
-    """Net returns under exposure overlays, one sequential fold per (strategy, scenario).
-
-    Exposure at a rebalance = cash regime x vol target x fractional Kelly (both on the last 60 net
-    returns, needing more than 20) x regime gate; then the no-trade band, turnover and cost. The
-    governor scales today's gross return from the state through yesterday; its kill switch is
-    absorbing, because without exposure the value cannot recover.
+    ``book(strategy, date, gross, cost, ret)`` as :func:`~.portfolio.portfolio_returns` gives it;
+    ``market(date, risk_on, breadth200, market_vol)``, one row for each trading day. A day's exposure uses what
+    was known the day before: cash regime x vol target (20 returns) x fractional Kelly (60 returns) x regime
+    gate x governor, all measured on the book itself, so every factor is a window and scenarios share them.
     """
-    schema = ("strategy string, scenario string, date date, gross double, exposure double, turnover double, cost double, "
-              "ret double, n_held long")
-
-    by_name = {s.name: s for s in scenarios}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        p = by_name[pdf["scenario"].iloc[0]]
-        strategy = pdf["strategy"].iloc[0]
-        at = {t: i for i, t in enumerate(sorted({t for row in pdf["names"] for t in row}))}
-        held = np.zeros(len(at))
-        g = GovernorState() if p.hard_risk else None
-        recent: list[float] = []
-        out = []
-        started = False
-        for row in pdf.itertuples(index=False):
-            idx = [at[t] for t in row.names]
-            gross = float(held[idx] @ np.asarray(row.rets, dtype=float))
-            if g is not None:
-                gross *= g.allowed()
-            exposure = turn = cost = 0.0
-            if row.rebalance:
-                exposure = _exposure(p, row, recent)
-                new = np.zeros(len(at))
-                new[idx] = np.asarray(row.weights, dtype=float) * exposure
-                banded = p.band > 0 and started
-                if banded:
-                    new = np.where(np.abs(new - held) < p.band, held, new)
-                turn = float(np.abs(new - held).sum())
-                cost = turn * (p.commission_bps + p.slippage_bps) / 1e4
-                held, started = new, bool(new.any()) or not banded
-            net = gross - cost
-            if g is not None:
-                g.advance(net)
-            recent = (recent + [net])[-60:]
-            out.append((strategy, p.name, row.date, gross, exposure, turn, cost, net, int((held != 0).sum())))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    each = days.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in by_name])))
-    return each.groupBy("strategy", "scenario").applyInPandas(fold, schema)
-
-
-def _exposure(p, row, recent: Sequence[float]) -> float:
-    out = 1.0
-    if p.cash_regime and not pd.isna(row.breadth200):
-        vol = 0.0 if pd.isna(row.market_vol) else row.market_vol
-        out *= float(np.clip(0.5 * np.clip(row.breadth200 / 0.5, 0, 1) + 0.5 * np.clip(0.30 / max(vol, 1e-6), 0, 1), 0, 1))
-    x = np.asarray(recent)
-    if len(x) > 20:
-        if p.vol_target > 0:
-            vol = x[-20:].std(ddof=1) * np.sqrt(252)
-            out *= min(p.vol_target / vol, 1.0) if vol > 0 else 1.0
-        if p.kelly_cap > 0:
-            var = x.var(ddof=1)
-            out *= float(np.clip(p.kelly_cap * x.mean() / var, 0, 1)) if var > 0 else 1.0
-    if not pd.isna(row.risk_on) and row.risk_on < 0.5:
-        out *= p.regime_off
-    return out
+    w = Window.partitionBy("strategy").orderBy("date")
+    past = lambda k: w.rowsBetween(-k, -1)
+    known = (
+        book.join(F.broadcast(market), "date", "left")
+        .join(governor(book).select("strategy", "date", c("exposure").alias("_gov")), ["strategy", "date"])
+        .withColumns({
+            "_vol": F.stddev_samp("ret").over(past(20)) * (252 ** 0.5), "_n": F.count("ret").over(past(20)),
+            "_mean": F.avg("ret").over(past(60)), "_var": F.var_samp("ret").over(past(60)), "_m": F.count("ret").over(past(60)),
+            "_on": F.lag("risk_on").over(w), "_breadth": F.lag("breadth200").over(w), "_mvol": F.lag("market_vol").over(w),
+        }))
+
+    def exposure(s: Scenario) -> Column:
+        out = F.lit(1.0)
+        if s.cash_regime:
+            out = out * F.coalesce(cash_regime_scalar("_breadth", F.coalesce("_mvol", F.lit(0.0))), F.lit(1.0))
+        if s.vol_target:
+            out = out * vol_target_scalar("_vol", "_n", s.vol_target)
+        if s.kelly_fraction:
+            out = out * kelly_exposure("_mean", "_var", "_m", s.kelly_fraction)
+        if s.regime_off != 1.0:
+            out = out * F.when(c("_on") < 0.5, s.regime_off).otherwise(1.0)
+        return out * c("_gov") if s.hard_risk else out
+
+    each = F.explode(F.array(*[F.struct(F.lit(s.name).alias("scenario"), exposure(s).alias("exposure")) for s in scenarios]))
+    e = c("_s.exposure")
+    return known.withColumn("_s", each).select(
+        "strategy", "_s.scenario", "date", e.alias("exposure"), (c("gross") * e).alias("gross"), (c("cost") * e).alias("cost"), (c("ret") * e).alias("ret"))
 
 
 def no_trade_band(weights: DataFrame, band: float) -> DataFrame:
@@ -208,22 +175,24 @@ def no_trade_band(weights: DataFrame, band: float) -> DataFrame:
 def cash_buffer(days: DataFrame, max_idle: int = 90) -> DataFrame:
     """Deposits wait until an opportunity or for ``max_idle`` days.
 
-    ``days(account, date, deposit, ev_ok)``: released cash and buffer after each day, one fold per account.
+    ``days(account, date, deposit, ev_ok)``: released cash and buffer after each day. A release happens on the
+    first day with an opportunity, or ``max_idle`` days, after the first deposit since the last release, so
+    each account is walked from release to release.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def releases(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        buffer, idle, released, left = 0.0, 0, [], []
-        for deposit, ok in zip(pdf["deposit"], pdf["ev_ok"]):
-            buffer += max(deposit, 0.0)
-            out = 0.0
-            if buffer <= 0:
-                idle = 0
-            elif ok or idle >= max_idle:
-                out, buffer, idle = buffer, 0.0, 0
-            else:
-                idle += 1
-            released.append(out)
-            left.append(buffer)
-        return pd.DataFrame({"account": pdf["account"], "date": pdf["date"], "released": released, "buffer": left})
-
-    return days.groupBy("account").applyInPandas(fold, "account string, date date, released double, buffer double")
+        paid = np.concatenate(([0.0], np.cumsum(pdf["deposit"].clip(lower=0.0).fillna(0.0).to_numpy())))
+        starts = np.flatnonzero(np.diff(paid) > 0)
+        chances = np.flatnonzero(pdf["ev_ok"].fillna(False).to_numpy(bool))
+        released, free = np.zeros(len(pdf)), 0
+        while (k := np.searchsorted(starts, free)) < len(starts):
+            first = starts[k]
+            chance = np.searchsorted(chances, first)
+            day = min(chances[chance] if chance < len(chances) else len(pdf), first + max_idle)
+            if day >= len(pdf):
+                break
+            released[day] = paid[day + 1] - paid[free]
+            free = day + 1
+        return pd.DataFrame({"account": pdf["account"], "date": pdf["date"], "released": released, "buffer": paid[1:] - np.cumsum(released)})
+
+    return days.groupBy("account").applyInPandas(releases, "account string, date date, released double, buffer double")

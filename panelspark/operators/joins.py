@@ -121,9 +121,9 @@ def weight_delta_join(weights: DataFrame) -> DataFrame:
     number on, so a position that is closed shows up with new weight 0. The last book has no
     successor and yields no closing rows.
     """
-    last = weights.groupBy("strategy").agg(F.max("rebal_no").alias("_last"))
+    last = F.max("rebal_no").over(Window.partitionBy("strategy"))  # a join on the strategy alone could become a product
     old = (
-        weights.join(last, "strategy").where(c("rebal_no") < c("_last"))
+        weights.withColumn("_last", last).where(c("rebal_no") < c("_last"))
         .select("strategy", (c("rebal_no") + 1).alias("rebal_no"), "ticker", c("weight").alias("old_w"))
     )
     new = weights.select("strategy", "rebal_no", "ticker", c("weight").alias("new_w"))

@@ -79,27 +79,35 @@ def inverse_vol(picks: DataFrame, returns: DataFrame, cap: float, n: int = 60) -
         "strategy", "date", "ticker", F.coalesce("_i", F.avg("_i").over(w)).alias("weight")), cap)
 
 
-def _risk_parity_weights(returns: np.ndarray, iters: int) -> np.ndarray:
+def _risk_parity_weights(returns: np.ndarray) -> np.ndarray:
+    """Weights w with equal w_i (S w)_i: the minimum of w'Sw/2 - mean(log w), one coordinate at a time.
+
+    In each coordinate that is a quadratic equation with one positive root; the function is convex, so a
+    solution exists for hedges too. A name without variance takes the least variance of the others.
+    """
     cov = np.atleast_2d(np.cov(returns, rowvar=False, ddof=1))
-    w = np.full(len(cov), 1.0 / len(cov))
-    for _ in range(iters):
-        contribution = w * (cov @ w)
-        share = contribution.mean() / (contribution + 1e-12)
-        if (share < 0).any():  # a hedge in the book: no equal contribution exists, keep what is reached
-            break
-        w = w * np.sqrt(share)
-        w /= w.sum()
-    return w
-
-
-def risk_parity(picks: DataFrame, returns: DataFrame, cap: float, n: int = 60, iters: int = 200) -> DataFrame:
+    n, own = len(cov), np.diag(cov).copy()
+    own[own <= 0] = own[own > 0].min() if (own > 0).any() else 1.0
+    w = 1.0 / np.sqrt(own)
+    w /= np.sqrt(max(w @ cov @ w, 1e-300)) if (np.diag(cov) > 0).any() else 1.0
+    for _ in range(10_000):
+        before = w.copy()
+        for i in range(n):
+            rest = cov[i] @ w - cov[i, i] * w[i]
+            w[i] = (-rest + np.sqrt(rest * rest + 4 * own[i] / n)) / (2 * own[i])
+        if np.abs(w - before).max() <= 1e-12 * w.max():
+            return w / w.sum()
+    raise ArithmeticError("risk parity has not converged")
+
+
+def risk_parity(picks: DataFrame, returns: DataFrame, cap: float, n: int = 60) -> DataFrame:
     """Equal risk contribution: one small iterative solve per book and rebalance date, spread over tasks.
 
     A group holds n days of the picked names of one book.
     """
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="pos", columns="ticker", values="r")
-        w = _risk_parity_weights(wide.to_numpy(), iters)
+        w = _risk_parity_weights(wide.to_numpy())
         return pd.DataFrame({"strategy": pdf["strategy"].iloc[0], "date": pdf["date"].iloc[0], "ticker": wide.columns, "weight": w})
 
     hist = lookback_returns(picks, returns, n).select("strategy", "date", "pos", "ticker", "r")

@@ -120,7 +120,8 @@ def regime_votes(df: DataFrame) -> DataFrame:
     """Four cross-market votes, their mean and the state.
 
     ``df(date, stock, bond, high_yield, grade, vix, vix3m, breadth)``; a vote whose data is missing is
-    absent and does not count. ``breadth`` is the share of names above their own 200-row mean.
+    absent and does not count. ``breadth`` is the share of names
+    with 200 closes that are above their own 200-row mean (null, and so no vote, while there is none).
     """
     w = _spec(())
     out = df.withColumns({

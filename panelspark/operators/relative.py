@@ -87,3 +87,9 @@ def breadth(bars: DataFrame, mas: Sequence[int] = (20, 50, 200), highs: int = 25
     outs = [k[4:] for k in level]
     sums = bars.withColumns(level).groupBy("date").agg(*[F.sum(f"_is_{k}").alias(k) for k in outs])
     return sums.select("date", *[(c(k) / names).alias(k) for k in outs])
+
+
+def mature_breadth(bars: DataFrame, n: int = 200) -> DataFrame:
+    """Per date: share of the names with ``n`` closes that are above their own n-row mean; null without such a name."""
+    above = c("close") > rolling(F.avg, "close", n)  # unknown, and so left out, before n closes
+    return bars.withColumn("_above", above.cast("double")).groupBy("date").agg(F.avg("_above").alias("breadth"))

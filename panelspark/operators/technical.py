@@ -21,9 +21,9 @@ ANNUAL = math.sqrt(252)
 
 # Levels are laid out so that windows of one ordering are neighbours and share a sort, and windows of one
 # frame share a buffer, however many features are asked for: 0 offsets, 1 arithmetic, 2 rolling, 3 rolling
-# over rolling, 4-7 exponential means by block, 8-10 by date again, 11-14 the second exponential mean of
-# the directional index, 15-17 the adaptive average.
-EWM_AT, AFTER_EWM, KAMA_SUMS_AT = 2, 8, 15
+# over rolling, 4-8 exponential means by block, 9-11 by date again, 12-16 the second exponential mean of
+# the directional index, 17-19 the adaptive average.
+EWM_AT, AFTER_EWM, KAMA_SUMS_AT = 2, 9, 17
 
 
 def _at(level: int, levels: Levels) -> Levels:
@@ -31,7 +31,7 @@ def _at(level: int, levels: Levels) -> Levels:
 
 
 def _ewm(name: str, x: Column, alpha: float, tag: str) -> Levels:
-    """Inputs and ordinals at levels 2-3 (by date), block sums at 4-7."""
+    """Inputs and ordinals at levels 2-3 (by date), block sums at 4-8."""
     return _at(EWM_AT, ewm_levels(name, x, alpha, tag))
 
 

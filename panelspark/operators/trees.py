@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 from typing import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -17,18 +17,23 @@ c = F.col
 
 def random_forest(seed: int = 42, trees: int = 300, depth: int = 6, leaf: int = 50) -> RandomForestRegressor:
     return RandomForestRegressor(
-        featuresCol="_x", labelCol="target", predictionCol="score", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+        featuresCol="_x", labelCol="target", predictionCol="score", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed,
+        featureSubsetStrategy="all")  # fixed value: a split may use any feature
 
 
-def boosted_trees(seed: int = 42, rounds: int = 400, depth: int = 4, step: float = 0.03, sample: float = 0.8) -> GBTRegressor:
+def boosted_trees(seed: int = 42, rounds: int = 400, depth: int = 4, step: float = 0.03, sample: float = 0.8, features: str = "0.8",
+                  leaf: int = 20) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="_x", labelCol="target", predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=step,
-        subsamplingRate=sample, minInstancesPerNode=20, seed=seed)
+        subsamplingRate=sample, featureSubsetStrategy=features, minInstancesPerNode=leaf, seed=seed)
 
 
-#: model name -> factory; the three boosters of the model zoo share one slot
+#: fixed values: model name -> factory, each booster with its own rounds, depth, step, samples and leaf size
 TREE_MODELS: Mapping[str, Callable] = {
-    "rf": random_forest, "xgb": boosted_trees, "lgbm": boosted_trees, "catboost": boosted_trees,
+    "rf": random_forest,
+    "xgb": boosted_trees,
+    "lgbm": partial(boosted_trees, rounds=500, depth=5, step=0.02, leaf=50),
+    "catboost": partial(boosted_trees, sample=1.0, features="all", leaf=1),
 }
 
 

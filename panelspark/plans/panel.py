@@ -58,7 +58,6 @@ class PanelConfig:
     winsorize_pct: float = 0.01
     sector_neutral: bool = False
     keep_unlabeled: bool = False
-    exact_quantiles: bool = True
 
 
 def build_panel(bars: DataFrame, bench: DataFrame, cfg: PanelConfig = PanelConfig(), refs: DataFrame | None = None,
@@ -112,5 +111,5 @@ def build_panel(bars: DataFrame, bench: DataFrame, cfg: PanelConfig = PanelConfi
                     "fwd", "target", "sector"}
     features = [x for x in p.columns if x not in not_features and not x.startswith("_")]
     p = clean_nonfinite(p.select("date", "pos", "ticker", *features, "target"))
-    p = xs.winsorize(p, features, cfg.winsorize_pct, cfg.exact_quantiles)
+    p = xs.winsorize(p, features, cfg.winsorize_pct)
     return drop_incomplete(p, features, cfg.keep_unlabeled), features

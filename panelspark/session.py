@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -39,3 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def stored(spark: SparkSession, df: DataFrame, stem: str) -> DataFrame:
+    """The rows of ``df`` written once below the shared folder and read from there: for what a plan uses often."""
+    path = f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

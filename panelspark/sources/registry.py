@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-USABLE = {"live", "shadow_only"}
+#: fixed value: only live sources may be read; shadow sources are logged, not used
+USABLE = {"live"}
 
 #: fixed values: source, category, weight, status
 SOURCES = [

@@ -5,16 +5,16 @@ retried after a lost executor or driver overwrites itself instead of adding rows
 """
 from __future__ import annotations
 
-from dataclasses import asdict
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.governance import GovernorState
+from ..operators.governance import GovernorMemory, governor_path
 from ..operators.monitor import PH_DELTA, PH_LAMBDA
 from ..sources.ledger import LEDGER_SCHEMA, append_if_newer
 
@@ -68,64 +68,62 @@ def stream_ledger_append(spark: SparkSession, folder: str, table: str, checkpoin
         write).start().awaitTermination()
 
 
+def _in_order(rows: Iterator[pd.DataFrame], last: str) -> tuple[pd.DataFrame, int]:
+    """Rows of a batch after the last seen date, by date, one a day, and how many came too late."""
+    batch = pd.concat(list(rows)).sort_values("date")
+    batch["date"] = batch["date"].astype(str)
+    fresh = batch[batch["date"] > last].drop_duplicates("date")
+    return fresh, len(batch) - len(fresh)
+
+
 class GovernorProcessor(StatefulProcessor):
     """Risk state of one sleeve; a row at or before the last seen date is late, counted and skipped."""
 
-    FIELDS = "nav double, peak double, losses int, cooldown int, killed boolean, last string, late long"
+    FIELDS = "nav double, peak double, n long, gain long, hit long, down boolean, last string, late long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("governor", self.FIELDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("date")
-        if self.state.exists():
-            nav, peak, losses, cooldown, killed, last, late = self.state.get()
-        else:
-            nav, peak, losses, cooldown, killed, last, late = 1.0, 1.0, 0, 0, False, "", 0
-        g = GovernorState(nav=nav, peak=peak, losses=losses, cooldown=cooldown, killed=killed)
-        out = []
-        for day, ret in zip(batch["date"], batch["day_return"]):
-            if str(day) <= last:
-                late += 1
-                continue
-            last = str(day)
-            out.append((key[0], last, g.allowed(), g.reason(), late))
-            if not pd.isna(ret):
-                g.advance(float(ret))
-        s = asdict(g)
-        self.state.update((s["nav"], s["peak"], s["losses"], s["cooldown"], bool(s["killed"]), last, late))
-        yield pd.DataFrame(out, columns=["sleeve", "date", "exposure", "reason", "late"])
+        *memory, last, late = self.state.get() if self.state.exists() else (*GovernorMemory(), "", 0)
+        memory = GovernorMemory(*memory)
+        fresh, skipped = _in_order(rows, last)
+        held = fresh["day_return"].notna().to_numpy()
+        states, after = governor_path(fresh["day_return"].to_numpy(float)[held], memory)
+        # the state before a row is the one after the last return before it
+        before = [memory.state(), *states]
+        reason = [before[k] for k in np.cumsum(held) - held]
+        late += skipped
+        self.state.update((*after, fresh["date"].iloc[-1] if len(fresh) else last, late))
+        yield pd.DataFrame({"sleeve": key[0], "date": fresh["date"], "exposure": [float(r == "ok") for r in reason], "reason": reason, "late": late})
 
     def close(self) -> None:
         pass
 
 
 class PageHinkleyProcessor(StatefulProcessor):
-    """Change alarm of one sleeve; the state is a handful of numbers."""
+    """Change alarm of one sleeve: the windows of the batch form continued from their last values."""
 
-    FIELDS = "n long, mean double, up double, dn double, low double, high double, alarm boolean, last string"
+    FIELDS = "n long, total double, up double, down double, low double, high double, alarm boolean, last string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("page_hinkley", self.FIELDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).dropna(subset=["day_return"]).sort_values("date")
-        if self.state.exists():
-            n, mean, up, dn, low, high, alarm, last = self.state.get()
-        else:
-            n, mean, up, dn, low, high, alarm, last = 0, 0.0, 0.0, 0.0, float("inf"), float("-inf"), False, ""
-        out = []
-        for day, x in zip(batch["date"], batch["day_return"]):
-            if str(day) <= last:
-                continue
-            last, n = str(day), n + 1
-            mean += (x - mean) / n
-            up, dn = up + x - mean - PH_DELTA, dn + x - mean + PH_DELTA
-            low, high = min(low, up), max(high, dn)
-            alarm = alarm or up - low > PH_LAMBDA or high - dn > PH_LAMBDA
-            out.append((key[0], last, up - low, high - dn, bool(alarm)))
-        self.state.update((n, float(mean), float(up), float(dn), float(low), float(high), bool(alarm), last))
-        yield pd.DataFrame(out, columns=["sleeve", "date", "rise", "fall", "alarm"])
+        past = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, np.inf, -np.inf, False, "")
+        n, total, up, down, low, high, alarm, last = past
+        fresh, _ = _in_order((r.dropna(subset=["day_return"]) for r in rows), last)
+        if not len(fresh):
+            return
+        x = fresh["day_return"].to_numpy(float)
+        place, sums = n + np.arange(1, len(x) + 1), total + np.cumsum(x)
+        ups = up + np.cumsum(x - sums / place - PH_DELTA)
+        downs = down + np.cumsum(x - sums / place + PH_DELTA)
+        lows, highs = np.minimum(np.minimum.accumulate(ups), low), np.maximum(np.maximum.accumulate(downs), high)
+        rise, fall = ups - lows, highs - downs
+        alarms = np.logical_or.accumulate((rise > PH_LAMBDA) | (fall > PH_LAMBDA)) | alarm
+        self.state.update((int(place[-1]), *(float(a[-1]) for a in (sums, ups, downs, lows, highs)), bool(alarms[-1]), fresh["date"].iloc[-1]))
+        yield pd.DataFrame({"sleeve": key[0], "date": fresh["date"], "rise": rise, "fall": fall, "alarm": alarms})
 
     def close(self) -> None:
         pass
