@@ -1,5 +1,7 @@
 """A sample of registered queries against their SQL on the smallest data (tools/check.py runs all)."""
 import os
+import shutil
+import subprocess
 import sys
 
 import pytest
@@ -25,3 +27,11 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_entry_works_without_the_optional_subpackage(tmp_path):
+    root = os.path.dirname(entry_module.__file__)
+    shutil.copytree(os.path.join(root, "panelspark"), tmp_path / "panelspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 200 and not any(k.startswith('op1_') for k in n) and 'pipeline' not in n and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
