@@ -7,6 +7,7 @@ from ..operators import evaluate as ev
 from ..operators import linear as lin
 from ..operators import regime as rg
 from ..operators import trees
+from ..session import stored
 from ..sources import tables as t
 from .base import add, cte, r, rc
 from .evaluation import _FEATS, _bench, _folds, feature_panel
@@ -21,6 +22,11 @@ def panel(s, d):
     return feature_panel(s, d, H).dropna()
 
 
+def kept_panel(s, d):
+    """The panel as a written table, for what reads it once per fold or model."""
+    return stored(s, panel(s, d), "panel")
+
+
 cte("mlabels", "SELECT date, ticker, fwd - avg(fwd) OVER (PARTITION BY date) AS y FROM (SELECT date, ticker, lead(close, 10) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM filled)")
 cte("mpanel", "SELECT p.*, y FROM fpanel p JOIN mlabels l ON p.date = l.date AND p.ticker = l.ticker WHERE y IS NOT NULL AND " + " AND ".join(f"{v} IS NOT NULL" for v in _FEATS.values()))
 _cols = ["1.0::DOUBLE", *_FEATS.values(), "y"]
@@ -54,7 +60,7 @@ add("ridge", _two,
 
 
 def _predict_one(s, d):
-    scores, _ = lin.walk_forward_predict(panel(s, d), NAMES, _folds(s, d), H, {"ridge": ("ridge", ["boll_z"])})
+    scores, _ = lin.walk_forward_predict(kept_panel(s, d), NAMES, _folds(s, d), H, {"ridge": ("ridge", ["boll_z"])})
     return scores.select("model", "fold", "date", "ticker", rc("score", 8).alias("score"))
 
 
@@ -64,7 +70,7 @@ add("walk_forward_predict", _predict_one,
 
 
 def _wf(s, d):
-    return lin.walk_forward_predict(panel(s, d), NAMES, _folds(s, d), H)
+    return lin.walk_forward_predict(kept_panel(s, d), NAMES, _folds(s, d), H)
 
 
 add("elasticnet", lambda s, d: _wf(s, d)[1].where("model = 'elasticnet'").select("fold", "feature", rc("std_coef").alias("std_coef")))
@@ -73,12 +79,12 @@ add("model_significance", lambda s, d: lin.model_significance(_wf(s, d)[0]))
 add("importance_top", lambda s, d: lin.importance_top(_wf(s, d)[1]))
 add("score_latest", lambda s, d: lin.score_latest(feature_panel(s, d, H).dropna(subset=NAMES), NAMES))
 _FAMS = {"momentum": ["mom_20", "mom_60"], "volume": ["rel_volume"], "mean_reversion": ["boll_z"], "volatility": ["realized_vol_20"]}
-add("ablation", lambda s, d: lin.ablation(panel(s, d), _FAMS, _folds(s, d), H))
-add("source_gate", lambda s, d: lin.source_gate(panel(s, d), ["mom_20", "realized_vol_20"], ["boll_z"], _folds(s, d), H))
-add("stack", lambda s, d: lin.stack(panel(s, d), NAMES, _folds(s, d), H)[0])
-add("stack_weights", lambda s, d: lin.stack(panel(s, d), NAMES, _folds(s, d), H)[1])
-add("random_forest", lambda s, d: trees.walk_forward_trees(panel(s, d), NAMES, _folds(s, d), H, lambda: trees.random_forest(), "rf"))
-add("boosted_trees", lambda s, d: trees.walk_forward_trees(panel(s, d), NAMES, _folds(s, d), H, lambda: trees.boosted_trees(rounds=20), "xgb"))
+add("ablation", lambda s, d: lin.ablation(kept_panel(s, d), _FAMS, _folds(s, d), H))
+add("source_gate", lambda s, d: lin.source_gate(kept_panel(s, d), ["mom_20", "realized_vol_20"], ["boll_z"], _folds(s, d), H))
+add("stack", lambda s, d: lin.stack(kept_panel(s, d), NAMES, _folds(s, d), H)[0])
+add("stack_weights", lambda s, d: lin.stack(kept_panel(s, d), NAMES, _folds(s, d), H)[1])
+add("random_forest", lambda s, d: trees.walk_forward_trees(kept_panel(s, d), NAMES, _folds(s, d), H, lambda: trees.random_forest(), "rf"))
+add("boosted_trees", lambda s, d: trees.walk_forward_trees(kept_panel(s, d), NAMES, _folds(s, d), H, lambda: trees.boosted_trees(rounds=20), "xgb"))
 
 
 def macro_gate(s, d):

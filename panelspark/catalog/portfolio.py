@@ -100,7 +100,8 @@ cte("pret", """SELECT coalesce(h.strategy, u.strategy) AS strategy, coalesce(h.d
 
 
 def port_returns(s, d):
-    return pf.portfolio_returns(weights(s, d), returns_r(s, d), t.trading_calendar(s, d))
+    # weights carry ten rounds of capping and are read four times
+    return pf.portfolio_returns(stored(s, weights(s, d), "weights"), returns_r(s, d), stored(s, t.trading_calendar(s, d), "calendar"))
 
 
 add("portfolio_returns", lambda s, d: port_returns(s, d).select("strategy", "date", rc("gross", 8).alias("gross"), rc("cost", 8).alias("cost"), rc("ret", 8).alias("ret")),
@@ -193,7 +194,7 @@ SCENARIOS = [
 
 
 def overlays(s, d):
-    book = stored(s, pf.portfolio_returns(weights(s, d), returns_r(s, d), t.trading_calendar(s, d)), "book")
+    book = stored(s, port_returns(s, d), "book")
     return gov.apply_overlays(book, overlay_market(s, d), SCENARIOS)
 
 

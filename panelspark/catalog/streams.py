@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import udfs
 from ..operators import evaluate as ev
 from ..plans.panel import PanelConfig, build_panel
+from ..session import stored
 from ..sources import tables as t
 from ..streaming import ledger_streams as ls
 from .base import add, cte, r, rc
@@ -71,7 +72,8 @@ add("per_ticker",
 
 
 def full_panel(s, d, **options):
-    return build_panel(t.bars_filled(s, d), t.benchmark(s, d), PanelConfig(**options), refs=t.references(s, d), ref_names=("PROMO", "SMALL"),
+    bars = stored(s, t.bars_filled(s, d), "bars")  # read several times: the trades are joined and sorted once
+    return build_panel(bars, t.price_level(bars), PanelConfig(**options), refs=stored(s, t.references(s, d), "refs"), ref_names=("PROMO", "SMALL"),
                        sectors=t.sectors(s, d), membership=t.membership(s, d), filings=t.filings(s, d), insider=t.insider_tx(s, d))
 
 
@@ -88,7 +90,8 @@ def assignment(s, d):
 
 def daily_books(s, d):
     from ..plans.books import build_books
-    return build_books(t.bars_filled(s, d), t.benchmark(s, d).select("date", "close"), assignment(s, d))
+    bars = stored(s, t.bars_filled(s, d), "bars")
+    return build_books(bars, t.price_level(bars).select("date", "close"), assignment(s, d))
 
 
 def system(s, d):

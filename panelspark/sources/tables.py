@@ -58,9 +58,13 @@ def bars_filled(spark: SparkSession, folder: str) -> DataFrame:
     return align_bars(bars(spark, folder), trading_calendar(spark, folder))
 
 
+def price_level(filled: DataFrame) -> DataFrame:
+    """Equal-weight price level of all names of aligned bars: one row per date."""
+    return filled.groupBy("date", "pos").agg(F.avg("close").alias("close"))
+
+
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    """Equal-weight price level of all names: one row per date."""
-    return bars_filled(spark, folder).groupBy("date", "pos").agg(F.avg("close").alias("close"))
+    return price_level(bars_filled(spark, folder))
 
 
 def references(spark: SparkSession, folder: str) -> DataFrame:
