@@ -242,7 +242,7 @@ def _refresh(s, d):
     m = t.macro(s, d).select("date", "T10Y2Y")
     led.refresh_if_nonempty(m, path)
     led.refresh_if_nonempty(m.where("date < '1900-01-01'"), path)  # empty: the snapshot stays
-    return s.read.parquet(path)
+    return led.read_snapshot(s, path)
 
 
 add("refresh_if_nonempty", lambda s, d: _refresh(s, d).select("date", rc("T10Y2Y").alias("t10y2y")),

@@ -188,8 +188,8 @@ def against_benchmark(perf: DataFrame, benchmark: str) -> DataFrame:
 
 def cvar(returns: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     """Mean of the returns at or below the alpha quantile."""
-    q = F.percentile("ret", F.lit(alpha)).over(Window.partitionBy(*keys))
-    return returns.withColumn("var", q).where("ret <= var").groupBy(*keys).agg(
+    q = returns.groupBy(*keys).agg(F.percentile("ret", F.lit(alpha)).alias("var"))  # one row per series
+    return returns.join(q, list(keys)).where("ret <= var").groupBy(*keys).agg(
         F.first("var").alias("var"), F.avg("ret").alias("cvar"))
 
 
@@ -201,9 +201,8 @@ def stress_tests(returns: DataFrame, costs: DataFrame | None = None, keys: Seque
     removed.
     """
     k = list(keys)
-    series = Window.partitionBy(*k)
-    base = returns.withColumns({
-        "_n": F.count("ret").over(series), "_q": F.percentile("ret", F.array(F.lit(0.01), F.lit(0.95))).over(series)})
+    of_series = returns.groupBy(*k).agg(F.count("ret").alias("_n"), F.percentile("ret", F.array(F.lit(0.01), F.lit(0.95))).alias("_q"))
+    base = returns.join(of_series, k)
     if costs is not None:
         years = F.greatest(c("_n") / 252.0, F.lit(1e-9))
         base = base.join(costs, k).withColumn("stress_cost_extra_annual", c("avg_turnover") * (c("n_rebalances") / years) * 0.0005)

@@ -108,9 +108,12 @@ def calendar_left_join(panel: DataFrame, series: DataFrame, on: Sequence[str], f
         return out.withColumns({v: F.coalesce(c(v), F.lit(0.0)) for v in values})
     if fill == "forward":
         keys = [k for k in on if k != "date"]
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("date")
-        frame = w.rowsBetween(Window.unboundedPreceding, 0)
-        return out.withColumns({v: F.last(v, ignorenulls=True).over(frame) for v in values})
+        carried = lambda w: {v: F.last(v, ignorenulls=True).over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) for v in values}
+        if keys:
+            return out.withColumns(carried(Window.partitionBy(*keys)))
+        # a market-wide series is carried along the distinct dates, one row each, and then joined to the panel
+        days = panel.select("date").distinct().join(series, "date", "left").withColumns(carried(Window.partitionBy(F.lit(0))))
+        return panel.join(days, "date", "left")
     return out
 
 

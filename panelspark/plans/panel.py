@@ -17,12 +17,13 @@ from ..operators.technical import single_name_features
 
 c = F.col
 
+#: fixed values: the features of each family
 TREND = {"adx", "kama_dist", "hull_dist", "supertrend", "trend_slope", "trend_r2"}
 VOLUME = {"rel_volume", "obv_z", "cmf", "vwap_dist", "vol_accel"}
 MEAN_REVERSION = {"boll_z", "ema_dist", "pct_rank_60", "rsi"}
 VOLATILITY = ("realized_vol", "atr_pct", "parkinson", "yang_zhang", "vol_of_vol")
 
-#: family name -> does a feature belong to it; a new family is one more entry
+#: fixed values: family name -> does a feature belong to it; a new family is one more entry
 FAMILIES = {
     "momentum": lambda f: f.startswith("mom_"),
     "trend": lambda f: f in TREND,

@@ -1,6 +1,9 @@
 """Append-only decision ledger: JSON lines in, parquet out."""
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ DECISION = ("struct<asset:string,action:string,ev_score:double,risk_status:strin
 LEDGER_SCHEMA = (f"date date, sleeve string, status string, n_positions int, day_return double, "
                  f"decisions array<{DECISION}>")
 
-#: canonical order of the sleeves in reports, the market first
+#: fixed values: canonical order of the sleeves in reports, the market first
 SLEEVE_ORDER = [
     "market_spy", "equity_validated", "equity_full_goal", "crypto_full_goal", "full_system", "full_system_max",
     "metals_full_goal", "full_system_v6", "bonds_full_goal",
@@ -50,21 +53,27 @@ def parse_ledger_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def refresh_if_nonempty(new: DataFrame, dest: str) -> bool:
-    """Replace a snapshot only when the new one has rows.
+    """Publish a new snapshot only when it has rows; read it with :func:`read_snapshot`.
 
-    The new rows are staged first, so a job that fails half-way leaves the old snapshot alone and the
-    emptiness test does not compute them a second time.
+    The rows go to a folder of their own, and one pointer row makes them current. A job that fails before that
+    row leaves the snapshot before it in place, and readers never see half of one.
     """
-    spark = new.sparkSession
-    stage = dest.rstrip("/") + "_stage"
-    new.write.mode("overwrite").parquet(stage)
-    staged = spark.read.parquet(stage)
-    if staged.isEmpty():
+    spark, version = new.sparkSession, time.time_ns()
+    data = f"{dest.rstrip('/')}/data/{version}-{uuid.uuid4().hex}"
+    new.write.parquet(data)
+    if spark.read.schema(new.schema).parquet(data).isEmpty():
         return False
-    staged.write.mode("overwrite").parquet(dest)
+    pointer = spark.createDataFrame([(version, data)], "version long, path string").coalesce(1)
+    pointer.write.mode("append").parquet(f"{dest.rstrip('/')}/pointers")
     return True
 
 
+def read_snapshot(spark: SparkSession, dest: str) -> DataFrame:
+    """The snapshot that the newest pointer names."""
+    newest = spark.read.parquet(f"{dest.rstrip('/')}/pointers").agg(F.max_by("path", "version")).first()[0]
+    return spark.read.parquet(newest)
+
+
 def sleeve_position(sleeve="sleeve"):
     """Place in the canonical order, unknown sleeves last."""
     from ..functions.columns import first_match
