@@ -79,4 +79,46 @@ QUERIES = {
     "op10_shards": op10_shards,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_FOUND = """SELECT doc_id, '{kind}' AS kind, {place} AS place, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM t"""
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: SQL for what it can express on whole tables. The added kinds of personal data need look-around, which the
+#: SQL side lacks, so ``spans`` has base kinds only there; hashes, classifiers, tokenizers and shuffles have
+#: no SQL form and are tested against plain versions.
+ORACLES: dict[str, str] = {
+    "op2_repeats": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+        least AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win JOIN least USING (k), (SELECT unnest(range(13)) AS o) WHERE least < doc_id),
+        tok AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS s, count(*) AS n FROM tok t
+            LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.p = g.p WHERE g.p IS NULL GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op7_pii": "WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+        + " UNION ALL ".join(_FOUND.format(kind=k, place=i, pattern=x) for i, (k, x) in enumerate(_BASE.items())) + r"""),
+        s AS (SELECT doc_id, kind, place, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda k:
+            list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))) AS a FROM f),
+        d AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM s),
+        l AS (SELECT *, list_transform(range(length(digits)), lambda i: cast(digits[length(digits) - i] AS INT) * (1 + i % 2)) AS luhn FROM d),
+        ok AS (SELECT * FROM l WHERE CASE kind
+            WHEN 'email' THEN true
+            WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0
+            WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(luhn, lambda x: CASE WHEN x > 9 THEN x - 9 ELSE x END)) % 10 = 0
+            ELSE length(digits) BETWEEN 9 AND 15 END),
+        j AS (SELECT doc_id, """ + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _BASE) + r""",
+            string_agg(kind || ':' || cast(a AS BIGINT) || ':' || cast(a + length(m) AS BIGINT), ',' ORDER BY place, a) AS spans FROM ok GROUP BY 1)
+        SELECT t.doc_id, """ + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE) + """, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN j ON t.doc_id = j.doc_id""",
+    "op8_vectors": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        r(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least AS component_id, vec_id = least AS kept FROM e JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a""",
+}
