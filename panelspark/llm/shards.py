@@ -55,8 +55,8 @@ def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id"
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = stored(_offsets(counts), "bucket-offsets")
     order = [F.xxhash64(F.lit(seed), own[id_col]), F.col(own[id_col]), F.xxhash64(*own.values())]
-    together = rows.repartition("bucket").sortWithinPartitions("bucket", *order)
-    placed = together.join(offsets, "bucket")  # offsets are one row for each bucket
+    # offsets are one row for each bucket; the sort comes after the join, which would be free to drop it
+    placed = rows.repartition("bucket").join(offsets, "bucket").sortWithinPartitions("bucket", *order)
     schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for c, n in own.items()], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def shuffled(table: pa.Table):
@@ -65,7 +65,6 @@ def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id"
         np.random.default_rng([seed, bucket]).shuffle(order)  # Fisher-Yates in place
         place = before + np.arange(len(order))
         shard = ((place + 1) * shards - 1) // total  # the s with s * total // shards <= place
-        shard = np.where(place < shard * total // shards, shard - 1, shard)
         out = table.select(list(own.values())).take(pa.array(order))
         out = out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(place - shard * total // shards))
         yield from out.to_batches(max_chunksize=500)
