@@ -36,6 +36,13 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces: only a piece at a time becomes Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; a null text is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import sliced, text_bytes
 
 #: Tokens of an aligned window, and how many of them have to be equal (0.8 or more).
 WINDOW, EQUAL = 13, 11
@@ -64,7 +64,7 @@ _SCHEMA = "id long, hash long, at long, before int, tokens binary, length int"
 
 def _test_seeds(items: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), text_bytes(pc.utf8_lower(b.column(1)))):
                 codes = token_codes(text)
@@ -93,7 +93,7 @@ def _filter_slot(hashes: np.ndarray) -> np.ndarray:
 def _document_seeds(docs: DataFrame, bits, masks: list[tuple[int, ...]]) -> DataFrame:
     def run(batches):
         table = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), text_bytes(pc.utf8_lower(b.column(1)))):
                 codes = token_codes(text)

@@ -7,12 +7,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import held_out, sliced
 
 #: Hashed n-gram columns (2 ** 14), the n-gram lengths, and the label of texts without a letter.
 SLOTS, LENGTHS, UNKNOWN = 1 << 14, (1, 2, 3), "und"
 #: Labelled rows a model is fitted on: about this many of each language, chosen by hash of the id.
-SAMPLE_PER_LANGUAGE = 2000
+SAMPLE_PER_LANGUAGE = 1000
 #: Follow-the-regularised-leader: step scale, step offset, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.05, 3
 
@@ -124,7 +124,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts with a letter, and of each slot the texts that have it, over all rows of ``docs(text)``."""
     def run(batches):
         df, total = np.zeros(SLOTS, np.int64), 0
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 slots, _ = ngram_counts(text)
                 df[slots] += 1
@@ -163,7 +163,7 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sample = rows.where(draw < share).select("text", "lang", (F.xxhash64("id", F.lit("part")) % 5 == 0).alias("aside"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [blank.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in found], type=pa.list_(pa.int64())), pa.array([x for _, x in found], type=pa.list_(pa.float64())),
@@ -189,7 +189,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shared.value.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
@@ -207,7 +207,7 @@ def with_known_language(docs: DataFrame, model: LanguageModel, text_col: str = "
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shared.value.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([n != UNKNOWN and s >= least for n, s in found], pa.bool_()))
 

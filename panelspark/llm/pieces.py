@@ -17,13 +17,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from .common import sliced
 
 SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: Encoded segments and tested neighbours a worker keeps; either cache starts anew when it is full.
-CACHE, FITS = 300_000, 400_000
+CACHE, FITS = 150_000, 200_000
 
 
 def _fields(data: bytes):
@@ -271,15 +273,13 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
     def run(batches):
         machine = shared.value.transducer()
-        for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0)
-            for start in range(0, len(texts), 500):
-                found = [machine.encode(t) for t in texts[start:start + 500]]
-                ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(start, 500), ids, pa.array([len(x) for x in found], pa.int64()), pa.array([machine.decode(x.tolist()) for x in found], pa.string())],
-                    names=["id", "ids", "n_tokens", "decoded"])
+        for b in sliced(batches):
+            found = [machine.encode(t) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), ids, pa.array(np.diff(ends).astype(np.int64)), pa.array([machine.decode(x.tolist()) for x in found], pa.string())],
+                names=["id", "ids", "n_tokens", "decoded"])
 
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -287,13 +287,13 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, model: PieceModel, spark: SparkSession | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id, text)`` of every row of ids; null ids give an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         machine = shared.value.transducer()
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([machine.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     schema = T.StructType([T.StructField("id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import held_out, sliced
 
 #: Rows of the word table (tokens share them by hash), width of a vector, neighbours on either side that
 #: count, and the dimensions a token's index vector touches.
@@ -135,7 +135,7 @@ def word_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         dims, signs = index_vectors()
         total, seen, n = np.zeros((ROWS, WIDTH)), np.zeros(ROWS, np.int64), 0
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 rows = token_rows(text or b"")
                 n += 1
@@ -201,7 +201,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(blank)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shared.value.pooled(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "aside"])
 
@@ -229,7 +229,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             score = shared.value.score([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(score), pa.array((score >= least).astype(np.int32))], names=["id", "held_out", "score", "predicted"])

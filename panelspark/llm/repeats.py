@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sorted_groups, text_bytes
+from .common import sliced, sorted_groups, text_bytes
 
 #: Words of an anchor, and entries a block of documents gathers before it settles what it can.
 ANCHOR, BLOCK = 5, 400_000
@@ -83,9 +83,8 @@ def _settled(values: list[np.ndarray], docs: list[tuple[int, int]], smallest: bo
 
 def _blocks(batches, each, smallest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     values, docs, size = [], [], 0
-    for b in batches:
-        for row in each(b):
-            doc, found = row
+    for b in sliced(batches):
+        for doc, found in each(b):
             if len(found):
                 values.append(found)
                 docs.append((doc, len(found)))
@@ -212,7 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = _repeats(likely, min_words).groupBy("doc").agg(F.collect_set("value").alias("repeated"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text, copy, repeated in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = text.split()

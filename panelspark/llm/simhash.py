@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import sorted_groups, stored, text_bytes
+from .common import sliced, sorted_groups, stored, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([fingerprint(t, shingle) for t in text_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
