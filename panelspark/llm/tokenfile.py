@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import scratch, stored, text_bytes
+from .common import scratch, sliced, stored, text_bytes
 
 MAGIC = b"EFID"
 #: Ones between two samples of the select structure, and the ids after which a file is closed.
 SAMPLE, FILE_IDS = 256, 1 << 21
 #: Encoded words a worker keeps; the cache starts anew when it is full.
 CACHE = 200_000
+#: Words that a vocabulary may hold as one id: one that a text lacks can stand between its words as a mark.
+_MARKS = ("photography", "university", "wonderful", "government", "hello")
 _HEAD = struct.Struct("<QQQB")
 
 
@@ -131,6 +133,27 @@ class _WordCache:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
         self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+        self.folds = self._ids("aB") == self._ids("ab") and self._ids("Σ") == self._ids("σ")
+        self.marks = [(m, self._ids(m)[0]) for m in _MARKS if len(self._ids(m)) == 1]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # no offsets
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words in one text each thousand, between marks that none of them holds."""
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            text = b" ".join(some).decode().lower()
+            mark, code = next(((m, i) for m, i in self.marks if m not in text), ("", -1))
+            if code < 0:
+                self.known |= {w: np.array(self._ids(w.decode()), "<u4").tobytes() for w in some}
+                continue
+            ids = np.array(self._ids(f" {mark} ".join([w.decode() for w in some] + [""])), "<u4")
+            ends = np.flatnonzero(ids == code) * 4
+            data, begin = ids.tobytes(), 0
+            for w, e in zip(some, ends.tolist()):
+                self.known[w] = data[begin:e]
+                begin = e + 4
 
     @classmethod
     def of(cls, definition: str) -> _WordCache:
@@ -141,13 +164,13 @@ class _WordCache:
         return _TOKENIZERS[key]
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+        # ASCII capitals make no difference to a vocabulary in lower case, but for its special tokens
+        split = [(t if b"<|" in t else t.lower()).split() if self.folds else t.split() for t in texts]
         new = list({w for words in split for w in words if w not in self.known})
         if len(self.known) + len(new) > CACHE:
             self.known = {}
             new = list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(new)
         last, get = np.array([end], "<u4").tobytes(), self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + last, "<u4") for words in split]
 
@@ -174,17 +197,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 1,
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()),
                  pa.array([TokenFile.of(doc_ids, lengths, ids).to_bytes()], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "payload"])
 
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
-            for at in range(0, len(keys), 200):
-                for key, ids in zip(keys[at:at + 200], words.encode(texts[at:at + 200], end)):
-                    doc_ids.append(key)
-                    lengths.append(len(ids))
-                    kept.append(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
-                    size += len(ids)
-                    if size >= FILE_IDS:
-                        yield closed()
-                        doc_ids, lengths, kept, size, seq = [], [], [], 0, seq + 1
+        for b in sliced(batches, 200):
+            for key, ids in zip(b.column(0).to_pylist(), words.encode(text_bytes(b.column(1)), end)):
+                doc_ids.append(key)
+                lengths.append(len(ids))
+                kept.append(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield closed()
+                    doc_ids, lengths, kept, size, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield closed()
 
