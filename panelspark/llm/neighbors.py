@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by exact comparison in tiles."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import sorted_groups, stored
 from .components import connected_components
 
-#: Passes, hash bits of each, and the neighbours after a vector in the order that it is compared with.
-PASSES, BITS, WINDOW = 12, 48, 256
-#: Vectors of a tile in the exact count within a component.
-TILE = 512
-_SEED = 17
+#: Vectors of a tile in a small label, tiles a label has before they grow to ``TILES`` times that, and rows compared at once.
+TILE, TILES, WINDOW = 1024, 16, 256
 
 
 def _matrix(column: pa.Array | np.ndarray, dim: int) -> np.ndarray:
@@ -22,12 +19,6 @@ def _matrix(column: pa.Array | np.ndarray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(values)).reshape(-1, dim)
 
 
-def hash_codes(unit: np.ndarray, number: int) -> np.ndarray:
-    """Signs of random projections, concatenated to one ordered integer for each vector."""
-    planes = np.random.default_rng([_SEED, number, unit.shape[1]]).normal(size=(unit.shape[1], BITS))
-    return ((unit @ planes > 0) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1)
-
-
 def _unit_vectors(vectors: DataFrame) -> DataFrame:
     """``(rep, label, copies, dim, unit)``: distinct usable vectors at length one, as doubles."""
     def run(batches):
@@ -42,109 +33,66 @@ def _unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "rep long, label string, copies long, dim int, unit binary")
 
 
-def _passes(units: DataFrame, passes: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = b.filter(pa.array(dims == dim))
-                x = _matrix(part.column("unit"), int(dim))
-                for number in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), number, np.int32)), part.column("label"), part.column("dim"), pa.array(hash_codes(x, number)), part.column("rep"), part.column("unit")],
-                        names=["pass", "label", "dim", "code", "rep", "unit"])
-
-    return units.mapInArrow(run, "pass int, label string, dim int, code long, rep long, unit binary")
-
-
-def window_links(rep: np.ndarray, unit: np.ndarray, first: int, cosine: float, window: int) -> Iterator[tuple[int, int]]:
-    """Links of the vectors before ``first`` with the ``window`` ones after each, less those that follow from
-    two others: of the partners of a vector that are linked with a nearer partner, only the nearer is kept."""
-    n = len(rep)
-    band = np.zeros((n, window), bool)
-    for at in range(0, n, 128):
-        ahead = unit[at:at + 128 + window]
-        near = unit[at:at + 128] @ ahead.T >= cosine
-        for k in range(len(near)):
-            row = near[k, k + 1:k + 1 + window]
-            band[at + k, :len(row)] = row
-    for i in np.flatnonzero(band[:first].any(axis=1)):
-        partners = i + 1 + np.flatnonzero(band[i])
-        while len(partners):
-            j, partners = partners[0], partners[1:]
-            yield int(rep[i]), int(rep[j])
-            partners = partners[~band[j, partners - j - 1]]
-
-
-def _pass_links(ordered: DataFrame, cosine: float, window: int) -> DataFrame:
-    def run(batches):
-        key, reps, units = None, np.zeros(0, np.int64), None
-
-        def flushed(first):
-            links = list(window_links(reps, units, first, cosine, window))
-            columns = list(zip(*links)) or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("pass", "label", "dim"))))
-            cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
-            for x, y in zip([0, *cuts], [*cuts, len(keys)]):
-                if x == y:
-                    continue
-                if keys[x] != key:
-                    if key is not None:
-                        yield flushed(len(reps))
-                    key, reps, units = keys[x], np.zeros(0, np.int64), np.zeros((0, keys[x][2]))
-                reps = np.concatenate((reps, b.column("rep").slice(x, y - x).to_numpy()))
-                units = np.concatenate((units, _matrix(b.column("unit").slice(x, y - x), key[2])))
-                if len(reps) > 16 * window:
-                    done = len(reps) - 2 * window
-                    yield flushed(done)
-                    reps, units = reps[done:], units[done:]
-        if key is not None:
-            yield flushed(len(reps))
-
-    return ordered.mapInArrow(run, "a long, b long")
-
-
-def _links_within(members: DataFrame, cosine: float, tile: int) -> DataFrame:
-    """``(rep, others)``: linked vectors of each vector in its component, copies counted, tile by tile."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+def spanning_links(near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of links enough to join what ``near`` joins, each row and column reached once."""
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    for first in np.flatnonzero(rows):
+        if not rows[first]:
+            continue
+        rows[first] = False
+        reached = np.array([first])
+        while len(reached):
+            ahead = np.flatnonzero(near[reached].any(axis=0) & columns)
+            columns[ahead] = False
+            yield reached[near[np.ix_(reached, ahead)].argmax(axis=0)], ahead
+            reached = np.flatnonzero(near[:, ahead].any(axis=1) & rows)
+            rows[reached] = False
+            yield reached, ahead[near[np.ix_(reached, ahead)].argmax(axis=1)] if len(reached) else reached
+
+
+def _compared(units: DataFrame, cosine: float, window: int, tile: int) -> DataFrame:
+    """``(a, b, n)``: spanning links of every two tiles of a label, and with null ``b`` the linked vectors of ``a`` in them, copies counted."""
+    tiles = F.greatest(F.ceil(F.count("*") / (TILES * tile)), F.least(F.ceil(F.count("*") / tile), F.lit(TILES))).cast("int")
+    placed = units.join(units.groupBy("label", "dim").agg(tiles.alias("tiles")), ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "copies", "dim", "unit")
+        "label", "dim", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "copies", "unit")
 
     def run(batches):
-        columns = ["x", "y", "own", "rep", "copies", "dim", "unit"]
-        for bounds, x, y, own, rep, copies, dim, unit in sorted_groups(batches, ["component", "x", "y"], columns):
-            found = []
+        for bounds, d, x, y, own, rep, copies, unit in sorted_groups(batches, ["label", "dim", "x", "y"], ["dim", "x", "y", "own", "rep", "copies", "unit"]):
             for at, end in zip(bounds, bounds[1:]):
-                u, r, n = _matrix(unit[at:end], int(dim[at])), rep[at:end], copies[at:end]
-                left = own[at:end] == x[at]
-                right = left if x[at] == y[at] else ~left
-                near = u[left] @ u[right].T >= cosine
-                if x[at] == y[at]:
-                    np.fill_diagonal(near, False)
-                    found.append((r, near @ n))
-                else:
-                    found += [(r[left], near @ n[right]), (r[right], near.T @ n[left])]
-            reps, counts = (np.concatenate(c) for c in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(counts.astype(np.int64))], names=["rep", "others"])
-
-    together = pairs.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
-    return together.mapInArrow(run, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+                u, r, n = _matrix(unit[at:end], int(d[at])), rep[at:end], copies[at:end]
+                left = np.flatnonzero(own[at:end] == x[at])
+                same = x[at] == y[at]
+                right = left if same else np.flatnonzero(own[at:end] == y[at])
+                counts = np.zeros(len(r), np.int64)
+                other = u[right]
+                for k in range(0, len(left), window):
+                    rows = left[k:k + window]
+                    near = u[rows] @ other.T >= cosine
+                    if same:
+                        near[np.arange(len(rows)), k + np.arange(len(rows))] = False
+                    if not near.any():
+                        continue
+                    counts[rows] += near @ n[right]
+                    if not same:
+                        counts[right] += near.T @ n[rows]
+                    i, j = (np.concatenate(c) for c in zip(*spanning_links(near)))
+                    yield pa.RecordBatch.from_arrays([pa.array(r[rows[i]]), pa.array(r[right[j]]), pa.nulls(len(i), pa.int64())], names=["a", "b", "n"])
+                some = counts > 0
+                yield pa.RecordBatch.from_arrays([pa.array(r[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(counts[some])], names=["a", "b", "n"])
+
+    order = ["label", "dim", "x", "y"]
+    return pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, n long")
 
 
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                      cosine: float = 0.98, passes: int = PASSES, window: int = WINDOW, tile: int = TILE) -> DataFrame:
+                      cosine: float = 0.98, window: int = WINDOW, tile: int = TILE) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every vector with an id; links join equal labels at ``cosine`` or more.
 
-    Equal vectors of one label collapse first. In each pass the distinct ones are ordered by label and by the
-    signs of random projections; each is compared with the ``window`` that follow, and verified links of all
-    passes are joined to components. Two vectors at cosine 0.98 differ in a sign with probability 0.064, so
-    they part in a pass only by their first ``log2(label size / window)`` signs: with 12 passes about 1 pair
-    in 10 million is missed in a label of 5,000 vectors, 4 in 10,000 at 500,000, 1 in 100 at 50 million.
-    What a component holds is then compared in tiles, so links in a crowd larger than the window all count.
+    Equal vectors of one label collapse first. The distinct ones of a label are dealt to tiles, and every two
+    tiles are compared in a task of their own, ``window`` rows at a time, so no link is missed however crowded a
+    label is. The price is the square of the label: a vector is sent once per tile (at most ``TILES`` times up to
+    ``TILES ** 2 * tile`` vectors, then once per ``TILES * tile``), and multiplied with all others of its label.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers, and null labels, link with nothing;
     so do vectors of different lengths. Rows with a null id give no row; of a repeated id each row counts as a
@@ -155,11 +103,9 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     fit = rows.where(F.coalesce(usable, F.lit(False)))
     classes = stored(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     units = stored(_unit_vectors(classes), "unit-vectors")
-    order = ["pass", "label", "dim", "code"]
-    ordered = _passes(units, passes).repartitionByRange(*order).sortWithinPartitions(*order)
-    components = connected_components(_pass_links(ordered, cosine, window))
-    members = units.join(components.withColumnRenamed("node", "rep"), "rep").select("component", "rep", "copies", "dim", "unit")
-    others = _links_within(members, cosine, tile)
+    compared = stored(_compared(units, cosine, window, tile), "compared-vectors")
+    components = connected_components(compared.where("b is not null").select("a", "b"))
+    others = compared.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     described = (
         classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(others, "rep", "left")
         .select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))

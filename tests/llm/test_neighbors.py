@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from panelspark.llm.catalog import QUERIES
 from panelspark.llm.neighbors import vector_components
@@ -52,6 +54,22 @@ def test_crowds_copies_and_unusable_vectors(spark):
     assert got(vector_components(df, window=32, tile=64)) == plain(scaled)
 
 
+def test_every_pair_of_a_crowded_label_is_found(spark, tmp_path):
+    """30,000 vectors at mutual cosine 0.9, 400 of them with a partner at 0.982 and no other link."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    axis = unit(rng.normal(size=(1, 64)))
+    free = rng.normal(size=(30_000, 64))
+    base = np.sqrt(0.9) * axis + np.sqrt(0.1) * unit(free - free @ axis.T * axis)
+    side = rng.normal(size=(400, 64))
+    side = unit(side - (side * base[:400]).sum(axis=1, keepdims=True) * base[:400])
+    every = np.concatenate((base, 0.982 * base[:400] + np.sqrt(1 - 0.982 ** 2) * side))
+    table = pa.table({"vec_id": np.arange(len(every)), "embedding": pa.array(list(every)), "label": np.zeros(len(every), np.int32)})
+    pq.write_table(table, tmp_path / "crowd.parquet")
+    linked = [r for r in got(vector_components(spark.read.parquet(str(tmp_path / "crowd.parquet")))) if r[1]]
+    assert linked == [(k, 1, k, True) for k in range(400)] + [(30_000 + k, 1, k, False) for k in range(400)]
+
+
 def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 5), (1, [1.0, 0.0], 1, 6)], "vec_id long, embedding array<float>, label int, rep int")
     assert got(vector_components(df)) == [(1, 1, 1, True)] * 2
