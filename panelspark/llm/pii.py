@@ -22,6 +22,8 @@ class Kind:
     score: float
     words: str
     base: bool = True
+    #: Group with the match, for a pattern that consumes only its head: a false start then hides nothing after it.
+    group: int = 0
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
@@ -34,6 +36,23 @@ _MOD97 = (
     " (a, c) -> if(c >= 'A', a * 100 + ascii(c) - 55, a * 10 + cast(c AS int)) % 97) = 1").format(d=_IBAN)
 _PART = "trim(LEADING '0' FROM p)"
 
+#: Characters of an IBAN by country: the registry, then the codes in use beside it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """The head of an IBAN, ahead of which its whole stands as group 1; of a code without a length, the longest run."""
+    known = {n: "|".join(codes.split()) for n, codes in IBAN_LENGTHS.items()}
+    tails = [rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in known.items()]
+    other = rf"(?!{'|'.join(known.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?=((?:{'|'.join([*tails, other])})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 #: In the order of results. The first four are the base kinds; their valid spans always stay.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,13 +64,14 @@ KINDS = (
          "digits", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          "instr(text, '+') > 0", f"length({_DIGITS}) BETWEEN 9 AND 15", 0.7, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-         "digits", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}", 0.9, "iban|bank|account", base=False),
+    Kind("iban", _iban_pattern(),
+         "digits", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}", 0.9, "iban|bank|account", base=False, group=1),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
          "digits AND instr(text, '-') > 0", "true", 0.3, "ssn|social|security", base=False),
 )
 #: Code points on either side, up to the next match of the kind, in which context words count, what they add, and the least score of an added span.
 NEAR, RAISE, LEAST = 40, 0.2, 0.5
+_SPANS = "array<struct<kind: string, start: int, `end`: int, score: double>>"
 
 
 def _quoted(pattern: str) -> str:
@@ -66,6 +86,8 @@ def findings(text: Column) -> list[tuple[str, Column]]:
     steps.append(("_digits", F.expr("_text RLIKE '[0-9]'")))
     for k in KINDS:
         steps.append((f"_m_{k.name}", F.expr(f"if({on(k.present)}, regexp_extract_all(_text, {_quoted(k.pattern)}, 0), array())")))
+        if k.group:
+            steps.append((f"_w_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, regexp_extract_all(_text, {_quoted(k.pattern)}, {k.group}), array())")))
     for k in KINDS:
         # gaps between matches give the starts: the same finds, read as separators
         steps.append((f"_g_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, split(_text, {_quoted(k.pattern)}, -1), array())")))
@@ -74,16 +96,23 @@ def findings(text: Column) -> list[tuple[str, Column]]:
         # whole columns go in as arguments: inside a lambda they could be evaluated for each match
         pieces = (
             f"zip_with(zip_with(slice({g}, 1, size({m})), {m}, (g, m) -> struct(g AS g, m AS m)), slice({g}, 2, size({m})),"
-            f" (x, h) -> struct(length(x.g) AS gap, x.m AS m, concat(right(x.g, {NEAR}), ' ', left(h, {NEAR})) AS near))")
+            f" (x, h) -> struct(length(x.g) AS gap, length(x.m) AS step, x.m AS m, concat(right(x.g, {NEAR}), ' ', left(h, {NEAR})) AS near))")
+        if k.group:
+            pieces = (
+                f"zip_with(zip_with(zip_with(slice({g}, 1, size({m})), {m}, (g, m) -> struct(g AS g, m AS m)), _w_{k.name}, (x, w) -> struct(x.g AS g, x.m AS m, w AS w)),"
+                f" slice({g}, 2, size({m})), (x, h) -> struct(length(x.g) AS gap, length(x.m) AS step, x.w AS m,"
+                f" concat(right(x.g, {NEAR}), ' ', substring(h, length(x.w) - length(x.m) + 1, {NEAR})) AS near))")
         located = (
             f"aggregate({pieces}, struct(0 AS at, cast(array() AS array<struct<start: int, m: string, near: string>>) AS out),"
-            " (a, x) -> struct(a.at + x.gap + length(x.m) AS at, concat(a.out, array(struct(a.at + x.gap AS start, x.m AS m, x.near AS near))) AS out), a -> a.out)")
+            " (a, x) -> struct(a.at + x.gap + x.step AS at, concat(a.out, array(struct(a.at + x.gap AS start, x.m AS m, x.near AS near))) AS out), a -> a.out)")
         scored = (
             f"transform(filter({located}, s -> {k.valid.replace('m,', 's.m,')}), s -> struct('{k.name}' AS kind, s.start AS start,"
             f" s.start + length(s.m) AS `end`, least(1.0D, {k.score}D + if(s.near RLIKE '(?i){k.words}', {RAISE}D, 0.0D)) AS score))"
             .replace("\\b", "\\\\b"))
         kept = scored if k.base else f"filter({scored}, s -> s.score >= {LEAST}D)"
-        steps.append((f"_s_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, {kept}, cast(array() AS array<struct<kind: string, start: int, `end`: int, score: double>>))")))
+        if k.group:  # heads may stand inside the match before them
+            kept = f"aggregate({kept}, cast(array() AS {_SPANS}), (a, s) -> if(size(a) = 0 OR element_at(a, -1).`end` <= s.start, concat(a, array(s)), a))"
+        steps.append((f"_s_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, {kept}, cast(array() AS {_SPANS}))")))
     steps.append(("_found", F.concat(*[F.col(f"_s_{k.name}") for k in KINDS])))
     return steps
 

@@ -72,6 +72,15 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert [r.spans for r in rows] == ["iban:4:31", "", "ssn:11:22", ""]
 
 
+def test_iban_ends_where_its_country_says(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    texts = [f"IBAN {gb} BIC", f"{de} 2024", f"{gb} {de} {no} OK 7", f"{de} {gb} 1", f"AT12 {gb} AB12 {no}", f"{gb}X", f"{no} 1 {de[:-1]} 9 SUM", "XX12 " * 9 + de]
+    rows = find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    ibans = [[t[s.start:s.end] for s in r.found if s.kind == "iban"] for r, t in zip(rows, texts)]
+    assert ibans == [[gb], [de], [gb, de, no], [de, gb], [gb, no], [], [no], [de]]
+    assert redact(spark.createDataFrame([(1, f"IBAN {gb} BIC")], "doc_id long, text string")).first().text == "IBAN [IBAN] BIC"
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     rows = [(1, "mail a@b.co, +1 (017) 555-7713!", 5), (1, None, 6), (None, "", 7), (2, "é 1.2.3.4", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _text int")
