@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import shared_folder
 
-#: Folder of the public vocabulary files, which are never copied here.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which is never copied here; ``TOKENIZERS_DIR`` names another folder of them."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

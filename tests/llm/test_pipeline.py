@@ -7,7 +7,7 @@ from test_decontaminate import tokens
 from test_pii import base
 from test_simhash import plain_components, plain_fingerprint
 
-from panelspark.llm.common import TOKENIZERS
+from panelspark.llm.common import vocabulary
 from panelspark.llm.decontaminate import EQUAL, WINDOW
 from panelspark.llm.language import UNKNOWN, train_language_model
 from panelspark.llm.pii import KINDS
@@ -51,7 +51,7 @@ def test_stages_equal_plain_versions(spark, folder):
     added = re.compile("|".join(k.pattern for k in KINDS if not k.base))
     assert not any(added.search(t) for t in text.values())  # else redacted() would have to know them
     text = {i: redacted(t) for i, t in text.items()}
-    library = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
     got = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in got} == set(text) and len(got) == len(text) < len(rows)
     for r in got:
