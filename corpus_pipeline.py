@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.llm import decontaminate, language, pieces, pii, simhash
-from panelspark.llm.common import TOKENIZERS, documents, stored
+from panelspark.llm.common import documents, stored, vocabulary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and the digest of the text they decode to."""
-    encoded = pieces.encode(docs, pieces.load_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    encoded = pieces.encode(docs, pieces.load_model(vocabulary("piece_bpe_32k.model")))
     return encoded.select("doc_id", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
