@@ -106,18 +106,18 @@ def _pairs(s, d):
 
 cte("ranked_pairs", f"SELECT date, ticker, ({pct_sql('score')}) AS rx, ({pct_sql('target')}) AS ry FROM pairs")
 cte("ics", "SELECT date, corr(rx, ry) AS ic FROM ranked_pairs GROUP BY date HAVING count(*) > 1 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0")
-add("rank_ic_by_date", lambda s, d: ev.rank_ic_by_date(_pairs(s, d)).select("date", rc("ic").alias("ic")), f"SELECT date, {r('ic')} AS ic FROM ics")
-add("ic_summary", lambda s, d: ev.ic_summary(ev.rank_ic_by_date(_pairs(s, d)), horizon=5).select(*[rc(x).alias(x) for x in ("ic_mean", "ic_std", "icir", "icir_overlap_adj")]),
+add("rank_ic_by_date", lambda s, d: ev.rank_ic_by_date(_pairs(s, d), names=t.n_names(s, d)).select("date", rc("ic").alias("ic")), f"SELECT date, {r('ic')} AS ic FROM ics")
+add("ic_summary", lambda s, d: ev.ic_summary(ev.rank_ic_by_date(_pairs(s, d), names=t.n_names(s, d)), horizon=5).select(*[rc(x).alias(x) for x in ("ic_mean", "ic_std", "icir", "icir_overlap_adj")]),
     f"SELECT {r('avg(ic)')} AS ic_mean, {r('stddev_samp(ic)')} AS ic_std, {r('avg(ic) / stddev_samp(ic) * sqrt(252)')} AS icir, {r('avg(ic) / stddev_samp(ic) * sqrt(252.0::DOUBLE / 5)')} AS icir_overlap_adj FROM ics", dates="")
-add("ic_by_year", lambda s, d: ev.ic_by_year(ev.rank_ic_by_date(_pairs(s, d))).select("year", rc("ic_mean").alias("ic_mean")),
+add("ic_by_year", lambda s, d: ev.ic_by_year(ev.rank_ic_by_date(_pairs(s, d), names=t.n_names(s, d))).select("year", rc("ic_mean").alias("ic_mean")),
     f"SELECT year(date)::BIGINT AS year, {r('avg(ic)')} AS ic_mean FROM ics GROUP BY 1", dates="")
-add("ic_by_regime", lambda s, d: ev.ic_by_regime(ev.rank_ic_by_date(_pairs(s, d)), _labels2(s, d)).select("regime", rc("ic_mean").alias("ic_mean"), "n_days"),
+add("ic_by_regime", lambda s, d: ev.ic_by_regime(ev.rank_ic_by_date(_pairs(s, d), names=t.n_names(s, d)), _labels2(s, d)).select("regime", rc("ic_mean").alias("ic_mean"), "n_days"),
     f"SELECT regime, {r('avg(ic)')} AS ic_mean, count(*) AS n_days FROM ics i JOIN regime_lab g ON i.date = g.date GROUP BY 1", dates="")
 cte("decay_in", f"SELECT s.date, ticker, score, h AS horizon, CASE h " + " ".join(f"WHEN {h} THEN lead(close, {h}) OVER (PARTITION BY ticker, h ORDER BY s.date)" for h in (5, 10, 20, 40, 60, 120))
     + " END / close - 1 AS fwd FROM scored s, (SELECT unnest([5, 10, 20, 40, 60, 120]) AS h)")
 cte("decay_ok", "SELECT * FROM decay_in WHERE score IS NOT NULL AND fwd IS NOT NULL")
 cte("decay_rk", f"SELECT horizon, date, {pct_sql('score', 'horizon, date')} AS rx, {pct_sql('fwd', 'horizon, date')} AS ry FROM decay_ok")
-add("signal_decay", lambda s, d: ev.signal_decay(t.filing_scores(s, d), t.bars_filled(s, d)).select("horizon", rc("ic_mean").alias("ic_mean")),
+add("signal_decay", lambda s, d: ev.signal_decay(t.filing_scores(s, d), t.bars_filled(s, d), names=t.n_names(s, d)).select("horizon", rc("ic_mean").alias("ic_mean")),
     f"SELECT horizon::BIGINT AS horizon, {r('avg(ic)')} AS ic_mean FROM (SELECT horizon, date, corr(rx, ry) AS ic FROM decay_rk GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1", dates="")
 add("ic_significance", lambda s, d: ev.ic_significance(_fold_ics(s, d, False)).select(rc("mean", 8).alias("mean"), rc("std", 8).alias("std"), rc("t_stat").alias("t_stat"), "n_folds"),
     f"SELECT {r('avg(ic)', 8)} AS mean, {r('stddev_samp(ic)', 8)} AS std, {r('avg(ic) / (stddev_samp(ic) / sqrt(count(*)))')} AS t_stat, count(*) AS n_folds FROM fold_base", dates="")

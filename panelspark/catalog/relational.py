@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import columns as col
-from ..functions.ranks import rank_pct_split
+from ..functions.ranks import rank_split
 from ..functions.windows import add_features, series
 from ..operators import cross_section as xs
 from ..operators import fundamentals as fund
@@ -419,7 +419,7 @@ cte("insider_ft", f"""SELECT b.date, b.ticker, sum(coalesce(np, 0)) OVER (w ROWS
 add("insider_features", lambda s, d: fund.insider_features(t.bars_filled(s, d), t.insider_tx(s, d)).select("date", "ticker", "insider_buy_count_90d", rc("insider_net_buy_norm").alias("insider_net_buy_norm")),
     f"SELECT date, ticker, insider_buy_count_90d, {r('insider_net_buy_norm')} AS insider_net_buy_norm FROM insider_ft")
 add("rank_fill_neutral",
-    lambda s, d: xs.rank_fill_neutral(fund.fundamental_ratios(t.bars_filled(s, d), t.filings(s, d)), ["roe", "debt_to_equity"], "f_").select("date", "ticker", rc("f_roe").alias("f_roe"), rc("f_debt_to_equity").alias("f_debt_to_equity")),
+    lambda s, d: xs.rank_fill_neutral(fund.fundamental_ratios(t.bars_filled(s, d), t.filings(s, d)), ["roe", "debt_to_equity"], "f_", t.n_names(s, d)).select("date", "ticker", rc("f_roe").alias("f_roe"), rc("f_debt_to_equity").alias("f_debt_to_equity")),
     f"SELECT date, ticker, {r('coalesce(' + pct_sql('roe') + ' - 0.5, 0)')} AS f_roe, {r('coalesce(' + pct_sql('debt_to_equity') + ' - 0.5, 0)')} AS f_debt_to_equity FROM ratios")
 
 # --- cross-section -------------------------------------------------------------------------------------------
@@ -428,13 +428,13 @@ add("cs_rank", lambda s, d: t.filing_scores(s, d).select("date", "ticker", rc(xs
 add("cs_rank_ties", lambda s, d: t.bars(s, d).select("date", "ticker", rc(xs.cs_rank("volume")).alias("rank")),
     f"SELECT date, ticker, {r(pct_sql('volume') + ' - 0.5')} AS rank FROM bars")
 add("cs_rank_split",
-    lambda s, d: rank_pct_split(t.table(s, d, "lineitem").select(F.col("l_orderkey"), "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice"), "l_extendedprice", "pct", ["l_returnflag"]).groupBy("l_returnflag", "l_linenumber").agg(
+    lambda s, d: rank_split(t.table(s, d, "lineitem").select("l_linenumber", "l_returnflag", "l_extendedprice"), {"pct": "l_extendedprice"}, ["l_returnflag"], []).groupBy("l_returnflag", "l_linenumber").agg(
         F.count(F.lit(1)).alias("n"), rc(F.avg("pct"), 8).alias("pct"), rc(F.max("pct"), 8).alias("top")),
     f"""SELECT l_returnflag, l_linenumber, count(*) AS n, {r('avg(p)', 8)} AS pct, {r('max(p)', 8)} AS top FROM (
         SELECT l_returnflag, l_linenumber, {pct_sql('l_extendedprice', 'l_returnflag')} AS p FROM lineitem) GROUP BY 1, 2""", dates="")
 add("sector_rank", lambda s, d: joins.sector_join(t.filing_scores(s, d), t.sectors(s, d)).select("date", "ticker", "sector", rc(xs.sector_rank("score")).alias("rank")),
     f"SELECT date, ticker, sector, {r(pct_sql('score', 'date, sector') + ' - 0.5')} AS rank FROM (SELECT s.*, sector FROM scored s JOIN sectors k ON s.ticker = k.ticker)")
-add("winsorize", lambda s, d: xs.winsorize(t.filing_scores(s, d).select("date", "ticker", "score", "volume"), ["score", "volume"], 0.05).select("date", "ticker", rc("score").alias("score"), rc("volume").alias("volume")),
+add("winsorize", lambda s, d: xs.winsorize(t.filing_scores(s, d).select("date", "ticker", "score", "volume"), ["score", "volume"], 0.05, names=t.n_names(s, d)).select("date", "ticker", rc("score").alias("score"), rc("volume").alias("volume")),
     "SELECT date, ticker, " + ", ".join(f"{r(f'CASE WHEN {x} IS NOT NULL THEN greatest(least({x}, hi_{x}), lo_{x}) END')} AS {x}" for x in ("score", "volume")) + """ FROM
         (SELECT s.date, s.ticker, s.score, s.volume, hi_score, lo_score, hi_volume, lo_volume FROM scored s JOIN (SELECT date, quantile_cont(score, 0.05) AS lo_score, quantile_cont(score, 0.95) AS hi_score, quantile_cont(volume, 0.05) AS lo_volume,
          quantile_cont(volume, 0.95) AS hi_volume FROM scored GROUP BY 1) q ON s.date = q.date)""")
@@ -461,7 +461,7 @@ def _ranked(s, d, sector: bool):
     p = add_features(base, [tech.log_momentum(20), tech.realized_vol(20), tech.realized_vol(60), tech.trend(), relative_strength_column("rs_bench", "_bench")])
     if sector:
         p = joins.sector_join(p, t.sectors(s, d))
-    out = xs.add_ranked_signals(p, sector)
+    out = xs.add_ranked_signals(p, sector, t.n_names(s, d))
     return out.select("date", "ticker", *[rc(k).alias(k) for k in xs.ranked_signals()])
 
 

@@ -11,7 +11,7 @@ from ..sources import tables as t
 from ..streaming import ledger_streams as ls
 from .base import add, cte, r, rc
 from .features import W
-from .relational import scratch
+from .relational import pct_sql, scratch
 
 c = F.col
 
@@ -88,10 +88,41 @@ def assignment(s, d):
     return t.tickers(s, d).withColumn("book", first_match([(t.brand_number() % 5 == i, b.name) for i, b in enumerate(BOOKS)], None))
 
 
+def book_inputs(s, d):
+    """Stored bars, price level, and the dealt books."""
+    bars = stored(s, t.bars_filled(s, d), "bars")
+    return bars, t.price_level(bars).select("date", "close"), assignment(s, d)
+
+
 def daily_books(s, d):
+    """All families, sector-neutral; holdings and governor of the ledger's last state, every seventh brand a microcap."""
     from ..plans.books import build_books
-    bars = stored(s, t.bars_filled(s, d), "bars")
-    return build_books(bars, t.price_level(bars).select("date", "close"), assignment(s, d))
+    bars, bench, books = book_inputs(s, d)
+    held = books.select("book", "ticker", (t.brand_number() % 4 / 100.0).alias("weight"))
+    gates = books.select("book").distinct().withColumn("exposure", F.when(c("book") == "crypto", 0.5).otherwise(1.0))
+    return build_books(bars, bench, books, current=held, governor=gates, sectors=t.sectors(s, d), filings=t.filings(s, d), insider=t.insider_tx(s, d),
+                       microcaps=t.tickers(s, d).where(t.brand_number() % 7 == 0))
+
+
+def given_decisions(s, d):
+    """Decisions of every month's last trading day from given scores (20-day log momentum)."""
+    bars, bench, books = book_inputs(s, d)
+    last = bars.groupBy(F.date_trunc("month", "date").alias("_m")).agg(F.max("date").alias("date")).select("date")
+    scores = stored(s, t.filing_scores(s, d).select("date", "ticker", "score").where("score IS NOT NULL").join(F.broadcast(last), "date").join(books, "ticker"), "scores")
+    held = books.select("book", "ticker", (t.brand_number() % 4 / 100.0).alias("weight"))
+    gates = books.select("book").distinct().withColumn("exposure", F.when(c("book") == "crypto", 0.5).otherwise(1.0))
+    return scores, bars, bench, books, dict(current=held, governor=gates, microcaps=t.tickers(s, d).where(t.brand_number() % 7 == 0), crowded=0.02)
+
+
+def decide_given(scores, bars, bench, books, **options):
+    from ..plans.books import decide_books
+    return decide_books(scores, bars, bench, books, **options)
+
+
+def given_overload(s, d):
+    from ..plans.books import BOOKS, basket_overload, by_book
+    scores, bars, _, books, _ = given_decisions(s, d)
+    return basket_overload(scores, bars, books, by_book(BOOKS, lambda b: b.top_quantile, c("book")), 0.02)
 
 
 def system(s, d):
@@ -104,5 +135,42 @@ def system(s, d):
     return combine_system(held, {"stocks": 0.65, "metals": 0.15, "crypto": 0.20}, mult)
 
 
+def _book_rows():
+    from ..plans.books import BOOKS
+    return ", ".join(f"({i}, '{b.name}', {min(b.class_cap, 0.05) if b.bucket == 'experimental' else b.class_cap}, {b.position_cap}, {b.top_quantile}, {b.kelly})" for i, b in enumerate(BOOKS))
+
+
+cte("bk", f"SELECT * FROM (VALUES {_book_rows()}) v(id, book, cap, pos_cap, q, kf)")
+cte("bk_names", "SELECT ticker, num, book, cap, pos_cap, q, kf FROM names JOIN bk ON num % 5 = id")
+cte("bk_days", "SELECT max(date) AS date FROM cal GROUP BY date_trunc('month', date)")
+cte("bk_scores", "SELECT s.date, s.ticker, s.score, n.* EXCLUDE (ticker) FROM scored s JOIN bk_names n ON s.ticker = n.ticker WHERE s.score IS NOT NULL AND s.date IN (SELECT date FROM bk_days)")
+cte("bk_rets", "SELECT book, r.strategy AS ticker, r.date, r.ret FROM rets r JOIN bk_names n ON r.strategy = n.ticker")
+cte("bk_whole", """SELECT book, date, row_number() OVER (PARTITION BY book ORDER BY date) AS k FROM (
+    SELECT r.book, r.date FROM bk_rets r JOIN (SELECT book, count(*) AS n FROM bk_names GROUP BY 1) m ON r.book = m.book GROUP BY r.book, r.date, m.n HAVING count(*) = m.n)""")
+cte("bk_rank", "SELECT *, row_number() OVER (PARTITION BY book, date ORDER BY score DESC, ticker) <= greatest(ceil(count(*) OVER (PARTITION BY book, date) * q), 1) AS long FROM bk_scores")
+cte("bk_at", "SELECT x.book, x.date, max(k) AS k FROM (SELECT DISTINCT book, date FROM bk_scores) x JOIN bk_whole w ON w.book = x.book AND w.date <= x.date GROUP BY 1, 2")
+cte("bk_basket", """SELECT p.book, p.date AS day, p.ticker, r.date, r.ret FROM bk_rank p JOIN bk_at a ON p.book = a.book AND p.date = a.date
+    JOIN bk_whole w ON w.book = p.book AND w.k > a.k - 60 AND w.k <= a.k JOIN bk_rets r ON r.ticker = p.ticker AND r.date = w.date WHERE p.long""")
+cte("bk_pairs", "SELECT a.book, a.day, corr(a.ret, b.ret) AS k FROM bk_basket a JOIN bk_basket b ON a.book = b.book AND a.day = b.day AND a.date = b.date AND a.ticker < b.ticker GROUP BY a.book, a.day, a.ticker, b.ticker")
+cte("bk_over", "SELECT book, day AS date, avg(k) AS avg_corr, avg(k) > 0.02 AS overload FROM bk_pairs GROUP BY 1, 2")
+cte("bk_exposure", """SELECT g.date, CASE regime WHEN 'bull' THEN 1 WHEN 'recovery' THEN 0.7 WHEN 'chop' THEN 0.5 WHEN 'high_vol' THEN 0.3 WHEN 'bear' THEN 0.2 ELSE 0 END::DOUBLE AS e, m, v, n
+    FROM regime6 g JOIN (SELECT date, avg(r1) OVER w AS m, var_samp(r1) OVER w AS v, count(r1) OVER w AS n FROM rg_a WINDOW w AS (PARTITION BY 1 ORDER BY date ROWS 59 PRECEDING)) x ON g.date = x.date""")
+cte("bk_a", f"""SELECT r.*, ({pct_sql('score', 'r.book, r.date').replace('BY score', 'BY r.score')}) * 100 AS p, e > 0 AS on_, coalesce(o.overload, false) AS ov, (num % 4) / 100.0::DOUBLE AS cur,
+    e * (0.5 + 0.5 * CASE WHEN n < 5 OR v IS NULL OR v <= 0 THEN 1 ELSE least(greatest(kf * m / v, 0), 1) END) * CASE WHEN r.book = 'crypto' THEN 0.5 ELSE 1 END AS gv
+    FROM bk_rank r JOIN bk_exposure x ON r.date = x.date LEFT JOIN bk_over o ON r.book = o.book AND r.date = o.date""")
+cte("bk_b", "SELECT *, CASE WHEN NOT long OR p < 40 THEN 0 WHEN p < 60 THEN 0.3 WHEN p < 80 THEN 0.7 ELSE 1 END::DOUBLE AS raw, score - 0.001 AS ev FROM bk_a")
+cte("bk_c", """SELECT *, greatest(least(coalesce(raw / nullif(sum(raw) OVER (PARTITION BY book, date), 0), 0) * gv * CASE WHEN on_ THEN 1 ELSE 0 END * CASE WHEN ov THEN 0.5 ELSE 1 END, pos_cap), 0) AS tgt FROM bk_b""")
+cte("bk_d", """SELECT *, round(tgt, 4) * CASE WHEN sum(round(tgt, 4)) OVER (PARTITION BY book, date) > cap THEN cap / sum(round(tgt, 4)) OVER (PARTITION BY book, date) ELSE 1 END AS w1 FROM bk_c""")
+cte("bk_e", "SELECT *, CASE WHEN num % 7 = 0 THEN least(w1, 0.01) ELSE w1 END AS w2 FROM bk_d")
+cte("bk_f", "SELECT *, sum(CASE WHEN num % 7 = 0 THEN w2 ELSE 0 END) OVER (PARTITION BY book, date) AS micro FROM bk_e")
+add("basket_overload", lambda s, d: given_overload(s, d).select("book", "date", rc("avg_corr").alias("avg_corr"), "overload"),
+    f"SELECT a.book, a.date, {r('avg_corr')} AS avg_corr, coalesce(overload, false) AS overload FROM bk_at a LEFT JOIN bk_over o ON a.book = o.book AND a.date = o.date")
+add("book_decisions", lambda s, d: (lambda g: decide_given(*g[:4], **g[4]))(given_decisions(s, d)).select(
+        "book", "date", "ticker", "action", "ev_score", "confidence", "target_weight", "reasoning", rc("weight").alias("weight")),
+    f"""SELECT book, date, ticker, CASE WHEN gv <= 0 THEN CASE WHEN cur > 0 THEN 'SELL' ELSE 'NO TRADE' END WHEN NOT on_ THEN CASE WHEN cur > tgt THEN 'REDUCE' WHEN tgt = 0 THEN 'NO TRADE' ELSE 'HOLD' END
+        WHEN ev <= 0 OR (p < 60 AND tgt = 0) THEN CASE WHEN cur > 0 THEN 'SELL' ELSE 'NO TRADE' END WHEN tgt > cur + 1e-6 THEN 'BUY' WHEN tgt < cur - 1e-6 THEN 'REDUCE' ELSE 'HOLD' END AS action,
+        round(ev, 5) + 0.0::DOUBLE AS ev_score, round(p, 1) AS confidence, round(tgt, 4) AS target_weight,
+        CASE WHEN gv <= 0 THEN 'governor' WHEN NOT on_ THEN 'regime' WHEN ev <= 0 THEN 'no_edge' WHEN p < 60 AND tgt = 0 THEN 'low_confidence' WHEN tgt > cur + 1e-6 THEN 'scale_up' WHEN tgt < cur - 1e-6 THEN 'trim' ELSE 'at_target' END AS reasoning,
+        {r('CASE WHEN num % 7 = 0 AND micro > 0.1 THEN w2 * 0.1 / micro ELSE w2 END')} AS weight FROM bk_f""")
 add("build_books", daily_books)
 add("combine_system", system)

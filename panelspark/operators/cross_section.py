@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import graduated_multiplier, safe_div
-from ..functions.ranks import quantile_bounds, quantile_pair, rank_pct
+from ..functions.ranks import GROUP_ROWS, largest_group, quantile_bounds, quantile_bounds_split, quantile_pair, rank_columns, rank_pct
 from ..functions.windows import add_features, series
+from ..session import stored as written
 from .joins import interval_join
 
 c = F.col
@@ -23,20 +24,26 @@ def sector_rank(x) -> Column:
     return cs_rank(x, ("date", "sector"))
 
 
-def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, stored: bool = False) -> DataFrame:
-    """Clip every column to its per-date quantiles.
+def winsorize(panel: DataFrame, cols: Sequence[str], p: float = 0.01, stored: bool = False, by: Sequence[str] = ("date",),
+              names: int | None = None) -> DataFrame:
+    """Clip every column to its quantiles per date (or other group).
 
     By default the quantiles are window aggregates, so a panel that is still a plan is computed once and
     shares the exchange by date with the ranks. A ``stored`` panel (a written table, cheap to read twice)
-    takes its bounds from one grouped aggregate instead: it combines on the map side, so a date with
-    very many names is no hot task, and the bounds (one row per date) come back by broadcast.
+    takes its bounds from one grouped aggregate instead, which combines on the map side, and the bounds (one row
+    per group) come back by broadcast. Groups beyond what a task should hold (``names`` bounds their rows and is
+    counted if not known) take the same values from histograms, and no task sees a group.
     """
     if p <= 0:
         return panel
-    if stored:
-        source = panel.join(F.broadcast(quantile_bounds(panel, cols, p)), "date")
+    keys = list(by)
+    if (largest_group(panel, keys) if names is None else names) > GROUP_ROWS:
+        panel = panel if stored else written(panel.sparkSession, panel, "winsorize")
+        source = panel.join(F.broadcast(quantile_bounds_split(panel, cols, p, keys)), keys)
+    elif stored:
+        source = panel.join(F.broadcast(quantile_bounds(panel, cols, p, keys)), keys)
     else:
-        w = Window.partitionBy("date")
+        w = Window.partitionBy(*keys)
         source = panel.withColumns({f"_q_{x}": quantile_pair(x, p).over(w) for x in cols})
     clipped = {x: F.when(c(x).isNotNull(), F.greatest(F.least(c(x), c(f"_q_{x}")[1]), c(f"_q_{x}")[0])) for x in cols}
     return source.withColumns(clipped).select(*panel.columns)
@@ -68,16 +75,18 @@ def ranked_signals() -> Mapping[str, Column]:
     }
 
 
-def add_ranked_signals(panel: DataFrame, sector_neutral: bool = False) -> DataFrame:
+def add_ranked_signals(panel: DataFrame, sector_neutral: bool = False, names: int | None = None) -> DataFrame:
     by = ("date", "sector") if sector_neutral else ("date",)
-    signals = {f"_b_{k}": v for k, v in ranked_signals().items()}
-    out = panel.withColumns(signals).withColumns({k: cs_rank(f"_b_{k}", by) for k in ranked_signals()})
-    return out.drop(*signals)
+    signals = ranked_signals()
+    out = panel.withColumns({f"_b_{k}": v for k, v in signals.items()})
+    out = rank_columns(out, {k: (f"_b_{k}", by) for k in signals}, ("ticker",), names)
+    return out.withColumns({k: c(k) - 0.5 for k in signals}).drop(*[f"_b_{k}" for k in signals])
 
 
-def rank_fill_neutral(panel: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
+def rank_fill_neutral(panel: DataFrame, cols: Sequence[str], prefix: str, names: int | None = None) -> DataFrame:
     """Centred rank with missing as neutral 0."""
-    return panel.withColumns({f"{prefix}{x}": F.coalesce(cs_rank(x), F.lit(0.0)) for x in cols})
+    out = rank_columns(panel, {f"{prefix}{x}": (x, ("date",)) for x in cols}, ("ticker",), names)
+    return out.withColumns({f"{prefix}{x}": F.coalesce(c(f"{prefix}{x}") - 0.5, F.lit(0.0)) for x in cols})
 
 
 def blend_horizons(scores: DataFrame, weights: Mapping[int, float]) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_match, safe_div, total
-from ..functions.ranks import rank_avg
+from ..functions.ranks import rank_columns
 from ..functions.windows import series
 from .joins import pair_folds, score_target_join
+from .moments import co_moments, collect_co_moments, greedy_prune
 
 c = F.col
 DAYS = 252
@@ -27,11 +28,14 @@ def safe_corr(x: Column, y: Column) -> Column:
 # --- rank correlation --------------------------------------------------------------------------------
 
 
-def rank_ic_by_date(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Spearman correlation of score and target per date (and key); undefined dates are left out."""
+def rank_ic_by_date(pairs: DataFrame, keys: Sequence[str] = (), names: int | None = None) -> DataFrame:
+    """Spearman correlation of score and target per date (and key); undefined dates are left out.
+
+    ``names`` bounds the rows of a date and key; it is counted if not known, and dates too large for a task are split.
+    """
     by = [*keys, "date"]
-    ranked = pairs.where("score IS NOT NULL AND target IS NOT NULL").withColumns(
-        {"_rx": rank_avg("score", by), "_ry": rank_avg("target", by)})
+    known = pairs.where("score IS NOT NULL AND target IS NOT NULL")
+    ranked = rank_columns(known, {"_rx": ("score", by), "_ry": ("target", by)}, ("ticker",), names)
     return ranked.groupBy(*by).agg(safe_corr(c("_rx"), c("_ry")).alias("ic")).where("ic IS NOT NULL")
 
 
@@ -52,7 +56,7 @@ def ic_by_regime(ics: DataFrame, regime: DataFrame) -> DataFrame:
         F.avg("ic").alias("ic_mean"), F.count(F.lit(1)).alias("n_days"))
 
 
-def signal_decay(scores: DataFrame, bars: DataFrame, horizons: Sequence[int] = (5, 10, 20, 40, 60, 120)) -> DataFrame:
+def signal_decay(scores: DataFrame, bars: DataFrame, horizons: Sequence[int] = (5, 10, 20, 40, 60, 120), names: int | None = None) -> DataFrame:
     """Mean rank correlation with the de-meaned forward return at several horizons.
 
     All leads in one window pass; the horizon becomes a key, so every horizon shares the rest.
@@ -63,7 +67,7 @@ def signal_decay(scores: DataFrame, bars: DataFrame, horizons: Sequence[int] = (
     long = wide.unpivot(["date", "ticker"], list(fwd), "horizon", "target").where("target IS NOT NULL")
     # de-meaning shifts all names of a date alike, which no rank notices
     pairs = score_target_join(scores.select("date", "ticker", "score"), long)
-    return rank_ic_by_date(pairs, ["horizon"]).groupBy(c("horizon").cast("long").alias("horizon")).agg(
+    return rank_ic_by_date(pairs, ["horizon"], names).groupBy(c("horizon").cast("long").alias("horizon")).agg(
         F.avg("ic").alias("ic_mean"))
 
 
@@ -95,15 +99,16 @@ def source_verdict(base: DataFrame, full: DataFrame, min_gain: float = 0.002, t_
 
 
 def feature_corr(panel: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Correlation of every feature pair ``(a, b, corr)`` in one aggregate.
-
-    For wide panels :func:`linear.gram_blocks` gives the same moments from one matrix product.
-    """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    row = panel.agg(*[safe_corr(c(a), c(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    named = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(named))
+    """Correlation of every feature pair ``(a, b, corr)`` over the rows where both are known, from one pass of matrix products."""
+    k = len(features)
+    m = co_moments(panel, features)
+    cells = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            at, back = i * k + j, j * k + i
+            scale = F.sqrt(c("var")[at]) * F.sqrt(c("var")[back])
+            cells.append(F.struct(F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), F.when(c("n")[at] > 1, safe_div(c("co")[at], scale)).alias("corr")))
+    return m.select(F.inline(F.array(*cells)))
 
 
 def redundancy(panel: DataFrame, features: Sequence[str], threshold: float = 0.7) -> DataFrame:
@@ -113,13 +118,9 @@ def redundancy(panel: DataFrame, features: Sequence[str], threshold: float = 0.7
 
 
 def prune_correlated(panel: DataFrame, features: Sequence[str], threshold: float = 0.9) -> list[str]:
-    """Keep a feature when it is not too close to one kept before; only the K x K pairs reach the driver."""
-    close = {(r.a, r.b) for r in feature_corr(panel, features).collect() if r.corr is None or abs(r.corr) > threshold}
-    kept: list[str] = []
-    for f in features:
-        if not any((k, f) in close for k in kept):
-            kept.append(f)
-    return kept
+    """Keep a feature when it is not too close to one kept before; only the K x K moments reach the driver."""
+    state = collect_co_moments(panel, features).get(0)
+    return greedy_prune(state.corr(), features, threshold) if state else list(features)
 
 
 def feature_target_corr(panel: DataFrame, features: Sequence[str], target: str = "target", limit: float = 0.95) -> DataFrame:

@@ -6,15 +6,15 @@ model follow from those K x K blocks without touching the rows again.
 """
 from __future__ import annotations
 
-from typing import Callable, Iterator, Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_match
 from .evaluate import ic_significance, rank_ic_by_date, source_verdict
+from .moments import CoMoments, co_moments, collect_co_moments
 
 c = F.col
 
@@ -25,61 +25,47 @@ c = F.col
 def gram_blocks(panel: DataFrame, features: Sequence[str], target: str = "target", segment: str = "segment") -> DataFrame:
     """``(segment, i, j, value)``: sums of products of [1, features..., target], upper triangle.
 
-    Every partition reduces its Arrow batches to one small matrix per segment before anything is
-    shuffled, so hot segments cost no more than others. Rows with a null are left out.
+    Read off the centred moments of the complete rows (:mod:`moments`), one row per segment.
     """
     cols = [*features, target]
-    size = len(cols) + 1
-    upper_i, upper_j = np.triu_indices(size)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            seg = batch["_s"].to_numpy()
-            x = np.column_stack([np.ones(len(batch)), batch[cols].to_numpy(dtype=float)])
-            for s in np.unique(seg):
-                part = x[seg == s]
-                sums[s] = sums.get(s, 0.0) + part.T @ part
-        for s, m in sums.items():
-            yield pd.DataFrame({"segment": np.int64(s), "i": upper_i, "j": upper_j, "value": m[upper_i, upper_j]})
-
-    rows = panel.select(c(segment).cast("long").alias("_s"), *[c(x).cast("double").alias(x) for x in cols]).dropna()
-    parts = rows.mapInPandas(partial, "segment long, i int, j int, value double")
-    return parts.groupBy("segment", "i", "j").agg(F.sum("value").alias("value"))
+    k = len(cols)
+    m = co_moments(panel.dropna(subset=cols), cols, segment)
+    n = c("n")[0]
+    mean = [F.lit(1.0), *[c("origin")[i] + c("mean")[i * k + i] for i in range(k)]]
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (n * mean[i] * mean[j] + (c("co")[(i - 1) * k + j - 1] if i else 0.0)).alias("value"))
+             for i in range(k + 1) for j in range(i, k + 1)]
+    return m.select("segment", F.inline(F.array(*cells)))
 
 
 class Moments:
-    """A moment matrix with its feature names; at most K x K numbers on the driver."""
+    """Centred moments of complete rows of features and target (the last column); K x K numbers on the driver."""
 
-    def __init__(self, features: Sequence[str], matrix: np.ndarray):
+    def __init__(self, features: Sequence[str], state: CoMoments | None):
         self.features = list(features)
-        self.matrix = matrix
+        self.state = state
 
     @property
     def n(self) -> float:
-        return float(self.matrix[0, 0])
+        return float(self.state.n[0, 0]) if self.state else 0.0
+
+    @property
+    def means(self) -> np.ndarray:
+        return self.state.origin + np.diag(self.state.mean)
 
     def centred(self, subset: Sequence[str] | None = None):
         """Means, scales, standardised covariance and covariance with the target of a feature subset."""
         names = list(subset or self.features)
-        at = [1 + self.features.index(f) for f in names]
-        m, n, y = self.matrix, self.n, len(self.features) + 1
-        mean, y_mean = m[0, at] / n, m[0, y] / n
-        cov = m[np.ix_(at, at)] / n - np.outer(mean, mean)
-        scale = np.sqrt(np.clip(np.diag(cov), 0, None))
+        at = [self.features.index(f) for f in names]
+        mean, cov = self.means, self.state.co / self.n
+        scale = np.sqrt(np.clip(np.diag(cov)[at], 0, None))
         scale = np.where(scale > 0, scale, 1.0)
-        cross = (m[at, y] / n - mean * y_mean) / scale
-        return names, mean, scale, cov / np.outer(scale, scale), cross, y_mean
+        return names, mean[at], scale, cov[np.ix_(at, at)] / np.outer(scale, scale), cov[at, -1] / scale, mean[-1]
 
 
-def collect_moments(blocks: DataFrame, features: Sequence[str]) -> dict[int, Moments]:
-    """Segment blocks to the driver: (segments) x (K+2)^2 / 2 numbers, fixed by folds and features."""
-    size = len(features) + 2
-    out: dict[int, np.ndarray] = {}
-    for row in blocks.toLocalIterator():
-        m = out.setdefault(row.segment, np.zeros((size, size)))
-        m[row.i, row.j] = m[row.j, row.i] = row.value
-    return {s: Moments(features, m) for s, m in out.items()}
+def segment_moments(panel: DataFrame, features: Sequence[str], segment: str = "segment", target: str = "target") -> dict[int, Moments]:
+    """Moments of the complete rows of every segment, from one pass."""
+    cols = [*features, target]
+    return {s: Moments(features, m) for s, m in collect_co_moments(panel.dropna(subset=cols), cols, segment).items()}
 
 
 # --- solvers: K x K problems ---------------------------------------------------------------------------------
@@ -115,11 +101,10 @@ def nonnegative_ridge(m: Moments, alpha: float = 1.0) -> tuple[np.ndarray, float
     Active set: free the base that gains most, solve the free ones, and bind again what turns negative. The
     problem is strictly convex, so no set returns and the walk ends.
     """
-    at = np.arange(1, len(m.features) + 1)
-    y = len(m.features) + 1
-    mean, y_mean = m.matrix[0, at] / m.n, m.matrix[0, y] / m.n
-    gram = m.matrix[np.ix_(at, at)] - m.n * np.outer(mean, mean) + alpha * np.eye(len(at))
-    rhs = m.matrix[at, y] - m.n * mean * y_mean
+    at = np.arange(len(m.features))
+    mean, y_mean = m.means[:-1], m.means[-1]
+    gram = m.state.co[:-1, :-1] + alpha * np.eye(len(at))
+    rhs = m.state.co[:-1, -1]
     w, free = np.zeros(len(at)), np.zeros(len(at), bool)
     small = 1e-10 * max(np.abs(rhs).max(initial=0.0), 1e-300)
     while True:
@@ -166,14 +151,12 @@ def segment_of(pos: Column, edges: Sequence[int]) -> Column:
 def training_moments(panel: DataFrame, features: Sequence[str], ends: Sequence[int]) -> dict[int, Moments]:
     """Moments of all rows before each end position, from one pass over the panel."""
     edges = sorted(set(ends))
-    blocks = gram_blocks(panel.withColumn("segment", segment_of(c("pos"), edges)), features)
-    by_segment = collect_moments(blocks, features)
-    size = len(features) + 2
-    out, acc = {}, np.zeros((size, size))
+    by_segment = segment_moments(panel.withColumn("segment", segment_of(c("pos"), edges)), features)
+    out, state = {}, None
     for i, e in enumerate(edges):
         if i in by_segment:
-            acc = acc + by_segment[i].matrix
-        out[e] = Moments(features, acc.copy())
+            state = state.merge(by_segment[i].state) if state else by_segment[i].state
+        out[e] = Moments(features, state)
     return out
 
 
@@ -333,7 +316,7 @@ def stack(panel: DataFrame, features: Sequence[str], folds: DataFrame, horizon:
     oof = score_linear(oof_rows, inner_coefs, features)
     wide = oof.groupBy(F.floor(c("fold") / inner).alias("segment"), "date", "ticker").agg(
         F.first("target").alias("target"), *[F.max(F.when(c("model") == b, c("score"))).alias(b) for b in bases])
-    metas = collect_moments(gram_blocks(wide, list(bases)), list(bases))
+    metas = segment_moments(wide, list(bases))
     meta_rows = []
     for f in outer:
         w, intercept = nonnegative_ridge(metas[f.fold]) if f.fold in metas else (np.zeros(len(bases)), 0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_nonfinite, drop_incomplete
+from ..functions.ranks import rank_columns
 from ..functions.windows import add_features, merge_levels
 from ..operators import cross_section as xs
 from ..operators import fundamentals as fund
@@ -100,11 +101,12 @@ def build_panel(bars: DataFrame, bench: DataFrame, cfg: PanelConfig = PanelConfi
     p = add_features(relative.market_join(p, by_date), levels, keep=list(dict.fromkeys(keep + shares)))
     # from here on by date
     market = Window.partitionBy("date")
-    names = F.lit(n_names) if n_names else bars.agg(F.countDistinct("ticker")).scalar()
-    p = p.withColumns({x[4:]: F.sum(x).over(market) / names for x in shares}).drop(*shares)
-    for raw, out in ranked:
-        p = p.withColumn(out, F.coalesce(xs.cs_rank(raw), F.lit(0.0)))
-    p = xs.add_ranked_signals(p.drop(*[raw for raw, _ in ranked]), cfg.sector_neutral)
+    # a date has at most every name once: this bound decides between windows and split dates below
+    n_names = n_names or bars.agg(F.countDistinct("ticker").alias("n")).first().n
+    p = p.withColumns({x[4:]: F.sum(x).over(market) / F.lit(n_names) for x in shares}).drop(*shares)
+    p = rank_columns(p, {out: (raw, ("date",)) for raw, out in ranked}, ("ticker",), n_names)
+    p = p.withColumns({out: F.coalesce(c(out) - 0.5, F.lit(0.0)) for _, out in ranked})
+    p = xs.add_ranked_signals(p.drop(*[raw for raw, _ in ranked]), cfg.sector_neutral, n_names)
     if membership is not None:
         p = p.withColumn("fwd", F.when(c("_member"), c("fwd")))
     p = xs.demean_target(p, ("date", "sector") if cfg.sector_neutral else ("date",))
@@ -112,5 +114,5 @@ def build_panel(bars: DataFrame, bench: DataFrame, cfg: PanelConfig = PanelConfi
                     "fwd", "target", "sector"}
     features = [x for x in p.columns if x not in not_features and not x.startswith("_")]
     p = clean_nonfinite(p.select("date", "pos", "ticker", *features, "target"))
-    p = xs.winsorize(p, features, cfg.winsorize_pct)
+    p = xs.winsorize(p, features, cfg.winsorize_pct, names=n_names)
     return drop_incomplete(p, features, cfg.keep_unlabeled), features

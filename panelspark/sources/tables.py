@@ -85,6 +85,11 @@ def tickers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.col("p_brand").alias("ticker")).distinct()
 
 
+def n_names(spark: SparkSession, folder: str) -> int:
+    """Number of tickers, which bounds the names of a date; a one-column scan of a dimension."""
+    return tickers(spark, folder).count()
+
+
 def sectors(spark: SparkSession, folder: str) -> DataFrame:
     region = table(spark, folder, "region").select("r_regionkey", F.col("r_name").alias("sector"))
     return (

@@ -5,8 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.functions.ranks import rank_pct, rank_pct_split
+from panelspark.functions import ranks
+from panelspark.operators.evaluate import rank_ic_by_date
+from panelspark.functions.ranks import quantile_bounds, quantile_bounds_split, rank_columns, rank_pct, rank_split
 from panelspark.functions.windows import add_features, ewm_levels
+from panelspark.operators import cross_section as xs
 from panelspark.operators import relative, splits
 from panelspark.operators import technical as tech
 
@@ -121,10 +124,63 @@ def test_ranks_average_ties_and_split_ranks_agree(spark):
     plain = df.withColumn("p", rank_pct("x")).orderBy("id").toPandas()
     want = pdf.groupby("date").x.rank(pct=True)
     np.testing.assert_allclose(plain.p.astype(float), want, rtol=1e-12)
-    split = rank_pct_split(df, "x", "q", buckets=8).orderBy("id").toPandas()
+    split = rank_split(df, {"q": "x"}, ["date"], ["id"]).orderBy("id").toPandas()
     np.testing.assert_allclose(split.q.astype(float), want, rtol=1e-12)
 
 
+def skewed_dates(spark, n=6000):
+    """Three dates, the first with most rows; columns with ties, zeros of both signs, tiny and huge values, gaps."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"date": np.where(rng.random(n) < 0.8, 0, rng.integers(1, 3, n)), "id": range(n), "a": rng.normal(0, 1, n), "b": rng.integers(-3, 3, n) / 2,
+                        "d": np.exp(rng.normal(0, 200, n)) * rng.choice([-1, 1], n), "e": np.where(rng.random(n) < 0.5, 0.0, -0.0)})
+    pdf.loc[rng.random(n) < 0.6, "b"] = 7.0
+    pdf.loc[pdf.date == 2, "d"] = np.nan
+    pdf.loc[rng.random(n) < 0.1, "a"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(6)
+    return pdf, df.replace(float("nan"), None)
+
+
+def test_large_dates_are_split_with_the_same_ranks(spark, monkeypatch):
+    pdf, df = skewed_dates(spark)
+    wanted = {f"r_{x}": (x, ("date",)) for x in "abde"}
+    want = pdf.groupby("date")[list("abde")].rank(pct=True)
+    for limit in (ranks.GROUP_ROWS, 100):
+        monkeypatch.setattr(ranks, "GROUP_ROWS", limit)
+        got = rank_columns(df, wanted, ("id",)).orderBy("id").toPandas()
+        np.testing.assert_allclose(got[list(wanted)].astype(float), want, rtol=1e-12)
+        assert list(got.columns) == [*df.columns, *wanted]
+
+
+@pytest.mark.parametrize("p", [0.01, 0.05, 0.5])
+def test_radix_selection_equals_the_exact_quantiles(spark, p):
+    _, df = skewed_dates(spark)
+    one = df.where("date < 2").unionByName(df.where("date = 2").limit(1))  # a group of one row, and one without values
+    want = {r.date: r for r in quantile_bounds(one, list("abde"), p).collect()}
+    got = {r.date: r for r in quantile_bounds_split(one, list("abde"), p).collect()}
+    assert set(got) == set(want)
+    for date, row in want.items():
+        for x in "abde":
+            a, b = got[date][f"_q_{x}"], row[f"_q_{x}"]
+            assert (a is None) == (b is None) and (a is None or np.allclose(a, b, rtol=1e-14, atol=0))
+
+
+def test_large_dates_are_winsorised_alike(spark, monkeypatch):
+    _, df = skewed_dates(spark)
+    want = xs.winsorize(df, ["a", "b", "d"], 0.05, names=10).orderBy("id").toPandas()
+    monkeypatch.setattr(xs, "GROUP_ROWS", 100)
+    got = xs.winsorize(df, ["a", "b", "d"], 0.05).orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-13)
+
+
+def test_large_dates_have_the_same_rank_correlation(spark, monkeypatch):
+    _, df = skewed_dates(spark)
+    pairs = df.select("date", F.col("id").alias("ticker"), F.col("a").alias("score"), (F.col("a") + F.col("b")).alias("target"))
+    want = {r.date: r.ic for r in rank_ic_by_date(pairs, names=10).collect()}
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 100)
+    got = {r.date: r.ic for r in rank_ic_by_date(pairs).collect()}
+    assert got == pytest.approx(want, rel=1e-12) and len(got) == 3
+
+
 def test_breadth_counts_names_in_warm_up(toy_bars):
     _, bars = toy_bars
     first = relative.breadth(bars).orderBy("date").first()
