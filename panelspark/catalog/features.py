@@ -6,7 +6,8 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import add_features, ewm_levels
+from ..functions.scan import ewm_scan, number_rows
+from ..functions.windows import add_features
 from ..operators import relative, technical as tech
 from ..sources import tables as t
 from .base import add, cte, r, rc
@@ -44,10 +45,11 @@ ewm_ctes("ews", "sparse", {"mean": (SPARSE, 0.01)})
 
 
 def ewm_sparse(spark, d):
-    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
-        F.col("l_returnflag").alias("ticker"), F.col("l_quantity").cast("double").alias("v"), F.row_number().over(w).alias("date"))
-    return add_features(rows, [ewm_levels("mean", F.expr(SPARSE), 0.01, "s")]).select("ticker", "date", rc("mean").alias("mean"))
+    """Three series that hold all line items: both the ordinals and the means are scans over blocks."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = number_rows(spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", *order), ["l_returnflag"], order, "date")
+    rows = rows.select(F.col("l_returnflag").alias("ticker"), "date", F.col("l_quantity").cast("double").alias("v")).withColumn("x", F.expr(SPARSE))
+    return ewm_scan(rows, ["ticker"], ["date"], "x", 0.01, "mean").select("ticker", "date", rc("mean").alias("mean"))
 
 
 add("ewm_sparse", ewm_sparse, f"SELECT ticker, date, {r('mean')} AS mean FROM ews")

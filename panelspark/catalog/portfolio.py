@@ -240,7 +240,13 @@ add("governor", lambda s, d: gov.governor(t.returns(s, d, 10.0)),
 add("governor_today", lambda s, d: gov.governor_today(t.ledger(s, d).select(c("sleeve").alias("strategy"), "date", c("day_return").alias("ret"))),
     """SELECT strategy, CASE WHEN state = 'ok' THEN 1.0::DOUBLE ELSE 0 END AS exposure, state AS reason FROM (
         SELECT strategy, coalesce(arg_max(state, date) FILTER (WHERE state IS NOT NULL), 'ok') AS state FROM gvl GROUP BY 1)""", dates="")
-add("no_trade_band", lambda s, d: gov.no_trade_band(weights(s, d), 0.05).select("strategy", "rebal_no", "ticker", rc("weight").alias("weight")))
+add("no_trade_band", lambda s, d: gov.no_trade_band(weights(s, d), 0.05).select("strategy", "rebal_no", "ticker", rc("weight").alias("weight")),
+    f"""WITH RECURSIVE span AS (SELECT strategy, min(rebal_no) AS lo, (SELECT max(rebal_no) FROM w_eq) AS hi FROM w_eq GROUP BY 1),
+        grid AS MATERIALIZED (SELECT g.strategy, g.ticker, g.k, g.lo, coalesce(w, 0) AS new FROM (SELECT DISTINCT x.strategy, ticker, lo, unnest(generate_series(lo, hi)) AS k FROM w_eq x JOIN span p ON x.strategy = p.strategy) g
+            LEFT JOIN w_eq e ON e.strategy = g.strategy AND e.ticker = g.ticker AND e.rebal_no = g.k),
+        path AS (SELECT strategy, ticker, k, new AS kept FROM grid WHERE k = lo
+            UNION ALL SELECT p.strategy, p.ticker, g.k, CASE WHEN abs(g.new - kept) < 0.05 THEN kept ELSE g.new END FROM path p JOIN grid g ON g.strategy = p.strategy AND g.ticker = p.ticker AND g.k = p.k + 1)
+        SELECT strategy, k AS rebal_no, ticker, {r('kept')} AS weight FROM path WHERE kept <> 0""", dates="")
 
 
 def _deposits(s, d):
@@ -250,7 +256,14 @@ def _deposits(s, d):
         F.sum("o_totalprice").alias("deposit"), (F.max((c("o_totalprice") > 290000).cast("int")) == 1).alias("ev_ok"))
 
 
-add("cash_buffer", lambda s, d: gov.cash_buffer(_deposits(s, d), 5).select("account", "date", rc("released", 2).alias("released"), rc("buffer", 2).alias("buffer")))
+add("cash_buffer", lambda s, d: gov.cash_buffer(_deposits(s, d), 5).select("account", "date", rc("released", 2).alias("released"), rc("buffer", 2).alias("buffer")),
+    f"""WITH RECURSIVE dep AS MATERIALIZED (SELECT account, date, deposit, ev, row_number() OVER (PARTITION BY account ORDER BY date) AS i FROM (
+            SELECT 'acct_' || (o_custkey % 9) AS account, cast(o_orderdate AS DATE) AS date, sum(o_totalprice) AS deposit, bool_or(o_totalprice > 290000) AS ev FROM orders GROUP BY 1, 2)),
+        path AS (SELECT account, 0::BIGINT AS i, 0.0::DOUBLE AS buffer, 0 AS idle, 0.0::DOUBLE AS released FROM (SELECT DISTINCT account FROM dep)
+            UNION ALL SELECT p.account, d.i, CASE WHEN p.buffer + d.deposit > 0 AND NOT (d.ev OR p.idle >= 5) THEN p.buffer + d.deposit ELSE 0 END,
+                CASE WHEN p.buffer + d.deposit > 0 AND NOT (d.ev OR p.idle >= 5) THEN p.idle + 1 ELSE 0 END,
+                CASE WHEN p.buffer + d.deposit > 0 AND (d.ev OR p.idle >= 5) THEN p.buffer + d.deposit ELSE 0 END FROM path p JOIN dep d ON d.account = p.account AND d.i = p.i + 1)
+        SELECT p.account, date, {r('released', 2)} AS released, {r('buffer', 2)} AS buffer FROM path p JOIN dep d ON d.account = p.account AND d.i = p.i""")
 
 # --- decisions -------------------------------------------------------------------------------------------------------------
 

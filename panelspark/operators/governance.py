@@ -1,7 +1,8 @@
 """Risk governor, exposure overlays, no-trade band, cash buffer.
 
 The governor and the overlays are windows over one row per strategy and date: what a rule remembers is always
-the place of its last event. Only the cash buffer jumps from release to release, per account.
+the place of its last event. The no-trade band and the cash buffer depend on what they did the day before; their
+rows stream in order past one weight or one buffer.
 """
 from __future__ import annotations
 
@@ -9,11 +10,11 @@ from dataclasses import dataclass
 from typing import NamedTuple, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cash_regime_scalar, kelly_exposure, vol_target_scalar
+from ..functions.scan import carried
 
 c = F.col
 
@@ -152,47 +153,63 @@ def apply_overlays(book: DataFrame, market: DataFrame, scenarios: Sequence[Scena
 def no_trade_band(weights: DataFrame, band: float) -> DataFrame:
     """Weights after skipping changes below the band; each kept weight depends on the one kept before.
 
-    One name's sequence depends on nothing but itself, so the fold runs per strategy and name, inside
-    the JVM, over its rebalances (``weights(strategy, rebal_no, ticker, weight)``, absent = 0).
+    ``weights(strategy, rebal_no, ticker, weight)``, absent = 0. The rows of a name stream in order past one
+    carried weight. A rebalance without a row asks for 0: a kept weight below the band outlives it, any other ends.
     """
-    last = weights.agg(F.max("rebal_no")).scalar()
+    last = weights.agg(F.max("rebal_no").alias("n")).first().n
     start = weights.groupBy("strategy").agg(F.min("rebal_no").alias("_first"))
-    per_name = weights.groupBy("strategy", "ticker").agg(F.map_from_entries(F.collect_list(F.struct("rebal_no", "weight"))).alias("_w"))
-    steps = per_name.join(start, "strategy").withColumn("_steps", F.sequence("_first", last))
+    rows = weights.join(start, "strategy").select("strategy", "ticker", c("rebal_no").cast("long"), c("weight").cast("double"), c("_first").cast("long"))
 
-    def step(acc, i):
-        new = F.coalesce(F.try_element_at(c("_w"), i), F.lit(0.0))
-        old = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(F.element_at(acc, -1)["w"])
-        first = i == c("_first")
-        kept = F.when(~first & (F.abs(new - old) < band), old).otherwise(new)
-        return F.concat(acc, F.array(F.struct(i.alias("rebal_no"), kept.alias("w"))))
+    def fold():
+        held, done = 0.0, None  # the weight kept and the last rebalance seen
+        name = ()
 
-    path = F.aggregate("_steps", F.array().cast("array<struct<rebal_no:bigint,w:double>>"), step)
-    return steps.select("strategy", "ticker", F.inline(path)).where("w <> 0").select(
-        "strategy", "rebal_no", "ticker", c("w").alias("weight"))
+        def through(until):
+            """The rebalances without a row before ``until``."""
+            nonlocal held
+            if held and abs(held) >= band:
+                held = 0.0
+            return [(*name, k, held) for k in range(done + 1, until)] if held else []
+
+        def step(row):
+            nonlocal held, done, name
+            strategy, ticker, k, new, first = row
+            new, name = new or 0.0, (strategy, ticker)
+            out = through(k) if done is not None and done + 1 < k else []
+            if k == first or not abs(new - held) < band:
+                held = new
+            done = k
+            return out + ([(*name, k, held)] if held else [])
+
+        return step, lambda: through(last + 1) if done is not None and done < last else []
+
+    return carried(rows, ["strategy", "ticker"], ["rebal_no"], fold, "strategy string, ticker string, rebal_no long, weight double").select(
+        "strategy", "rebal_no", "ticker", "weight")
 
 
 def cash_buffer(days: DataFrame, max_idle: int = 90) -> DataFrame:
     """Deposits wait until an opportunity or for ``max_idle`` days.
 
-    ``days(account, date, deposit, ev_ok)``: released cash and buffer after each day. A release happens on the
-    first day with an opportunity, or ``max_idle`` days, after the first deposit since the last release, so
-    each account is walked from release to release.
+    ``days(account, date, deposit, ev_ok)``: released cash and buffer after each day. The days of an account
+    stream in order past its buffer and the days it has waited; null deposits count 0, a null ``ev_ok`` is no.
     """
-    def releases(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        paid = np.concatenate(([0.0], np.cumsum(pdf["deposit"].clip(lower=0.0).fillna(0.0).to_numpy())))
-        starts = np.flatnonzero(np.diff(paid) > 0)
-        chances = np.flatnonzero(pdf["ev_ok"].fillna(False).to_numpy(bool))
-        released, free = np.zeros(len(pdf)), 0
-        while (k := np.searchsorted(starts, free)) < len(starts):
-            first = starts[k]
-            chance = np.searchsorted(chances, first)
-            day = min(chances[chance] if chance < len(chances) else len(pdf), first + max_idle)
-            if day >= len(pdf):
-                break
-            released[day] = paid[day + 1] - paid[free]
-            free = day + 1
-        return pd.DataFrame({"account": pdf["account"], "date": pdf["date"], "released": released, "buffer": paid[1:] - np.cumsum(released)})
-
-    return days.groupBy("account").applyInPandas(releases, "account string, date date, released double, buffer double")
+    def fold():
+        buffer, idle = 0.0, 0
+
+        def step(row):
+            nonlocal buffer, idle
+            account, date, deposit, chance = row
+            buffer += max(deposit or 0.0, 0.0)
+            released = 0.0
+            if buffer <= 0:
+                idle = 0
+            elif chance or idle >= max_idle:
+                released, buffer, idle = buffer, 0.0, 0
+            else:
+                idle += 1
+            return [(account, date, released, buffer)]
+
+        return step, list
+
+    rows = days.select("account", "date", c("deposit").cast("double"), "ev_ok")
+    return carried(rows, ["account"], ["date"], fold, "account string, date date, released double, buffer double")
