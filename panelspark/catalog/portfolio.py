@@ -305,8 +305,9 @@ add("top_n", lambda s, d: _top_n(s, d).select("date", c("place").cast("long").al
         FROM (SELECT date, ticker, {' + '.join(f'{v} * {k}' for k, v in xs.SCORE_WEIGHTS.items())} AS comp FROM asset_scores) a LEFT JOIN dec_e e ON a.date = e.date AND a.ticker = e.ticker) WHERE place <= 5""")
 add("top_signals", lambda s, d: dec.top_signals(dec.decide(decision_input(s, d)).drop("strategy")).select("date", "ticker", "ev_score"),
     "SELECT date, ticker, ev_score FROM dec_e ORDER BY ev_score DESC, ticker LIMIT 10")
-add("top_risks", lambda s, d: dec.top_risks(weights(s, d).withColumn("weight", F.round(c("weight") * (1 + c("rebal_no") / 1000), 6)).where("strategy = 'top30'")).select("date", "ticker", "weight"),
-    f"SELECT date, ticker, {r('w * (1 + rebal_no / 1000)')} AS weight FROM w_eq WHERE strategy = 'top30' ORDER BY {r('w * (1 + rebal_no / 1000)')} DESC, ticker LIMIT 10")
+add("top_risks", lambda s, d: dec.top_risks(weights(s, d).withColumn("weight", F.round(c("weight") * (1 + c("rebal_no") / 1000), 6)), by=("strategy",)).select("strategy", "date", "ticker", "weight"),
+    f"""SELECT strategy, date, ticker, {r('w * (1 + rebal_no / 1000)')} AS weight FROM w_eq
+        QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY {r('w * (1 + rebal_no / 1000)')} DESC, ticker, date) <= 10""")
 add("target_notional", lambda s, d: pf.target_notional(weights(s, d), 100000.0).select("strategy", "date", "ticker", "notional", "target_weight"),
     "SELECT strategy, date, ticker, round(100000 * greatest(w, 0), 2) AS notional, round(w, 4) AS target_weight FROM w_eq")
 

@@ -76,13 +76,11 @@ add("long_to_wide",
 
 
 def _membership_csv(s, d):
+    """Membership as files with a header, and one that holds nothing but comments."""
     path = scratch(s, "membership")
-    rows = t.membership(s, d).select(
-        F.concat_ws(",", "ticker", c("start").cast("string"), F.coalesce(c("end").cast("string"), F.lit(""))).alias("line"))
-    (rows.withColumn("line", F.regexp_replace("line", "Brand#", "B"))
-     .union(s.range(1).select(F.lit("# ticker,start,end"))).write.text(path))
-    out = s.read.option("comment", "#").schema("ticker string, start date, end date").csv(path)
-    return out
+    t.membership(s, d).select(F.regexp_replace("ticker", "Brand#", "B").alias("ticker"), "start", "end").write.option("header", True).csv(path)
+    s.range(1).select(F.lit("# members since the start, blank: still a member")).write.mode("append").text(path)
+    return fil.read_membership(s, path)
 
 
 add("read_membership",
@@ -136,19 +134,13 @@ def _form_tables(s, d):
         F.when(c("l_linenumber") == 6, "n/a").otherwise(c("l_extendedprice").cast("string")).alias("trans_pricepershare"),
         F.lower(F.concat(F.year("o_orderdate"), F.lit("q"), F.quarter("o_orderdate"))).alias("quarter"))
     folder = scratch(s, "form345")
-    for name, df in (("submission.tsv", orders), ("nonderiv_trans.tsv", lines)):
-        df.write.partitionBy("quarter").option("sep", "\t").option("header", True).csv(f"{folder}/{name}")
+    for name, df in (("submission", orders), ("nonderiv_trans", lines)):
+        df.withColumn("table", F.lit(name)).write.mode("append").partitionBy("quarter", "table").option("sep", "\t").option("header", True).csv(folder)
     return folder
 
 
-def _form345(s, folder, name, cols):
-    raw = s.read.option("sep", "\t").option("header", True).csv(f"{folder}/{name}")
-    up = raw.toDF(*[x if x == "quarter" else x.upper() for x in raw.columns])
-    return up.select(*cols, "quarter")
-
-
 add("read_form345",
-    lambda s, d: (lambda f: _form345(s, f, "submission.tsv", fil.SUBMISSION).groupBy("quarter").agg(
+    lambda s, d: (lambda f: fil.read_form345(s, f, "table=submission", fil.SUBMISSION).groupBy("quarter").agg(
         F.countDistinct("ACCESSION_NUMBER").alias("n"), F.max(col.parse_filing_date("FILING_DATE")).alias("last_filed")))(_form_tables(s, d)),
     """SELECT year(o_orderdate) || 'q' || quarter(o_orderdate) AS quarter, count(*)::BIGINT AS n, max(cast(o_orderdate AS DATE)) AS last_filed
        FROM orders GROUP BY 1""", dates="last_filed")
@@ -158,7 +150,7 @@ def _submission_join(s, d):
     f = _form_tables(s, d)
     universe = t.table(s, d, "orders").select(F.upper("o_orderpriority").alias("ticker")).where("ticker < '4'").distinct()
     tx = joins.submission_join(
-        _form345(s, f, "submission.tsv", fil.SUBMISSION), _form345(s, f, "nonderiv_trans.tsv", fil.NONDERIV).drop("quarter"), universe)
+        fil.read_form345(s, f, "table=submission", fil.SUBMISSION), fil.read_form345(s, f, "table=nonderiv_trans", fil.NONDERIV).drop("quarter"), universe)
     return fund.daily_insider_flow(tx).select("ticker", "date", rc("signed_value", 2).alias("signed_value"), c("purchases").cast("long").alias("purchases"))
 
 
@@ -298,8 +290,8 @@ add("open_market_only",
 
 
 def _facts_flat(s, d):
-    """Filings as flat facts: two units and two competing concepts per quantity, quarterly and annual."""
-    f = t.filings(s, d).where(c("concept").isin("revenue", "equity"))
+    """All filings as flat facts: two units, two competing concepts for the revenue, quarterly and annual."""
+    f = t.filings(s, d)
     unit = F.when(F.month("filed") == 1, "EUR").otherwise("USD")
     concept = F.when((c("concept") == "revenue") & (t.brand_number() % 2 == 0), "sales").otherwise(c("concept"))
     fp = F.when(F.month("filed") > 9, "FY").otherwise("Q")
@@ -310,12 +302,12 @@ def _facts_flat(s, d):
 
 cte("facts", """SELECT ticker, CASE WHEN concept = 'revenue' AND cast(regexp_extract(ticker, '[0-9]+') AS INT) % 2 = 0 THEN 'sales' ELSE concept END AS concept,
     CASE WHEN month(filed) = 1 THEN 'EUR' ELSE 'USD' END AS unit, filed AS pend, value AS val, CASE WHEN month(filed) > 9 THEN 'FY' ELSE 'Q' END AS fp, filed
-    FROM filings WHERE concept IN ('revenue', 'equity') AND value IS NOT NULL""")
+    FROM filings WHERE value IS NOT NULL""")
 add("annual_only", lambda s, d: fil.annual_only(t.filings(s, d).select("ticker", "concept", "filed", F.when(F.month("filed") > 9, "FY").otherwise("Q").alias("fp"), rc("value", 4).alias("value")), ["revenue", "net_income"]),
     f"""SELECT ticker, concept, filed, CASE WHEN month(filed) > 9 THEN 'FY' ELSE 'Q' END AS fp, {r('value', 4)} AS value FROM filings
         WHERE value IS NOT NULL AND (concept NOT IN ('revenue', 'net_income') OR month(filed) > 9)""", dates="filed")
 add("pit_dedupe",
-    lambda s, d: fund.pit_dedupe(_facts_flat(s, d), [("revenue", "revenue"), ("revenue", "sales"), ("equity", "equity")]).select(
+    lambda s, d: fund.pit_dedupe(_facts_flat(s, d), [*[(x, x) for x in fund.CONCEPTS], ("revenue", "sales")]).select(
         "ticker", "quantity", "filed", rc("value", 4).alias("value")),
     f"""SELECT ticker, CASE WHEN concept = 'sales' THEN 'revenue' ELSE concept END AS quantity, filed, {r('arg_max(val, pend)', 4)} AS value
         FROM facts WHERE unit = 'USD' GROUP BY 1, 2, 3""", dates="filed")
@@ -359,10 +351,15 @@ add("calendar_left_join", _calendar_join,
     f"""SELECT date, {r('T10Y2Y')} AS t, {r('NFCI')} AS n,
         {r('last_value(T10Y2Y IGNORE NULLS) OVER (ORDER BY date)')} AS t_ff, {r('last_value(NFCI IGNORE NULLS) OVER (ORDER BY date)')} AS n_ff
         FROM cal LEFT JOIN macro USING (date)""")
-add("roll_to_trading_day",
-    lambda s, d: joins.roll_to_trading_day(t.macro(s, d).where("NFCI IS NOT NULL").select("date", "NFCI"), t.trading_calendar(s, d).where(F.dayofweek("date") != 6)).select("date", rc("NFCI").alias("nfci")),
-    f"""SELECT c.date, {r('m.NFCI')} AS nfci FROM (SELECT * FROM macro WHERE NFCI IS NOT NULL) m
-        ASOF JOIN (SELECT * FROM cal WHERE isodow(date) <> 5) c ON m.date <= c.date""")
+def _rolled(s, d):
+    """Every observation of both series on the next trading day that is not a Friday."""
+    long = t.macro(s, d).unpivot(["date"], ["T10Y2Y", "NFCI"], "series", "value").where("value IS NOT NULL")
+    return joins.roll_to_trading_day(long, t.trading_calendar(s, d).where(F.dayofweek("date") != 6))
+
+
+add("roll_to_trading_day", lambda s, d: _rolled(s, d).select("date", "series", rc("value").alias("value")),
+    f"""SELECT c.date, m.series, {r('m.value')} AS value FROM (SELECT date, 'T10Y2Y' AS series, T10Y2Y AS value FROM macro WHERE T10Y2Y IS NOT NULL
+        UNION ALL SELECT date, 'NFCI', NFCI FROM macro WHERE NFCI IS NOT NULL) m ASOF JOIN (SELECT * FROM cal WHERE isodow(date) <> 5) c ON m.date <= c.date""")
 add("score_target_join",
     lambda s, d: joins.score_target_join(t.filing_scores(s, d).select("date", "ticker", "score"), _labels(s, d)).select("date", "ticker", rc("score").alias("score"), rc("target").alias("target")),
     f"SELECT date, ticker, {r('score')} AS score, {r('target')} AS target FROM pairs")

@@ -88,5 +88,10 @@ def top_signals(decisions: DataFrame, n: int = 10) -> DataFrame:
     return decisions.where("ev_score IS NOT NULL").orderBy(c("ev_score").desc(), "ticker").limit(n)
 
 
-def top_risks(targets: DataFrame, n: int = 10) -> DataFrame:
-    return targets.where("weight > 0").orderBy(c("weight").desc(), "ticker").limit(n)
+def top_risks(targets: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """Largest held weights, of all or of each book; every task keeps its best n before anything moves."""
+    held = targets.where("weight > 0")
+    order = [c("weight").desc(), c("ticker"), c("date")] if "date" in targets.columns else [c("weight").desc(), c("ticker")]
+    if not by:
+        return held.orderBy(*order).limit(n)
+    return held.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(c("_place") <= n).drop("_place")
