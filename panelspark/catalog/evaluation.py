@@ -6,7 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import columns as col
-from ..functions.windows import add_features
+from ..functions.windows import add_features, ordered
+from ..session import stored
 from ..operators import cross_section as xs
 from ..operators import evaluate as ev
 from ..operators import joins, regime as rg, relative, splits, technical as tech
@@ -255,10 +256,23 @@ add("leakage_audit",
     f"""SELECT 'feature_is_target' AS kind, 'leaky' AS subject, {r('corr(-target, target)')} AS value FROM fpanel_y HAVING abs(corr(-target, target)) > 0.95
         UNION ALL SELECT 'train_not_before_test', '1', datediff('day', max(CASE WHEN pos < test_hi THEN date END), min(CASE WHEN pos >= test_lo THEN date END))::DOUBLE FROM cal, folds WHERE fold = 1
         UNION ALL SELECT 'train_test_overlap', '1', count(*)::DOUBLE FROM cal, folds WHERE fold = 1 AND pos >= test_lo AND pos < test_hi""", dates="")
-add("lookahead_probe",
-    lambda s, d: splits.lookahead_probe(
-        t.bars_filled(s, d), lambda b: add_features(b, [tech.log_momentum(20), tech.rsi(), tech.supertrend(), tech.kama_dist()]).select("date", "pos", "ticker", *[rc(x).alias(x) for x in ("mom_20", "rsi", "supertrend", "kama_dist")]), 1500)
-    .agg(F.count(F.lit(1)).alias("changed")), "SELECT 0::BIGINT AS changed", dates="")
+CUT = 1500
+
+
+def _probed(bars):
+    """All single-name features, the ranks, and one planted feature that reads the close three days ahead."""
+    bench = bars.groupBy("date").agg(F.avg("close").alias("_bench"))
+    levels = [*tech.single_name_features(), relative.relative_strength_column("rs_bench", "_bench"), relative.rolling_beta_levels("beta_bench", "_bench"),
+              [{"planted": F.lead("close", 3).over(ordered()) / c("close")}]]
+    p = add_features(relative.market_join(bars, bench), levels).drop("_bench")
+    p = xs.add_ranked_signals(p, names=1000)
+    features = [x for x in p.columns if x not in ("date", "pos", "ticker", "open", "high", "low", "close", "volume")]
+    return p.select("date", "pos", "ticker", *[rc(x, 9).alias(x) for x in features])
+
+
+add("lookahead_probe", lambda s, d: splits.lookahead_probe(stored(s, t.bars_filled(s, d), "bars"), _probed, CUT),
+    f"""SELECT 'planted' AS feature, count(DISTINCT ticker) AS n_tickers, min(pos) AS first_pos FROM (
+        SELECT ticker, pos, lead(pos, 3) OVER (PARTITION BY ticker ORDER BY date) AS reads FROM filled) WHERE pos <= {CUT} AND reads > {CUT}""", dates="")
 add("select_families",
     lambda s, d: feature_panel(s, d).select("date", "ticker", *[rc(x).alias(x) for x in select_families(list(_FEATS), ["momentum", "volatility"])]),
     f"SELECT date, ticker, {r('mom20')} AS mom_20, {r('mom60')} AS mom_60, {r('v20')} AS realized_vol_20 FROM fpanel")

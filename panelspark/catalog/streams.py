@@ -57,8 +57,12 @@ add("stream_period_rollup",
         WHERE period + INTERVAL 7 DAY <= (SELECT max(date) FROM ledger) - INTERVAL 1 DAY GROUP BY 1, 2""", dates="period")
 
 # --- user functions ----------------------------------------------------------------------------------------------
+def mean_deviation(windows):
+    return abs(windows - windows.mean(axis=1, keepdims=True)).mean(axis=1)
+
+
 add("rolling_apply",
-    lambda s, d: t.bars_filled(s, d).select("date", "ticker", udfs.rolling_apply(lambda v: (v - v.mean()).abs().mean(), "close", 10).alias("mad")).select("date", "ticker", rc("mad", 4).alias("mad")),
+    lambda s, d: udfs.rolling_apply(t.bars_filled(s, d).select("date", "ticker", "close"), mean_deviation, "close", 10, "mad").select("date", "ticker", rc("mad", 4).alias("mad")),
     f"""SELECT date, ticker, {r('CASE WHEN len(w) = 10 THEN list_avg(list_transform(w, lambda x: abs(x - list_avg(w)))) END', 4)} AS mad FROM (
         SELECT date, ticker, list(close) OVER ({W} ROWS 9 PRECEDING) AS w FROM filled)""")
 add("per_date",

@@ -19,7 +19,7 @@ from ..session import stored
 c = F.col
 
 
-def _key_starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+def key_starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """Rows of a batch whose key differs from the row before; the first row always counts."""
     change = np.zeros(batch.num_rows, bool)
     change[0] = True
@@ -29,9 +29,8 @@ def _key_starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _last_key(batch: pa.RecordBatch, keys: Sequence[str], row: int = -1) -> tuple:
-    row = batch.num_rows - 1 if row < 0 else row
-    return tuple(batch.column(batch.schema.get_field_index(k))[row].as_py() for k in keys)
+def key_of(batch: pa.RecordBatch, keys: Sequence[str], row: int) -> tuple:
+    return tuple(batch.column(batch.schema.get_field_index(k))[int(row)].as_py() for k in keys)
 
 
 def compose(start: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,13 +69,13 @@ def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str | N
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, starts = batch.num_rows, _key_starts(batch, keys)
+            n, starts = batch.num_rows, key_starts(batch, keys)
             start = np.repeat(starts, np.diff(np.append(starts, n)))
             v = batch.column(names.index(x)).to_numpy(zero_copy_only=False).astype(float) if x else np.full(n, np.nan)
             known = ~np.isnan(v)
             first, a, b = compose(start, v, np.where(known, 1.0 - gain, 1.0), np.where(known, gain * v, 0.0))
             at = np.arange(n) - start + 1
-            same = state is not None and state[0] == _last_key(batch, keys, 0)
+            same = state is not None and state[0] == key_of(batch, keys, 0)
             if same:
                 head = slice(0, starts[1] if len(starts) > 1 else n)
                 _, rows, f0, a0, b0 = state
@@ -90,7 +89,7 @@ def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str | N
             ends = np.zeros(n, bool)
             ends[starts[1:] - 1] = True
             held = [batch, (at.astype(np.int64), first, a, b), ends]
-            state = (_last_key(batch, keys), int(at[-1]), first[-1], a[-1], b[-1])
+            state = (key_of(batch, keys, n - 1), int(at[-1]), first[-1], a[-1], b[-1])
         if held is not None:
             held[2][-1] = True
             yield out(*held)

@@ -1,25 +1,50 @@
 """User functions over windows, dates and tickers, for what built-ins cannot express."""
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
 
-from .windows import series
+from .scan import key_of, key_starts
 
 
-def rolling_apply(f: Callable[[pd.Series], float], x: str, n: int, w=None) -> Column:
-    """``f`` over the last n values as an Arrow-batched grouped aggregate; null before n values.
+def rolling_apply(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], x: str, n: int, out: str, keys: Sequence[str] = ("ticker",),
+                  order: Sequence[str] = ("date",)) -> DataFrame:
+    """``f`` on all windows of n values at once: ``f(matrix)`` takes one row per window and returns one value each.
 
-    One Python call per row: prefer a built-in window function where there is one.
+    Series stream in order; the last ``n - 1`` values of a batch go on to the next, so a window may cross batches
+    and memory is a batch. Null before n values and where a window holds an unknown value; ``f`` never sees those.
     """
-    def call(v: pd.Series) -> float:
-        return float(f(v)) if len(v) == n and v.notna().all() else None
-
-    agg = F.pandas_udf(call, "double", F.PandasUDFType.GROUPED_AGG)
-    return agg(F.col(x)).over((w or series()).rowsBetween(-(n - 1), 0))
+    keys, names = list(keys), df.columns
+    at = names.index(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, edge = None, np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(at).to_numpy(zero_copy_only=False).astype(float)
+            starts, result = key_starts(batch, keys), np.full(batch.num_rows, np.nan)
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                now = key_of(batch, keys, lo)
+                line = np.concatenate((edge if now == key else np.zeros(0), values[lo:hi]))
+                if len(line) >= n:
+                    windows = sliding_window_view(line, n)
+                    known = ~np.isnan(windows).any(axis=1)
+                    got = np.full(len(windows), np.nan)
+                    if known.any():
+                        got[known] = f(windows[known])
+                    tail = min(len(got), hi - lo)
+                    result[hi - tail:hi] = got[-tail:]
+                key, edge = now, line[-(n - 1):] if n > 1 else line[:0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, mask=np.isnan(result))], names=[*names, out])
+
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in df.dtypes], f"`{out}` double"])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def per_date(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
-from ..functions.windows import add_features, ordered, rolling, series
+from ..functions.windows import add_features, rolling, series
 
 c = F.col
 
@@ -24,15 +24,16 @@ def market_join(panel: DataFrame, by_date: DataFrame) -> DataFrame:
 def relative_strength(panel: DataFrame, refs: DataFrame, n: int = 60) -> DataFrame:
     """Change over n rows of the ratio to each reference, one row per reference.
 
-    ``refs(date, ref, close)`` must be filled over the calendar.
+    ``refs(date, ref, close)`` must be filled over the calendar. A date's references are one packed map; a row
+    looks its own date and the date n rows back up in it, so names and references only meet in the output.
     """
-    ratio = (
-        panel.select("date", "ticker", "close")
-        .join(refs.select("date", "ref", c("close").alias("_ref")), "date")
-        .withColumn("_q", safe_div(c("close"), c("_ref")))
-    )
-    w = ordered(["ticker", "ref"])
-    return ratio.select("date", "ticker", "ref", (safe_div(c("_q"), F.lag("_q", n).over(w)) - 1).alias("rs"))
+    w = series()
+    packed = refs.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ref", "close"))).alias("_refs"))  # one row per trading day
+    rows = panel.select("date", "ticker", "close", F.lag("close", n).over(w).alias("_old"), F.lag("date", n).over(w).alias("_day"))
+    rows = market_join(rows, packed).join(F.broadcast(packed.select(c("date").alias("_day"), c("_refs").alias("_then"))), "_day", "left")
+    each = rows.select("date", "ticker", "close", "_old", "_then", F.explode("_refs").alias("ref", "_now"))
+    old = safe_div(c("_old"), F.try_element_at("_then", c("ref")))
+    return each.select("date", "ticker", "ref", (safe_div(safe_div(c("close"), c("_now")), old) - 1).alias("rs"))
 
 
 def relative_strength_column(name: str, ref_col: str, n: int = 60):

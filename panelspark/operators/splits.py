@@ -10,6 +10,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.bars import calendar
 from .evaluate import feature_target_corr
 
@@ -103,7 +104,28 @@ def perturb_future(bars: DataFrame, cut_pos: int, factor: float = 1.5) -> DataFr
     return bars.withColumns({x: F.when(late, c(x) * (factor + F.pmod("pos", F.lit(7)) / 10.0)).otherwise(c(x)) for x in cols})
 
 
-def lookahead_probe(bars: DataFrame, feature: Callable[[DataFrame], DataFrame], cut_pos: int) -> DataFrame:
-    """Rows at or before the cut whose feature changes when only later bars change; must be empty."""
-    early = lambda b: feature(b).where(c("pos") <= cut_pos)
-    return early(bars).exceptAll(early(perturb_future(bars, cut_pos)))
+def lookahead_probe(bars: DataFrame, feature: Callable[[DataFrame], DataFrame], cut_pos: int, block: int = 64) -> DataFrame:
+    """Features of rows at or before the cut that change when only later bars change: ``(feature, n_tickers, first_pos)``.
+
+    ``feature`` gives ``(date, pos, ticker, features...)``. Both runs are computed and written once for all features and meet
+    as digests: the exclusive or of row hashes per ticker, block of positions and feature, in which equal rows
+    cancel. Only what is left over is opened: the first leaking block of each feature, row by row. Empty when
+    nothing looks ahead.
+    """
+    both = feature(bars).where(c("pos") <= cut_pos).unionByName(feature(perturb_future(bars, cut_pos)).where(c("pos") <= cut_pos))
+    features = [x for x in both.columns if x not in ("date", "pos", "ticker")]
+    both = stored(bars.sparkSession, both.withColumn("_block", F.floor(c("pos") / block).cast("long")), "probe")
+
+    def digests(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+        sums = [F.bit_xor(F.xxhash64("ticker", "pos", x)).alias(x) for x in names]
+        leaves = rows.groupBy(*keys).agg(*sums)
+        return leaves.unpivot(list(keys), list(names), "feature", "_digest").where("_digest <> 0").drop("_digest")
+
+    leaks = stored(bars.sparkSession, digests(both, ["ticker", "_block"], features), "leaks")
+    found = leaks.groupBy("feature").agg(F.countDistinct("ticker").alias("n_tickers"), F.min("_block").alias("_block"))
+    named = [r.feature for r in found.select("feature").collect()]  # at most the features
+    if not named:
+        return found.select("feature", "n_tickers", F.lit(None).cast("long").alias("first_pos"))
+    opened = both.join(F.broadcast(found.select("_block").distinct()), "_block")  # at most one row a feature
+    rows = digests(opened, ["ticker", "pos"], named).groupBy("feature").agg(F.min("pos").cast("long").alias("first_pos"))
+    return found.join(rows, "feature").select("feature", "n_tickers", "first_pos")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.functions import ranks
+from panelspark.functions import ranks, udfs
 from panelspark.operators.evaluate import rank_ic_by_date
 from panelspark.functions.ranks import quantile_bounds, quantile_bounds_split, rank_columns, rank_pct, rank_split
 from panelspark.functions.windows import add_features, ewm_levels
@@ -112,7 +112,9 @@ def test_no_feature_looks_ahead(toy_bars):
     assert probe.isEmpty()
     from pyspark.sql import Window
     leak = lambda b: b.withColumn("f", F.lead("close").over(Window.partitionBy("ticker").orderBy("date"))).select("date", "pos", "ticker", "f")
-    assert splits.lookahead_probe(bars, leak, 300).count() == 4
+    assert [tuple(r) for r in splits.lookahead_probe(bars, leak, 300).collect()] == [("f", 4, 300)]
+    two = lambda b: leak(b).withColumn("g", F.when(F.col("ticker") == "B", F.lead("f", 99).over(Window.partitionBy("ticker").orderBy("date"))))
+    assert {tuple(r) for r in splits.lookahead_probe(bars, two, 300).collect()} == {("f", 4, 300), ("g", 1, 201)}
 
 
 def test_ranks_average_ties_and_split_ranks_agree(spark):
@@ -201,3 +203,23 @@ def test_empty_and_single_ticker(spark, toy_bars):
     _, bars = toy_bars
     assert tech.technical_features(bars.where("ticker = 'none'")).count() == 0
     assert tech.technical_features(bars.where("ticker = 'A'")).count() == 420
+
+
+@pytest.mark.parametrize("batch", [10_000, 9])
+def test_windows_of_a_user_function_cross_batches(spark, batch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"ticker": np.repeat(["a", "b", "c"], [120, 4, 61]), "date": np.concatenate([np.arange(120), np.arange(4), np.arange(61)]), "x": rng.normal(0, 1, 185)})
+    pdf.loc[[30, 31, 150], "x"] = np.nan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+
+    def spread(windows):
+        assert windows.shape[1] == 5 and not np.isnan(windows).any()
+        return windows.max(axis=1) - windows.min(axis=1)
+
+    try:
+        got = udfs.rolling_apply(spark.createDataFrame(pdf), spread, "x", 5, "y").toPandas().sort_values(["ticker", "date"], ignore_index=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    roll = pdf.groupby("ticker").x.rolling(5)
+    np.testing.assert_allclose(got.y.astype(float), (roll.max() - roll.min()).to_numpy(), rtol=1e-12)
