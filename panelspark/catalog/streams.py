@@ -76,12 +76,26 @@ add("per_ticker",
 
 
 def full_panel(s, d, **options):
-    bars = stored(s, t.bars_filled(s, d), "bars")  # read several times: the trades are joined and sorted once
+    """The panel of all inputs; days of one trade get a range, without which money flow has no value anywhere."""
+    wide = t.bars_filled(s, d).withColumns({"high": c("high") * 1.01, "low": c("low") * 0.99})
+    bars = stored(s, wide, "bars")  # read several times: the trades are joined and sorted once
     return build_panel(bars, t.price_level(bars), PanelConfig(**options), refs=stored(s, t.references(s, d), "refs"), ref_names=("PROMO", "SMALL"),
                        sectors=t.sectors(s, d), membership=t.membership(s, d), filings=t.filings(s, d), insider=t.insider_tx(s, d))
 
 
-add("build_panel", lambda s, d: (lambda p: p[0].select("date", "ticker", *[rc(x).alias(x) for x in p[1]], rc("target").alias("target")))(full_panel(s, d, winsorize_pct=0.01)))
+#: features of the panel that have SQL of their own; every feature decides which rows are complete
+_PANEL = {"mom_20": "mom20", "mom_60": "mom60", "rel_volume": "rv", "boll_z": "bz", "realized_vol_20": "v20", "csrank_mom": "rk_mom", "csrank_vol": "rk_vol", "csrank_rs": "rk_rs",
+          "csrank_liquidity": "rk_liq", "csrank_quality": "rk_q"}
+cte("bp_label", """SELECT *, fwd - avg(fwd) OVER (PARTITION BY date) AS target FROM (SELECT x.date, x.ticker, i, CASE WHEN EXISTS (SELECT 1 FROM membership m
+    WHERE m.ticker = x.ticker AND x.date >= m.start AND (m."end" IS NULL OR x.date <= m."end")) THEN ahead / close - 1 END AS fwd FROM (
+    SELECT date, ticker, close, lead(close, 20) OVER w AS ahead, row_number() OVER w AS i FROM filled WINDOW w AS (PARTITION BY ticker ORDER BY date)) x)""")
+cte("bp_rank", "SELECT date, ticker, " + ", ".join(f"{pct_sql(x)} - 0.5 AS {n}" for n, x in (("rk_mom", "mom"), ("rk_vol", "v20"), ("rk_rs", "rs"), ("rk_liq", "liq"), ("rk_q", "q"))) + " FROM bases_q")
+cte("bp_raw", "SELECT f.*, k.* EXCLUDE (date, ticker) FROM fpanel f JOIN bp_rank k ON f.date = k.date AND f.ticker = k.ticker")
+cte("bp_cut", "SELECT date, " + ", ".join(f"quantile_cont({v}, 0.01) AS lo_{v}, quantile_cont({v}, 0.99) AS hi_{v}" for v in _PANEL.values()) + " FROM bp_raw GROUP BY 1")
+# the longest feature needs 120 rows before a name's first complete one
+add("build_panel", lambda s, d: full_panel(s, d, winsorize_pct=0.01)[0].select("date", "ticker", *[rc(x).alias(x) for x in _PANEL], rc("target").alias("target")),
+    "SELECT p.date, p.ticker, " + ", ".join(f"{r(f'greatest(least({v}, hi_{v}), lo_{v})')} AS {k}" for k, v in _PANEL.items()) + f""", {r('target')} AS target
+    FROM bp_raw p JOIN bp_cut q ON p.date = q.date JOIN bp_label l ON l.date = p.date AND l.ticker = p.ticker WHERE i > 120 AND target IS NOT NULL""")
 
 
 # --- books of the daily run ----------------------------------------------------------------------------------------

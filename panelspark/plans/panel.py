@@ -15,6 +15,7 @@ from ..operators import fundamentals as fund
 from ..operators import relative
 from ..operators.joins import sector_join, with_membership
 from ..operators.technical import single_name_features
+from ..session import stored
 
 c = F.col
 
@@ -113,6 +114,7 @@ def build_panel(bars: DataFrame, bench: DataFrame, cfg: PanelConfig = PanelConfi
     not_features = {*bars.columns, *fund.CONCEPTS, "rev_growth_yoy", "ni_growth_yoy", "signed_value", "purchases",
                     "fwd", "target", "sector"}
     features = [x for x in p.columns if x not in not_features and not x.startswith("_")]
-    p = clean_nonfinite(p.select("date", "pos", "ticker", *features, "target"))
-    p = xs.winsorize(p, features, cfg.winsorize_pct, names=n_names)
+    # written once: the quantiles of all columns are one grouped aggregate over it, and the rows meet them again
+    p = stored(bars.sparkSession, clean_nonfinite(p.select("date", "pos", "ticker", *features, "target")), "ranked-panel")
+    p = xs.winsorize(p, features, cfg.winsorize_pct, stored=True, names=n_names)
     return drop_incomplete(p, features, cfg.keep_unlabeled), features
