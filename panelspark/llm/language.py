@@ -166,18 +166,25 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in sliced(batches):
             found = [blank.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in found], type=pa.list_(pa.int64())), pa.array([x for _, x in found], type=pa.list_(pa.float64())),
+                [pa.array([s.astype(np.int16) for s, _ in found], type=pa.list_(pa.int16())), pa.array([x.astype(np.float32) for _, x in found], type=pa.list_(pa.float32())),
                  b.column(1), b.column(2)], names=["slots", "x", "lang", "aside"])
 
-    table = sample.mapInArrow(run, "slots array<long>, x array<double>, lang string, aside boolean").toArrow()
+    # slots fit 16 bits; the driver reads the flat Arrow buffers and holds no other copy of the sample
+    table = sample.mapInArrow(run, "slots array<smallint>, x array<float>, lang string, aside boolean").toArrow().combine_chunks()
     order = {name: k for k, name in enumerate(languages)}
-    drawn = [(np.array(s), np.array(x), order[lang], aside) for s, x, lang, aside in zip(*(table.column(k).to_numpy() if k < 2 else table.column(k).to_pylist() for k in range(4))) if len(s)]
+    flat = [table.column(k).chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float32())) for k in (0, 1)]
+    ends = flat[0].offsets.to_numpy()
+    slots, values = (x.values.to_numpy() for x in flat)
+    drawn = [(slots[a:e], values[a:e], order[lang], aside) for a, e, lang, aside in zip(ends, ends[1:], table.column(2).to_pylist(), table.column(3).to_pylist()) if e > a]
     drawn.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum())))  # rows come back in any order
     weights, bias = fit_ftrl([r[:3] for r in drawn if not r[3]], len(languages))
     fitted = LanguageModel(languages, idf, weights, bias)
     aside = [r for r in drawn if r[3]]
     logits = np.array([fitted.logits(s, x) for s, x, _, _ in aside]).reshape(-1, len(languages))
-    return LanguageModel(languages, idf, weights, bias, calibrated_temperature(logits, np.array([r[2] for r in aside], np.int64)))
+    model = LanguageModel(languages, idf, weights, bias, calibrated_temperature(logits, np.array([r[2] for r in aside], np.int64)))
+    del table, flat, slots, values, drawn, aside
+    pa.default_memory_pool().release_unused()  # the driver goes on with other stages
+    return model
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

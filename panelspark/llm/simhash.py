@@ -108,8 +108,10 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, group: int =
     Values that close agree on ``blocks - distance`` of the blocks at least, so each value goes to one key per
     choice of that many blocks. A key with more than ``group`` values is split by cutting the bits its values
     may still differ in once more; each level fixes a third of them, so no key stays large: at the last level
-    a key leaves fewer than log2(group) bits free.
+    a key leaves fewer than log2(group) bits free. ``group`` must hold the values of ``distance`` free bits.
     """
+    if group < 1 << distance:
+        raise ValueError(f"a group of {group} cannot hold {1 << distance} values")
     level = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in block_masks(0, distance, blocks)])).alias("mask"))
     level = level.withColumn("block", F.col("fp").bitwiseAND(F.col("mask")))
     found = None
