@@ -18,9 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import sliced, text_bytes
 
-#: Words one generation of a worker's cache holds; what two generations ago was not asked for again goes.
+#: Words one generation of a worker's cache holds.
 GENERATION = 100_000
 #: Words of more bytes than this walk their tree alone; entries of the arrays that a batch of words takes.
 LONG_WORD, BATCH = 256, 1 << 17
@@ -84,6 +84,28 @@ class BpeModel:
     def _find(self) -> Callable[[str], list[str]]:
         return regex.compile(self.pattern).findall
 
+    @cached_property
+    def _find_ascii(self) -> Callable[[str], list[str]]:
+        """The same pattern for ASCII texts, whose letters, numbers and spaces the standard library knows too."""
+        out, inside, i = [], False, 0
+        while i < len(self.pattern):
+            two, one = self.pattern[i:i + 5], self.pattern[i]
+            if two in (r"\p{L}", r"\p{N}"):
+                plain = "A-Za-z" if two == r"\p{L}" else "0-9"
+                out.append(plain if inside else f"[{plain}]")
+                i += 5
+                continue
+            step = 2 if one == "\\" else 1
+            inside = True if one == "[" else False if one == "]" else inside
+            out.append(self.pattern[i:i + step])
+            i += step
+        return re.compile("".join(out), re.ASCII).findall
+
+    @cached_property
+    def letter_runs(self) -> bool:
+        """Is a run of ASCII letters always one word, the same in capitals?"""
+        return self.drops_spaces and self.lower and self._find("xyz") == ["xyz"]
+
     @cached_property
     def _cut(self) -> re.Pattern | None:
         return re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -94,11 +116,18 @@ class BpeModel:
         from tokenizers import Tokenizer
         return Tokenizer.from_str(self.definition)
 
+    @cached_property
+    def drops_spaces(self) -> bool:
+        """Does white space only separate words?"""
+        return not any(c.isspace() for w in self._find(" a  b\t\n1 .\r\v\f'! ") for c in w)
+
     def words(self, text: str) -> list[str]:
         """Words of one text; a special token is a word of its own."""
         if self._cut is not None and "<" in text and self._cut.search(text):
             return [w for part in self._cut.split(text) for w in ([part] if part in self.special else self.words(part))]
-        if text.isascii() or not _PLAIN.search(text):
+        if text.isascii():
+            return self._find_ascii(text.lower() if self.lower else text)
+        if not _PLAIN.search(text):
             return self._find(text.lower() if self.lower else text)
         library, back = self.library, {x: b for b, x in enumerate(byte_letters())}
         normal = library.normalizer.normalize_str(text) if library.normalizer else text
@@ -232,34 +261,60 @@ class BpeModel:
         return b"".join(kept).decode("utf-8", "replace") if self.joins_bytes else b" ".join(kept).decode()
 
 
-class WordCache:
-    """Ids of words a worker has met, in two generations: when one is full, it becomes the older and that one goes."""
+class Cache:
+    """Values of keys a worker has met, in two generations: when one is full, it becomes the older and that one goes."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
-        self.learn = learn
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, learn: Callable[[list], list[bytes]], most: int = GENERATION):
+        self.learn, self.most = learn, most
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        if len(self.young) > GENERATION:
+    def join(self, lists: list[list]) -> list[bytes]:
+        """The values of each list of keys, joined; keys not met yet are learnt together."""
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = {w for words in texts for w in words if w not in young}
-        new = [w for w in missing if w not in old]
-        young.update((w, old[w]) for w in missing if w in old)
+        missing = set().union(*lists).difference(young)
+        fresh = missing.difference(old)
+        young.update([(k, old[k]) for k in missing - fresh])
+        new = list(fresh)
         young.update(zip(new, self.learn(new)))
-        return [b"".join(map(young.__getitem__, words)) for words in texts]
+        get = young.__getitem__
+        return [b"".join(map(get, keys)) for keys in lists]
+
+
+class TextEncoder:
+    """Ids of texts as little-endian 32-bit integers, through ``learn``, which gives the ids of new words.
+
+    Where no word holds white space, a text is cut at ASCII spaces first and such a piece is split into words only
+    when it is new; capitals of ASCII make no difference to a model in lower case, but for its special tokens.
+    """
+
+    def __init__(self, model: BpeModel, learn: Callable[[list[str]], list[bytes]]):
+        self.model, self.words = model, Cache(learn)
+        self.pieces = Cache(self._learn_pieces)
+
+    def _learn_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        whole = self.model.letter_runs  # a run of ASCII letters is one word
+        return self.words.join([[p.decode().lower()] if whole and p.isalpha() else self.model.words(p.decode()) for p in pieces])
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.model.drops_spaces:
+            return self.words.join([self.model.words(t.decode()) for t in texts])
+        fold = self.model.lower
+        return self.pieces.join([(t.lower() if fold and b"<" not in t else t).split() for t in texts])
 
 
-_WORKERS: dict[int, tuple[BpeModel, WordCache]] = {}
+_WORKERS: dict[tuple, TextEncoder] = {}
 
 
-def _worker(definition: str) -> tuple[BpeModel, WordCache]:
-    key = hash(definition)
+def worker_encoder(definition: str, learner: Callable[[BpeModel], Callable[[list[str]], list[bytes]]] | None = None) -> TextEncoder:
+    """The encoder of this worker process; ``learner`` makes the function that gives ids, by default the segment trees."""
+    key = (hash(definition), learner)
     if key not in _WORKERS:
         _WORKERS.clear()
         model = BpeModel(definition)
-        _WORKERS[key] = model, WordCache(model.ids_of)
+        _WORKERS[key] = TextEncoder(model, learner(model) if learner else model.ids_of)
     return _WORKERS[key]
 
 
@@ -280,9 +335,10 @@ def encode_bpe(docs: DataFrame, definition: str, id_col: str = "doc_id", text_co
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        model, cache = _worker(shared.value)
+        encoder = worker_encoder(shared.value)
+        model = encoder.model
         for b in sliced(batches, 400):
-            flat = cache.ids([model.words(t or "") for t in b.column(1).to_pylist()])
+            flat = encoder.encode(text_bytes(b.column(1)))
             ids = id_lists(flat)
             decoded = [model.decode(np.frombuffer(x, "<i4").tolist()) for x in flat]
             yield pa.RecordBatch.from_arrays(
@@ -297,7 +353,7 @@ def decode_bpe(encoded: DataFrame, definition: str, id_col: str = "doc_id", ids_
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches):
-        model, _ = _worker(shared.value)
+        model = worker_encoder(shared.value).model
         for b in sliced(batches, 100):
             texts = [model.decode([i for i in x or [] if i is not None]) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "decoded"])

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -20,15 +22,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .bpe import BpeModel, byte_letters, worker_encoder
 from .common import scratch, sliced, stored, text_bytes
 
 MAGIC = b"EFID"
 #: Ones between two samples of the select structure, and the ids after which a file is closed.
 SAMPLE, FILE_IDS = 256, 1 << 21
-#: Encoded words a worker keeps; the cache starts anew when it is full.
-CACHE = 200_000
-#: Words that a vocabulary may hold as one id: one that a text lacks can stand between its words as a mark.
-_MARKS = ("photography", "university", "wonderful", "government", "hello")
+#: Bytes of text one range of ids is meant to hold.
+RANGE_BYTES = 64 << 20
+#: Ones in each byte, and the place of each one in it.
+_COUNT = np.array([i.bit_count() for i in range(256)])
+_PLACE = np.array([([k for k in range(8) if i >> k & 1] + [0] * 8)[:8] for i in range(256)])
 _HEAD = struct.Struct("<QQQB")
 
 
@@ -73,6 +77,22 @@ class EliasFano:
         low = (int.from_bytes(span, "little") >> (begin & 7)) & ((1 << self.low_bits) - 1)
         return self.first + (high << self.low_bits | low)
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """Values number ``i`` of any places: the byte of each one by a running count, then its place in the byte."""
+        upto = np.cumsum(_COUNT[self.high])
+        byte = np.searchsorted(upto, i, side="right")
+        high = byte * 8 + _PLACE[self.high[byte], i - (upto[byte] - _COUNT[self.high[byte]])] - i
+        begin = i.astype(np.int64) * self.low_bits
+        padded = np.concatenate((self.low, np.zeros(9, np.uint8))).astype(np.uint64)
+        word = np.zeros(len(i), np.uint64)
+        for k in range(8):
+            word |= padded[(begin >> 3) + k] << np.uint64(8 * k)
+        word >>= (begin & 7).astype(np.uint64)
+        if self.low_bits > 57:  # the parts may reach into a ninth byte
+            return np.array([self.select(int(x)) for x in i], np.int64)
+        low = word & np.uint64((1 << self.low_bits) - 1)
+        return self.first + (high.astype(np.int64) << self.low_bits | low.astype(np.int64))
+
     def values(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n] - np.arange(self.n)
         bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
@@ -124,55 +144,18 @@ class TokenFile:
         return self.ids[self.boundaries.select(k):self.boundaries.select(k + 1)]
 
 
-_TOKENIZERS: dict[int, tuple] = {}
-
-
-class _WordCache:
-    """Ids of words: the vocabulary drops white space, so a text is encoded word by word."""
+def library_words(model: BpeModel) -> Callable[[list[str]], list[bytes]]:
+    """Ids of words by the tokenizers library's model; splitting and normalising are done before."""
+    merge, letters = model.library.model.tokenize, str.maketrans({chr(i): x for i, x in enumerate(byte_letters())})
 
-    def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
-        self.folds = self._ids("aB") == self._ids("ab") and self._ids("Σ") == self._ids("σ")
-        self.marks = [(m, self._ids(m)[0]) for m in _MARKS if len(self._ids(m)) == 1]
+    def ids(word: str) -> bytes:
+        if word in model.special:
+            return array("I", [model.special[word]]).tobytes()
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in merge(word)]).tobytes()
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # no offsets
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words in one text each thousand, between marks that none of them holds."""
-        for at in range(0, len(words), 1000):
-            some = words[at:at + 1000]
-            text = b" ".join(some).decode().lower()
-            mark, code = next(((m, i) for m, i in self.marks if m not in text), ("", -1))
-            if code < 0:
-                self.known |= {w: np.array(self._ids(w.decode()), "<u4").tobytes() for w in some}
-                continue
-            ids = np.array(self._ids(f" {mark} ".join([w.decode() for w in some] + [""])), "<u4")
-            ends = np.flatnonzero(ids == code) * 4
-            data, begin = ids.tobytes(), 0
-            for w, e in zip(some, ends.tolist()):
-                self.known[w] = data[begin:e]
-                begin = e + 4
-
-    @classmethod
-    def of(cls, definition: str) -> _WordCache:
-        key = hash(definition)
-        if key not in _TOKENIZERS:
-            _TOKENIZERS.clear()
-            _TOKENIZERS[key] = cls(definition)
-        return _TOKENIZERS[key]
-
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        # ASCII capitals make no difference to a vocabulary in lower case, but for its special tokens
-        split = [(t if b"<|" in t else t.lower()).split() if self.folds else t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        self._learn(new)
-        last, get = np.array([end], "<u4").tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + last, "<u4") for words in split]
+    return lambda words: list(map(ids, words))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -188,7 +171,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 1,
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part, seq = _WordCache.of(shared.value), TaskContext.get().partitionId(), 0
+        encoder, part, seq = worker_encoder(shared.value, library_words), TaskContext.get().partitionId(), 0
+        last = np.array([end], "<u4").tobytes()
         doc_ids, lengths, kept, size = [], [], [], 0
 
         def closed():
@@ -198,7 +182,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 1,
                  pa.array([TokenFile.of(doc_ids, lengths, ids).to_bytes()], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "payload"])
 
         for b in sliced(batches, 200):
-            for key, ids in zip(b.column(0).to_pylist(), words.encode(text_bytes(b.column(1)), end)):
+            for key, flat in zip(b.column(0).to_pylist(), encoder.encode(text_bytes(b.column(1)))):
+                ids = np.frombuffer(flat + last, "<u4")
                 doc_ids.append(key)
                 lengths.append(len(ids))
                 kept.append(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
@@ -212,7 +197,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 1,
     # equal ids may go to several ranges: the hash of the text is a second key
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     order = ["id", F.xxhash64("text")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    # the number of ranges follows from the bytes, not from the session, so a range fits a task at any size
+    ranges = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+    ranges = max(ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "text")
     rows.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
@@ -236,14 +224,14 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
         for b in batches:
             for start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 file = TokenFile.read(data)
-                cuts = file.boundaries.values()
+                cuts = file.boundaries.select_many(np.arange(file.boundaries.n))
                 if digest:
                     wide = file.ids.astype("<u4")
                     last = pa.array([crc32(wide[x:y].tobytes()) for x, y in zip(cuts, cuts[1:])], pa.int64())
                 else:
                     last = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(file.ids.astype(np.int32)))
                 table = pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids.values()), pa.array(cuts[:-1] + start), pa.array(np.diff(cuts)), last], names=["doc_id", "start", "n_tokens", name])
+                    [pa.array(file.doc_ids.select_many(np.arange(file.doc_ids.n))), pa.array(cuts[:-1] + start), pa.array(np.diff(cuts)), last], names=["doc_id", "start", "n_tokens", name])
                 for at in range(0, table.num_rows, 500):
                     yield table.slice(at, 500)
 

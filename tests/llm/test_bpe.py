@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.bpe import GENERATION, BpeModel, WordCache, decode_bpe, encode_bpe
+from panelspark.llm.bpe import BpeModel, Cache, TextEncoder, decode_bpe, encode_bpe
 from panelspark.llm.common import documents, vocabulary
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
@@ -46,11 +46,13 @@ def test_odd_texts_equal_the_library(models):
     _, model, library = models
     rng = random.Random(2)
     plain = [chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205f), 0x20ac]]
-    texts = ["", " ", "a" * 5000, "ab" * 900 + " x", "<|endoftext|>a <|endoftext|><|endoftex", "ΣΑΣ é\x1c\x85 b", "日本語テキスト 漢字", "İstanbul é", "٣٤٥ ՘aՙ 😀😀", "\r\n a  b\t\td "]
+    encoder = TextEncoder(model, model.ids_of)
+    texts = ["<|EndOfText|> A", "a\u0301 \u0301b \u00a0C", "", " ", "a" * 5000, "ab" * 900 + " x", "<|endoftext|>a <|endoftext|><|endoftex", "ΣΑΣ é\x1c\x85 b", "日本語テキスト 漢字", "İstanbul é", "٣٤٥ ՘aՙ 😀😀", "\r\n a  b\t\td "]
     texts += ["".join(rng.choices("abcdefghij' éü.,\n12", k=rng.randrange(1, 600))) for _ in range(100)] + ["".join(rng.choices(plain, k=50)) for _ in range(300)]
     for text in texts:
         want = library.encode(text, add_special_tokens=False).ids
         assert encoded(model, text) == want, text[:50]
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<i4").tolist() == want, text[:50]
         assert model.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
@@ -79,10 +81,10 @@ def test_odd_and_empty_tables(odd_documents, no_documents, models):
 
 def test_cache_keeps_two_generations():
     asked = []
-    cache = WordCache(lambda words: [asked.append(w) or w.encode() for w in words])
-    cache.ids([[f"w{i}" for i in range(GENERATION + 1)]])
-    assert cache.ids([["w1", "w1", "new"]]) == [b"w1w1new"] and asked.count("w1") == 1
-    assert len(cache.young) == 2 and len(cache.old) == GENERATION + 1
+    cache = Cache(lambda words: [asked.append(w) or w.encode() for w in words], 1000)
+    cache.join([[f"w{i}" for i in range(1001)]])
+    assert cache.join([["w1", "w1", "new"]]) == [b"w1w1new"] and asked.count("w1") == 1
+    assert len(cache.young) == 2 and len(cache.old) == 1001
 
 
 def test_other_models_raise():

@@ -5,12 +5,12 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from panelspark.llm import tokenfile
+from panelspark.llm.bpe import worker_encoder
 from panelspark.llm.catalog import QUERIES
-from panelspark.llm.common import TOKENIZERS, scratch
-from panelspark.llm.tokenfile import EliasFano, TokenFile, read_token_files, write_token_files
+from panelspark.llm.common import scratch, vocabulary
+from panelspark.llm.tokenfile import EliasFano, TokenFile, library_words, read_token_files, write_token_files
 
-PATH = f"{TOKENIZERS}/word_bpe_49k.json"
+PATH = vocabulary("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,8 @@ def test_sequences_come_back(values):
     coded, end = EliasFano.read(b"pad" + EliasFano.of(np.array(values, np.int64)).to_bytes(), 3)
     assert coded.values().tolist() == values
     assert [coded.select(i) for i in range(len(values))] == values
+    places = np.arange(len(values))[::-3]
+    assert coded.select_many(places).tolist() == [values[i] for i in places]
 
 
 def test_select_uses_little_space():
@@ -46,9 +48,9 @@ def test_query_equals_the_library(spark, folder, texts, tokenizer, monkeypatch):
 
 
 def test_words_are_independent(tokenizer):
-    words = tokenfile._WordCache(open(PATH, encoding="utf-8").read())
-    for t in ["a b", " 'S  x's\n<|endoftext|> y", "É́ e ́", "Σ ΑΣ a", "", "  ", "x y　z 1 22", "it's don't"]:
-        assert words.encode([t.encode()], 1)[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+    words = worker_encoder(open(PATH, encoding="utf-8").read(), library_words)
+    for t in ["a b", " 'S  x's\n<|endoftext|> y", "É́ e ́", "Σ ΑΣ a", "", "  ", "x y　z 1 22", "it's don't", "<|ENDOFTEXT|> a<|endoftext|>b", "a\u0301 \u0301 \x1c\x85x\u2028y", "İ X"]:
+        assert np.frombuffer(words.encode([t.encode()])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_odd_documents(spark, odd_documents, no_documents, tokenizer):
