@@ -173,14 +173,19 @@ cte("bk_pairs", "SELECT a.book, a.day, corr(a.ret, b.ret) AS k FROM bk_basket a
 cte("bk_over", "SELECT book, day AS date, avg(k) AS avg_corr, avg(k) > 0.02 AS overload FROM bk_pairs GROUP BY 1, 2")
 cte("bk_exposure", """SELECT g.date, CASE regime WHEN 'bull' THEN 1 WHEN 'recovery' THEN 0.7 WHEN 'chop' THEN 0.5 WHEN 'high_vol' THEN 0.3 WHEN 'bear' THEN 0.2 ELSE 0 END::DOUBLE AS e, m, v, n
     FROM regime6 g JOIN (SELECT date, avg(r1) OVER w AS m, var_samp(r1) OVER w AS v, count(r1) OVER w AS n FROM rg_a WINDOW w AS (PARTITION BY 1 ORDER BY date ROWS 59 PRECEDING)) x ON g.date = x.date""")
-cte("bk_a", f"""SELECT r.*, ({pct_sql('score', 'r.book, r.date').replace('BY score', 'BY r.score')}) * 100 AS p, e > 0 AS on_, coalesce(o.overload, false) AS ov, (num % 4) / 100.0::DOUBLE AS cur,
-    e * (0.5 + 0.5 * CASE WHEN n < 5 OR v IS NULL OR v <= 0 THEN 1 ELSE least(greatest(kf * m / v, 0), 1) END) * CASE WHEN r.book = 'crypto' THEN 0.5 ELSE 1 END AS gv
-    FROM bk_rank r JOIN bk_exposure x ON r.date = x.date LEFT JOIN bk_over o ON r.book = o.book AND r.date = o.date""")
-cte("bk_b", "SELECT *, CASE WHEN NOT long OR p < 40 THEN 0 WHEN p < 60 THEN 0.3 WHEN p < 80 THEN 0.7 ELSE 1 END::DOUBLE AS raw, score - 0.001 AS ev FROM bk_a")
-cte("bk_c", """SELECT *, greatest(least(coalesce(raw / nullif(sum(raw) OVER (PARTITION BY book, date), 0), 0) * gv * CASE WHEN on_ THEN 1 ELSE 0 END * CASE WHEN ov THEN 0.5 ELSE 1 END, pos_cap), 0) AS tgt FROM bk_b""")
-cte("bk_d", """SELECT *, round(tgt, 4) * CASE WHEN sum(round(tgt, 4)) OVER (PARTITION BY book, date) > cap THEN cap / sum(round(tgt, 4)) OVER (PARTITION BY book, date) ELSE 1 END AS w1 FROM bk_c""")
-cte("bk_e", "SELECT *, CASE WHEN num % 7 = 0 THEN least(w1, 0.01) ELSE w1 END AS w2 FROM bk_d")
-cte("bk_f", "SELECT *, sum(CASE WHEN num % 7 = 0 THEN w2 ELSE 0 END) OVER (PARTITION BY book, date) AS micro FROM bk_e")
+def book_ctes(stem: str, crowded: float, crypto_gate: float) -> None:
+    """Decisions and capped weights from ``bk_rank``, step by step: ``<stem>_a`` to ``<stem>_f``."""
+    cte(f"{stem}_a", f"""SELECT r.*, ({pct_sql('score', 'r.book, r.date').replace('BY score', 'BY r.score')}) * 100 AS p, e > 0 AS on_, coalesce(o.avg_corr > {crowded}, false) AS ov, (num % 4) / 100.0::DOUBLE AS cur,
+        e * (0.5 + 0.5 * CASE WHEN n < 5 OR v IS NULL OR v <= 0 THEN 1 ELSE least(greatest(kf * m / v, 0), 1) END) * CASE WHEN r.book = 'crypto' THEN {crypto_gate} ELSE 1 END AS gv
+        FROM bk_rank r JOIN bk_exposure x ON r.date = x.date LEFT JOIN bk_over o ON r.book = o.book AND r.date = o.date""")
+    cte(f"{stem}_b", f"SELECT *, CASE WHEN NOT long OR p < 40 THEN 0 WHEN p < 60 THEN 0.3 WHEN p < 80 THEN 0.7 ELSE 1 END::DOUBLE AS raw, score - 0.001 AS ev FROM {stem}_a")
+    cte(f"{stem}_c", f"""SELECT *, greatest(least(coalesce(raw / nullif(sum(raw) OVER (PARTITION BY book, date), 0), 0) * gv * CASE WHEN on_ THEN 1 ELSE 0 END * CASE WHEN ov THEN 0.5 ELSE 1 END, pos_cap), 0) AS tgt FROM {stem}_b""")
+    cte(f"{stem}_d", f"""SELECT *, round(tgt, 4) * CASE WHEN sum(round(tgt, 4)) OVER (PARTITION BY book, date) > cap THEN cap / sum(round(tgt, 4)) OVER (PARTITION BY book, date) ELSE 1 END AS w1 FROM {stem}_c""")
+    cte(f"{stem}_e", f"SELECT *, CASE WHEN num % 7 = 0 THEN least(w1, 0.01) ELSE w1 END AS w2 FROM {stem}_d")
+    cte(f"{stem}_f", f"SELECT *, sum(CASE WHEN num % 7 = 0 THEN w2 ELSE 0 END) OVER (PARTITION BY book, date) AS micro FROM {stem}_e")
+
+
+book_ctes("bk", 0.02, 0.5)
 add("basket_overload", lambda s, d: given_overload(s, d).select("book", "date", rc("avg_corr").alias("avg_corr"), "overload"),
     f"SELECT a.book, a.date, {r('avg_corr')} AS avg_corr, coalesce(overload, false) AS overload FROM bk_at a LEFT JOIN bk_over o ON a.book = o.book AND a.date = o.date")
 add("book_decisions", lambda s, d: (lambda g: decide_given(*g[:4], **g[4]))(given_decisions(s, d)).select(
@@ -191,4 +196,30 @@ add("book_decisions", lambda s, d: (lambda g: decide_given(*g[:4], **g[4]))(give
         CASE WHEN gv <= 0 THEN 'governor' WHEN NOT on_ THEN 'regime' WHEN ev <= 0 THEN 'no_edge' WHEN p < 60 AND tgt = 0 THEN 'low_confidence' WHEN tgt > cur + 1e-6 THEN 'scale_up' WHEN tgt < cur - 1e-6 THEN 'trim' ELSE 'at_target' END AS reasoning,
         {r('CASE WHEN num % 7 = 0 AND micro > 0.1 THEN w2 * 0.1 / micro ELSE w2 END')} AS weight FROM bk_f""")
 add("build_books", daily_books)
+
+
+def daily(s, d):
+    """The run of the last month end, on a ledger that holds the books' and the market's rows of the month end before."""
+    from ..plans.daily import MARKET, daily_run
+    scores, bars, bench, books, options = given_decisions(s, d)
+    days = [r.date for r in scores.select("date").distinct().orderBy(c("date").desc()).limit(2).collect()]
+    rows = options["current"].select(c("book").alias("sleeve"), c("ticker").alias("asset"), c("weight").alias("target_weight")).unionByName(
+        s.createDataFrame([(MARKET, MARKET, 1.0)], "sleeve string, asset string, target_weight double"))
+    entry = F.struct("asset", F.lit("BUY").alias("action"), F.lit(0.0).alias("ev_score"), F.lit("LOW").alias("risk_status"), F.lit(50.0).alias("confidence"), "target_weight",
+                     F.lit("").alias("reasoning"), F.lit("").alias("sources"))
+    ledger = rows.groupBy("sleeve").agg(F.collect_list(entry).alias("decisions")).select(F.lit(days[1]).alias("date"), "sleeve", F.lit(None).cast("double").alias("day_return"), "decisions")
+    return daily_run(ledger, bars, bench, books, scores=scores.where(c("date") == days[0]), microcaps=options["microcaps"])[1]
+
+
+book_ctes("dr", 0.8, 1.0)
+cte("dr_days", "SELECT max(date) AS d1, (SELECT max(date) FROM bk_days WHERE date < (SELECT max(date) FROM bk_days)) AS d0 FROM bk_days")
+cte("dr_sys", """SELECT sum(w) AS exposure, count(*) AS n FROM (SELECT ticker, sum(weight * least(1, cap2 / total)) AS w FROM (SELECT *, sum(weight) OVER (PARTITION BY book) AS total, CASE book WHEN 'stocks' THEN 0.65 WHEN 'metals' THEN 0.15 ELSE 0.2 END AS cap2
+    FROM (SELECT book, ticker, CASE WHEN num % 7 = 0 AND micro > 0.1 THEN w2 * 0.1 / micro ELSE w2 END AS weight FROM dr_f WHERE date = (SELECT d1 FROM dr_days) AND book IN ('stocks', 'metals', 'crypto')) WHERE weight > 0) GROUP BY 1)""")
+add("daily_run", lambda s, d: daily(s, d).select("sleeve", "date", c("n_positions").cast("long").alias("n_positions"), rc("exposure").alias("exposure"), rc("day_return").alias("day_return"), "logged", "n_days", "governor"),
+    f"""SELECT book AS sleeve, d1 AS date, n AS n_positions, {r('exposure')} AS exposure, {r('ret')} AS day_return, true AS logged, (ret IS NOT NULL)::BIGINT AS n_days, 'ok' AS governor FROM (
+        SELECT f.book, count(*) FILTER (WHERE weight > 0) AS n, sum(weight) AS exposure, any_value(g.ret) AS ret FROM (
+            SELECT book, CASE WHEN num % 7 = 0 AND micro > 0.1 THEN w2 * 0.1 / micro ELSE w2 END AS weight FROM dr_f WHERE date = (SELECT d1 FROM dr_days)) f
+        JOIN (SELECT book, sum((num % 4) / 100.0::DOUBLE * (b.close / a.close - 1)) AS ret FROM bk_names n, dr_days JOIN filled a ON a.date = d0 JOIN filled b ON b.date = d1 AND b.ticker = a.ticker WHERE n.ticker = a.ticker GROUP BY 1) g ON f.book = g.book GROUP BY 1
+        UNION ALL SELECT 'full_system', n, exposure, NULL FROM dr_sys
+        UNION ALL SELECT 'market', 1, 1.0::DOUBLE, b.close / a.close - 1 FROM dr_days JOIN bench a ON a.date = d0 JOIN bench b ON b.date = d1), dr_days""")
 add("combine_system", system)

@@ -102,3 +102,24 @@ def test_caps_hold_and_a_book_without_model_says_so(market):
 
 def test_books_keep_their_fixed_values():
     assert [b.name for b in BOOKS] == ["stocks", "crypto", "metals", "bonds", "aggressive"] and all(abs(sum(b.horizons.values()) - 1) < 1e-12 for b in BOOKS)
+
+
+def test_daily_run_logs_once_and_governs(spark, market):
+    from panelspark.plans.daily import MARKET, SYSTEM, daily_run
+    from panelspark.sources.ledger import LEDGER_SCHEMA
+    bars, bench, assignment, _ = market
+    days = [r.date for r in bars.select("date").distinct().orderBy("date").collect()]
+    scores = spark.createDataFrame([("one", days[-1], f"N{k}", 0.1 * (k + 1)) for k in (0, 2, 4, 6)] + [("two", days[-1], f"N{k}", 0.1) for k in (1, 3, 5, 7)],
+                                   "book string, date date, ticker string, score double")
+    entry = [("N0", "BUY", 0.1, "LOW", 90.0, 0.5, "", ""), ("N2", "SELL", 0.1, "LOW", 90.0, 0.0, "", "")]
+    ledger = spark.createDataFrame(
+        [(days[-30 + i], "one", "shadow", 1, 0.001 * (i % 3), entry) for i in range(10)] + [(days[-30 + i], "two", "shadow", 1, -0.05, entry) for i in range(8)], LEDGER_SCHEMA)
+    fresh, summary = daily_run(ledger, bars, bench, assignment, TWO, scores=scores, caps={"one": 0.3, "two": 0.2})
+    got = {r.sleeve: r for r in summary.collect()}
+    price = {(r.date, r.ticker): r.close for r in bars.where(F.col("ticker") == "N0").collect()}
+    assert set(got) == {"one", "two", SYSTEM, MARKET} and all(r.logged for r in got.values())
+    assert got["one"].day_return == pytest.approx(0.5 * (price[days[-1], "N0"] / price[days[-21], "N0"] - 1)) and got["one"].n_days == 11
+    assert got["two"].exposure == 0 and got["two"].governor == "drawdown" and got["two"].n_positions == 0  # eight losses of 5 %
+    assert got[MARKET].exposure == 1 and got[MARKET].day_return is None and got[SYSTEM].exposure <= 0.3 + 1e-9
+    again, repeated = daily_run(ledger.unionByName(fresh.select(*ledger.columns)), bars, bench, assignment, TWO, scores=scores, caps={"one": 0.3, "two": 0.2})
+    assert again.isEmpty() and not any(r.logged or r.day_return is not None for r in repeated.collect())
