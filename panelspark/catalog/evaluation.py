@@ -221,8 +221,9 @@ cte("sweep_st", "SELECT strength, avg(ic) AS mean, stddev_samp(ic) AS std, count
 cte("sweep_v", """SELECT m1 > m0 AND m4 > m0 AND m4 >= m1 - s4 AS recovery, abs(m0) < greatest(0.04, 2.5 * s0 / sqrt(n0)) AND abs(m0) < 0.5 * greatest(m4, 1e-9) AS quiet FROM (
     SELECT max(mean) FILTER (WHERE strength = 0) AS m0, max(mean) FILTER (WHERE strength = 1) AS m1, max(mean) FILTER (WHERE strength = 4) AS m4, max(std) FILTER (WHERE strength = 4) AS s4,
     max(std) FILTER (WHERE strength = 0) AS s0, max(n) FILTER (WHERE strength = 0) AS n0 FROM sweep_st)""")
-add("seed_sweep", lambda s, d: ev.seed_sweep(_sweep(s, d)).select("strength", rc("mean").alias("mean"), rc("std").alias("std"), "n", "recovery", "no_hallucination"),
-    f"SELECT strength, {r('mean')} AS mean, {r('std')} AS std, n, recovery, quiet AS no_hallucination FROM sweep_st, sweep_v", dates="")
+add("seed_sweep", lambda s, d: ev.seed_sweep(_sweep(s, d), ev.leak_canary(feature_panel(s, d))).select("strength", rc("mean").alias("mean"), rc("std").alias("std"), "n", "recovery", "no_hallucination", "leak_caught", "passed"),
+    f"""SELECT strength, {r('mean')} AS mean, {r('std')} AS std, n, recovery, quiet AS no_hallucination, caught AS leak_caught, recovery AND quiet AND caught AS passed
+        FROM sweep_st, sweep_v, (SELECT abs(corr(target * 0.5 + 3, target)) > 0.95 AS caught FROM fpanel_y)""", dates="")
 add("crosscheck",
     lambda s, d: ev.crosscheck(_rets(s, d), _rets(s, d).withColumn("ret", c("ret") + F.when(F.month("date") == 3, 0.001).otherwise(0.0)).where(F.dayofweek("date") != 1), 1e-6).select("strategy", "n", rc("max_diff").alias("max_diff"), "ok"),
     f"SELECT strategy, count(*) AS n, {r('max(CASE WHEN month(date) = 3 THEN 0.001 ELSE 0 END)::DOUBLE')} AS max_diff, max(CASE WHEN month(date) = 3 THEN 0.001 ELSE 0 END) <= 1e-6 AS ok FROM rets_s WHERE isodow(date) <> 7 GROUP BY 1", dates="")

@@ -16,12 +16,12 @@ from .relational import pct_sql, scratch
 c = F.col
 
 
-def landed(s, d, resend: bool = False) -> str:
-    """Ledger rows landing as JSON files in date order, a middle part possibly sent twice."""
+def landed(s, d, order: str = "abc") -> str:
+    """Ledger rows landing as JSON files, a third of the month each, in the given order; a part may come twice."""
     folder = scratch(s, "landing")
     rows = t.ledger(s, d)
-    parts = [("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")]
-    for lo, hi in parts[:2] + (parts[1:2] if resend else []) + parts[2:]:
+    parts = {"a": ("2000-01-01", "2024-01-11"), "b": ("2024-01-11", "2024-01-21"), "c": ("2024-01-21", "2100-01-01")}
+    for lo, hi in (parts[x] for x in order):
         rows.where((c("date") >= lo) & (c("date") < hi)).coalesce(1).write.mode("append").json(folder)
     return folder
 
@@ -34,14 +34,18 @@ def streamed(s, d, transform, mode: str = "append", files: int | None = 1, state
     return out
 
 
-def _append(s, d):
+def _append(s, d, order: str, kind: str):
+    ls.use_rocksdb(s)
     table = scratch(s, "ledger_table")
-    ls.stream_ledger_append(s, landed(s, d, True), table, table + "_checkpoint", files_per_batch=1)
-    return s.read.parquet(table)
+    ls.stream_ledger_append(s, landed(s, d, order), table, table + "_checkpoint", files_per_batch=1)
+    return ls.read_appended(s, table, kind)
 
 
-add("stream_ledger_append", lambda s, d: _append(s, d).select("date", "sleeve", rc("day_return", 14).alias("day_return")),
-    f"SELECT date, sleeve, {r('day_return', 14)} AS day_return FROM ledger")
+add("stream_ledger_append", lambda s, d: _append(s, d, "abbc", "new").select("date", "sleeve", rc("day_return", 14).alias("day_return"), "n_positions"),
+    f"SELECT date, sleeve, {r('day_return', 14)} AS day_return, n_positions FROM ledger")
+# the middle part comes last: too late for the ledger, but counted; what is sent again is neither
+add("stream_late_rows", lambda s, d: _append(s, d, "acab", "late").groupBy("sleeve").agg(F.count(F.lit(1)).alias("n"), rc(F.sum("day_return"), 10).alias("total")),
+    f"SELECT sleeve, count(*) AS n, {r('sum(day_return)', 10)} AS total FROM ledger WHERE date >= DATE '2024-01-11' AND date < DATE '2024-01-21' GROUP BY 1", dates="")
 add("stream_governor", lambda s, d: s.read.parquet(streamed(s, d, ls.stream_governor, stateful=True)).select("sleeve", "date", "exposure", "reason"),
     "SELECT strategy AS sleeve, date, CASE WHEN reason = 'ok' THEN 1.0::DOUBLE ELSE 0 END AS exposure, reason FROM gvl")
 add("stream_page_hinkley",

@@ -252,8 +252,16 @@ def best_model(fold_ics: DataFrame) -> DataFrame:
     return means.agg(F.max_by(F.struct("model", "ic_mean"), F.struct("ic_mean", "model")).alias("_b")).select("_b.*")
 
 
-def seed_sweep(results: DataFrame) -> DataFrame:
-    """``results(strength, seed, ic)``, three strengths: mean and deviation each, and the two verdicts.
+def leak_canary(panel: DataFrame, target: str = "target") -> DataFrame:
+    """One row ``(leak_caught)``: does the audit flag a planted feature that is the label on another scale?"""
+    planted = panel.select(target, (c(target) * 0.5 + 3.0).alias("canary"))
+    return feature_target_corr(planted, ["canary"], target).select(c("leak").alias("leak_caught"))
+
+
+def seed_sweep(results: DataFrame, canary: DataFrame) -> DataFrame:
+    """``results(strength, seed, ic)``, three strengths: mean and deviation each, and the verdicts; ``passed`` needs all.
+
+    ``canary`` is the row of :func:`leak_canary`. The limits are fixed values.
 
     Recovery: both signals beat none, and the strong one the faint one within a deviation. No made-up
     signal: the mean at strength 0 is inside the sampling noise and far below the strong one.
@@ -266,7 +274,8 @@ def seed_sweep(results: DataFrame) -> DataFrame:
     se0 = pick(0.0, "std") / F.sqrt(pick(0.0, "n"))
     recovery = (m1 > m0) & (m4 > m0) & (m4 >= m1 - pick(4.0, "std"))
     quiet = (F.abs(m0) < F.greatest(F.lit(0.04), 2.5 * se0)) & (F.abs(m0) < 0.5 * F.greatest(m4, F.lit(1e-9)))
-    return by.select("strength", "mean", "std", "n", recovery.alias("recovery"), quiet.alias("no_hallucination"))
+    out = by.select("strength", "mean", "std", "n", recovery.alias("recovery"), quiet.alias("no_hallucination"), canary.scalar().alias("leak_caught"))
+    return out.withColumn("passed", c("recovery") & c("no_hallucination") & c("leak_caught"))
 
 
 def crosscheck(a: DataFrame, b: DataFrame, tol: float = 1e-6, keys: Sequence[str] = ("strategy",)) -> DataFrame:

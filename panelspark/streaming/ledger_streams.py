@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.governance import GovernorMemory, governor_path
 from ..operators.monitor import PH_DELTA, PH_LAMBDA
-from ..sources.ledger import LEDGER_SCHEMA, append_if_newer
+from ..sources.ledger import LEDGER_SCHEMA
 
 c = F.col
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,31 +43,73 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
         availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def stream_ledger_append(spark: SparkSession, folder: str, table: str, checkpoint: str, delay: str = "3 days",
-                         files_per_batch: int | None = None) -> None:
-    """New ledger rows into the table; re-sent rows and re-run days never duplicate.
+class AppendProcessor(StatefulProcessor):
+    """Which rows of a sleeve are news: the last date of earlier batches, and the dates seen, which expire by the
+    ledger's own dates, so a replay decides alike.
 
-    Copies inside the watermark are dropped by the stream state, older ones by comparing with the last
-    logged date of the sleeve.
+    A date seen before is a re-sent row and goes; one at or before the last date of earlier batches that was never
+    seen is late and is kept apart; everything else is new.
     """
-    rows = ledger_stream(spark, folder, files_per_batch).withWatermark("ts", delay)
-    unique = rows.dropDuplicatesWithinWatermark(["sleeve", "date"]).drop("ts")
+
+    def __init__(self, ttl_days: int):
+        self.ttl_days = ttl_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "date string")
+        self.seen = handle.getMapState("seen", "date string", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = newest = self.last.get()[0] if self.last.exists() else ""
+        for batch in rows:
+            batch = batch.assign(date=batch["date"].astype(str))
+            kinds = []
+            for date in batch["date"]:
+                if self.seen.containsKey((date,)):
+                    kinds.append(None)
+                    continue
+                self.seen.updateValue((date,), (1,))
+                kinds.append("new" if date > last else "late")
+                newest = max(newest, date)
+            out = batch.assign(kind=kinds)
+            yield out[out["kind"].notna()]
+        self.last.update((newest,))
+        oldest = str(pd.Timestamp(newest).date() - pd.Timedelta(days=self.ttl_days))
+        for (date,) in [k for k in self.seen.keys() if k[0] < oldest]:
+            self.seen.removeKey((date,))
+
+    def close(self) -> None:
+        pass
+
+
+_APPENDED = "sleeve string, date string, status string, n_positions int, day_return double, decisions string, kind string"
+
+
+def stream_ledger_append(spark: SparkSession, folder: str, table: str, checkpoint: str, files_per_batch: int | None = None, ttl_days: int = 30) -> None:
+    """New ledger rows into the table; re-sent rows and re-run days never duplicate, late rows are kept apart.
+
+    What decides is keyed state (one date per sleeve, and the dates of its last ``ttl_days``), so the table is
+    never read back. Every batch overwrites its own folder; read with :func:`read_appended`.
+    """
+    rows = ledger_stream(spark, folder, files_per_batch).drop("ts").where("date IS NOT NULL")
+    flat = rows.select("sleeve", "date", "status", "n_positions", "day_return", F.to_json("decisions").alias("decisions"))
+    judged = flat.groupBy("sleeve").transformWithStateInPandas(
+        statefulProcessor=AppendProcessor(ttl_days), outputStructType=T.StructType.fromDDL(_APPENDED), outputMode="Append", timeMode="None")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{table}/batch={batch_id}"
-        try:
-            known = spark.read.parquet(table).where(c("batch") < batch_id)
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        fresh = batch if known is None else append_if_newer(batch, known)
-        fresh.write.mode("overwrite").parquet(target)
-
-    unique.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{table}/batch={batch_id}")
+
+    judged.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         write).start().awaitTermination()
 
 
+def read_appended(spark: SparkSession, table: str, kind: str = "new") -> DataFrame:
+    """Rows of the table: ``new`` ones, which are the ledger, or the ``late`` ones beside it."""
+    schema = T.StructType.fromDDL(f"{_APPENDED}, batch long")
+    rows = spark.read.schema(schema).parquet(table).where(c("kind") == kind)
+    decisions = T.StructType.fromDDL(LEDGER_SCHEMA)["decisions"].dataType
+    return rows.select(c("date").cast("date").alias("date"), "sleeve", "status", "n_positions", "day_return", F.from_json("decisions", decisions).alias("decisions"), "batch")
+
+
 def _in_order(rows: Iterator[pd.DataFrame], last: str) -> tuple[pd.DataFrame, int]:
     """Rows of a batch after the last seen date, by date, one a day, and how many came too late."""
     batch = pd.concat(list(rows)).sort_values("date")
