@@ -152,8 +152,13 @@ add("rank_redundant_pairs",
 add("feature_target_corr",
     lambda s, d: ev.feature_target_corr(feature_panel(s, d).withColumn("leaky", c("target") * 2 + 1), [*_FEATS, "leaky"]).select("feature", rc("corr").alias("corr"), "leak"),
     " UNION ALL ".join(f"SELECT '{k}' AS feature, {r(f'corr({v}, target)')} AS corr, abs(corr({v}, target)) > 0.95 AS leak FROM fpanel_y" for k, v in {**_FEATS, "leaky": "target * 2 + 1"}.items()), dates="")
+_names = list(_FEATS)
+# each feature asks those before it, so the columns of one row build on each other
 add("prune_correlated",
-    lambda s, d: (lambda p: s.createDataFrame([(f,) for f in ev.prune_correlated(p, list(_FEATS), 0.3)], "feature string"))(feature_panel(s, d)), None)
+    lambda s, d: (lambda p: s.createDataFrame([(f,) for f in ev.prune_correlated(p, list(_FEATS), 0.3)], "feature string"))(feature_panel(s, d)),
+    "WITH " + ", ".join([f"pk{j} AS (SELECT *, " + (" AND ".join(f"NOT (k{i} AND c{i}_{j} > 0.3)" for i in range(j)) or "true") + f" AS k{j} FROM " + (f"pk{j - 1}" if j else "pk_corr") + ")" for j in range(len(_names))]).replace(
+        "pk0 AS", "pk_corr AS (SELECT " + ", ".join(f"abs(corr({_FEATS[_names[i]]}, {_FEATS[_names[j]]})) AS c{i}_{j}" for j in range(len(_names)) for i in range(j)) + " FROM fpanel), pk0 AS", 1)
+    + " SELECT feature FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k{j} AS kept FROM pk{len(_names) - 1}" for j, f in enumerate(_names)) + ") WHERE kept", dates="")
 
 # --- return series -----------------------------------------------------------------------------------------------
 _P = ["n_days", "cagr", "ann_vol", "sharpe", "sortino", "win_rate", "log_growth", "max_drawdown", "calmar"]

@@ -1,6 +1,9 @@
 """Queries over models: moments, folds, ablation, gates."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
@@ -65,8 +68,10 @@ def _predict_one(s, d):
 
 
 add("walk_forward_predict", _predict_one,
-    f"""SELECT 'ridge' AS model, k.fold, p.date, p.ticker, {r('my + cxy / sx / (1 + 10.0::DOUBLE / n) * (bz - mx) / sx', 8)} AS score
-        FROM mpanel p JOIN folds k ON pos >= test_lo AND pos < test_hi JOIN fstat s ON s.fold = k.fold""")
+    f"""WITH wf_days AS MATERIALIZED (SELECT fold, unnest(range(test_lo, test_hi)) AS pos FROM folds), wf_rows AS MATERIALIZED (SELECT date, pos, ticker, bz FROM mpanel),
+        wf_fit AS MATERIALIZED (SELECT * FROM fstat)
+        SELECT 'ridge' AS model, k.fold, p.date, p.ticker, {r('my + cxy / sx / (1 + 10.0::DOUBLE / n) * (bz - mx) / sx', 8)} AS score
+        FROM wf_rows p JOIN wf_days k ON p.pos = k.pos JOIN wf_fit s ON s.fold = k.fold""")
 
 
 def _wf(s, d):
@@ -76,7 +81,33 @@ def _wf(s, d):
 add("elasticnet", lambda s, d: _wf(s, d)[1].where("model = 'elasticnet'").select("fold", "feature", rc("std_coef").alias("std_coef")))
 add("fold_rank_ics", lambda s, d: lin.fold_ics(_wf(s, d)[0]))
 add("model_significance", lambda s, d: lin.model_significance(_wf(s, d)[0]))
-add("importance_top", lambda s, d: lin.importance_top(_wf(s, d)[1]))
+add("importance_top", lambda s, d: lin.importance_top(lin.fit_folds(kept_panel(s, d), NAMES, _folds(s, d), H, {"ridge": ("ridge", ["boll_z", "mom_20"])}), 15).select("model", "feature", rc("importance", 9).alias("importance")),
+    f"""SELECT 'ridge' AS model, feature, {r('avg(abs(w))', 9)} AS importance FROM (SELECT unnest(['boll_z', 'mom_20']) AS feature, unnest([(a * q - k * b) / (q * q - k * k), (b * q - k * a) / (q * q - k * k)]) AS w
+        FROM (SELECT *, 1 + 10.0::DOUBLE / n AS q FROM fstat2)) GROUP BY 2""", dates="")
+
+
+def elasticnet_optimal(s, d):
+    """Per fold: do the coefficients meet the conditions of the optimum on the fold's training rows, recomputed from the rows?
+
+    Every coefficient other than 0 has a gradient of ``alpha l1 sign(w)``, every 0 one of at most ``alpha l1``.
+    """
+    p, alpha, l1 = kept_panel(s, d), 0.001, 0.5
+    coefs = lin.fit_folds(p, NAMES, _folds(s, d), H, {"elasticnet": ("elasticnet", NAMES)})
+    out = []
+    for f in _folds(s, d).collect():  # a handful of folds
+        out.append(p.where(c("pos") < lin.train_end(f, H)).withColumn("fold", F.lit(f.fold).cast("long")))
+    rows = reduce(DataFrame.unionByName, out)
+    wide = coefs.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("coef", "std_coef").alias("w")))).alias("_w"), F.first("intercept").alias("_b"))
+    fitted = rows.join(F.broadcast(wide), "fold")  # one row per fold
+    miss = c("target") - c("_b") - sum(c(x) * c("_w")[x]["coef"] for x in NAMES)
+    # covariance of the residual with each standardised feature is the gradient left over
+    grads = fitted.withColumn("_e", miss).groupBy("fold").agg(*[(F.covar_pop("_e", x) / F.stddev_pop(x)).alias(f"g_{x}") for x in NAMES], F.first("_w").alias("_w"))
+    fits = [F.when(c("_w")[x]["std_coef"] != 0, F.abs(c(f"g_{x}") - alpha * (1 - l1) * c("_w")[x]["std_coef"] - alpha * l1 * F.signum(c("_w")[x]["std_coef"])) < 1e-9)
+            .otherwise(F.abs(c(f"g_{x}")) <= alpha * l1 + 1e-9) for x in NAMES]
+    return grads.select("fold", reduce(lambda a, b: a & b, fits).alias("optimal"))
+
+
+add("elasticnet_optimal", elasticnet_optimal, "SELECT DISTINCT fold, true AS optimal FROM ftrain", dates="")
 add("score_latest", lambda s, d: lin.score_latest(feature_panel(s, d, H).dropna(subset=NAMES), NAMES))
 _FAMS = {"momentum": ["mom_20", "mom_60"], "volume": ["rel_volume"], "mean_reversion": ["boll_z"], "volatility": ["realized_vol_20"]}
 add("ablation", lambda s, d: lin.ablation(kept_panel(s, d), _FAMS, _folds(s, d), H))

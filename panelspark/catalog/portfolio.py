@@ -1,7 +1,7 @@
 """Queries over weights, costs, returns, governance, decisions, ledger statistics and resampling."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import columns as col
 from ..functions.windows import ordered
@@ -81,6 +81,19 @@ cte("ivol_b", "SELECT strategy, date, ticker, coalesce(iv, avg(iv) OVER (PARTITI
 cap_ctes("w_iv", "ivol_b", CAP)
 add("inverse_vol", lambda s, d: pf.inverse_vol(picks(s, d), returns_r(s, d), CAP).select("strategy", "date", "ticker", rc("weight").alias("weight")), f"SELECT strategy, date, ticker, {r('w')} AS weight FROM w_iv")
 add("risk_parity", lambda s, d: pf.risk_parity(picks(s, d), returns_r(s, d), CAP).select("strategy", "date", "ticker", rc("weight").alias("weight")))
+
+
+def risk_parity_balance(s, d):
+    """Per book: do all names carry the same risk, ``w_i cov(r_i, portfolio)``, before any cap, and do they sum to 1?"""
+    chosen, returns = stored(s, picks(s, d), "picks"), stored(s, returns_r(s, d), "returns")
+    w = stored(s, pf.risk_parity(chosen, returns, 1.0), "parity")
+    hist = pf.lookback_returns(chosen, returns).join(w, ["strategy", "date", "ticker"])
+    both = hist.withColumn("_p", F.sum(c("weight") * c("r")).over(Window.partitionBy("strategy", "date", "pos")))
+    risk = both.groupBy("strategy", "date", "ticker").agg((F.first("weight") * F.covar_samp("r", "_p")).alias("risk"), F.first("weight").alias("weight"))
+    return risk.groupBy("strategy", "date").agg(F.count(F.lit(1)).alias("n_names"), (F.max("risk") / F.min("risk") - 1 < 1e-6).alias("balanced"), rc(F.sum("weight"), 9).alias("total"))
+
+
+add("risk_parity_balance", risk_parity_balance, "SELECT strategy, date, count(*) AS n_names, true AS balanced, 1.0::DOUBLE AS total FROM picks GROUP BY 1, 2")
 cte("w_last", "SELECT strategy, max(rebal_no) AS last_no FROM w_eq GROUP BY 1")
 cte("w_prev", "SELECT e.strategy, rebal_no + 1 AS rebal_no, ticker, w FROM w_eq e JOIN w_last l ON e.strategy = l.strategy WHERE rebal_no < last_no")
 cte("w_delta", """SELECT coalesce(a.strategy, b.strategy) AS strategy, coalesce(a.rebal_no, b.rebal_no) AS rebal_no, coalesce(a.ticker, b.ticker) AS ticker, coalesce(b.w, 0) AS old_w, coalesce(a.w, 0) AS new_w

@@ -439,7 +439,7 @@ add("forward_return", lambda s, d: xs.member_forward_return(t.bars_filled(s, d),
     f"""SELECT date, ticker, {r('fwd')} AS fwd FROM labels b WHERE EXISTS (SELECT 1 FROM membership m WHERE m.ticker = b.ticker
         AND b.date >= m.start AND b.date <= coalesce(m."end", b.date))""")
 add("label_self_join", lambda s, d: add_features(t.bars_filled(s, d), [xs.forward_return(20)]).select("date", "ticker", rc("fwd").alias("fwd")),
-    f"SELECT a.date, a.ticker, {r('b.close / a.close - 1')} AS fwd FROM filled a LEFT JOIN filled b ON a.ticker = b.ticker AND b.pos = a.pos + 20")
+    f"WITH lsj AS MATERIALIZED (SELECT date, pos, ticker, close FROM filled) SELECT a.date, a.ticker, {r('b.close / a.close - 1')} AS fwd FROM lsj a LEFT JOIN lsj b ON a.ticker = b.ticker AND b.pos = a.pos + 20")
 add("demean_target", lambda s, d: _labels(s, d).select("date", "ticker", rc("target").alias("target")),
     f"SELECT date, ticker, {r('target')} AS target FROM labels")
 add("demean_target_sector",
