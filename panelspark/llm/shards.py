@@ -10,6 +10,8 @@ from .common import scratch, stored
 SEED = 20
 #: Bytes of text a bucket is meant to hold; a task shuffles one bucket after the other in memory.
 BUCKET_BYTES = 8 << 20
+#: Buckets that one task shuffles, one after the other.
+TASK_BUCKETS = 8
 #: Buckets whose offsets one task sums; their sums are summed in turn.
 FAN = 4096
 
@@ -56,7 +58,9 @@ def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id"
     offsets = stored(_offsets(counts), "bucket-offsets")
     order = [F.xxhash64(F.lit(seed), own[id_col]), F.col(own[id_col]), F.xxhash64(*own.values())]
     # offsets are one row for each bucket; the sort comes after the join, which would be free to drop it
-    placed = rows.repartition("bucket").join(offsets, "bucket").sortWithinPartitions("bucket", *order)
+    # tasks follow from the buckets, not from the session: about eight buckets each at any size
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
+    placed = rows.repartition(tasks, "bucket").join(offsets, "bucket").sortWithinPartitions("bucket", *order)
     schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for c, n in own.items()], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def shuffled(table: pa.Table):
