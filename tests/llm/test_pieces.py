@@ -4,10 +4,10 @@ import pytest
 import sentencepiece
 
 from panelspark.llm.catalog import QUERIES
-from panelspark.llm.common import TOKENIZERS
+from panelspark.llm.common import vocabulary
 from panelspark.llm.pieces import decode, encode, load_model
 
-PATH = f"{TOKENIZERS}/piece_bpe_32k.model"
+PATH = vocabulary("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
