@@ -94,12 +94,13 @@ cte("bp_label", """SELECT *, fwd - avg(fwd) OVER (PARTITION BY date) AS target F
     WHERE m.ticker = x.ticker AND x.date >= m.start AND (m."end" IS NULL OR x.date <= m."end")) THEN ahead / close - 1 END AS fwd FROM (
     SELECT date, ticker, close, lead(close, 20) OVER w AS ahead, row_number() OVER w AS i FROM filled WINDOW w AS (PARTITION BY ticker ORDER BY date)) x)""")
 cte("bp_rank", "SELECT date, ticker, " + ", ".join(f"{pct_sql(x)} - 0.5 AS {n}" for n, x in (("rk_mom", "mom"), ("rk_vol", "v20"), ("rk_rs", "rs"), ("rk_liq", "liq"), ("rk_q", "q"))) + " FROM bases_q")
-cte("bp_raw", "SELECT f.*, k.* EXCLUDE (date, ticker) FROM fpanel f JOIN bp_rank k ON f.date = k.date AND f.ticker = k.ticker")
+_clean = ", ".join(f"CASE WHEN isfinite({v}) THEN {v} END AS {v}" for v in ("mom20", "mom60", "rv", "bz", "v20"))
+cte("bp_raw", f"SELECT f.* REPLACE ({_clean}), k.* EXCLUDE (date, ticker) FROM fpanel f JOIN bp_rank k ON f.date = k.date AND f.ticker = k.ticker")
 cte("bp_cut", "SELECT date, " + ", ".join(f"quantile_cont({v}, 0.01) AS lo_{v}, quantile_cont({v}, 0.99) AS hi_{v}" for v in _PANEL.values()) + " FROM bp_raw GROUP BY 1")
-# the longest feature needs 120 rows before a name's first complete one
+# the longest feature needs 120 rows before a name's first complete one; a flat month has no score of its band
 add("build_panel", lambda s, d: full_panel(s, d, winsorize_pct=0.01)[0].select("date", "ticker", *[rc(x).alias(x) for x in _PANEL], rc("target").alias("target")),
     "SELECT p.date, p.ticker, " + ", ".join(f"{r(f'greatest(least({v}, hi_{v}), lo_{v})')} AS {k}" for k, v in _PANEL.items()) + f""", {r('target')} AS target
-    FROM bp_raw p JOIN bp_cut q ON p.date = q.date JOIN bp_label l ON l.date = p.date AND l.ticker = p.ticker WHERE i > 120 AND target IS NOT NULL""")
+    FROM bp_raw p JOIN bp_cut q ON p.date = q.date JOIN bp_label l ON l.date = p.date AND l.ticker = p.ticker WHERE i > 120 AND target IS NOT NULL AND bz IS NOT NULL""")
 
 
 # --- books of the daily run ----------------------------------------------------------------------------------------
