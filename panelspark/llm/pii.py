@@ -71,13 +71,34 @@ KINDS = (
 )
 #: Code points on either side, up to the next match of the kind, in which context words count, what they add, and the least score of an added span.
 NEAR, RAISE, LEAST = 40, 0.2, 0.5
-_SPANS = "array<struct<kind: string, start: int, `end`: int, score: double>>"
+_SPAN = "struct<kind: string, start: int, `end`: int, score: double>"
+_SPANS = f"array<{_SPAN}>"
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _parts(values: str) -> str:
+    """SQL of an array in successive parts of as many elements as there are parts, at least 128."""
+    return (
+        f"element_at(transform(array({values}), v -> element_at(transform(array(greatest(128, cast(sqrt(size(v)) AS int))), n ->"
+        " transform(sequence(0, size(v) div n), j -> slice(v, j * n + 1, n))), 1)), 1)")
+
+
+def _scanned(values: str, out: str, step: str) -> str:
+    """SQL of a fold ``(a, x) -> step`` over an array that carries ``a.at`` from 0 and gathers rows in ``a.out``.
+
+    Appending copies the array appended to, so rows are gathered part by part: a text of n matches takes
+    n * sqrt(n) copied references, not n * n.
+    """
+    empty = f"cast(array() AS array<{out}>)"
+    return (
+        f"aggregate({_parts(values)}, struct(0 AS at, cast(array() AS array<array<{out}>>) AS out),"
+        f" (s, p) -> aggregate(p, struct(s.at AS at, {empty} AS out), (a, x) -> {step},"
+        " r -> struct(r.at AS at, concat(s.out, array(r.out)) AS out)), s -> flatten(s.out))")
+
+
 def findings(text: Column) -> list[tuple[str, Column]]:
     """Steps ``(name, column)`` to be added one after the other; the last one, ``_found``, is
     ``array<struct<kind, start, end, score>>`` by kind and start, in code points, end exclusive."""
@@ -102,16 +123,16 @@ def findings(text: Column) -> list[tuple[str, Column]]:
                 f"zip_with(zip_with(zip_with(slice({g}, 1, size({m})), {m}, (g, m) -> struct(g AS g, m AS m)), _w_{k.name}, (x, w) -> struct(x.g AS g, x.m AS m, w AS w)),"
                 f" slice({g}, 2, size({m})), (x, h) -> struct(length(x.g) AS gap, length(x.m) AS step, x.w AS m,"
                 f" concat(right(x.g, {NEAR}), ' ', substring(h, length(x.w) - length(x.m) + 1, {NEAR})) AS near))")
-        located = (
-            f"aggregate({pieces}, struct(0 AS at, cast(array() AS array<struct<start: int, m: string, near: string>>) AS out),"
-            " (a, x) -> struct(a.at + x.gap + x.step AS at, concat(a.out, array(struct(a.at + x.gap AS start, x.m AS m, x.near AS near))) AS out), a -> a.out)")
+        located = _scanned(
+            pieces, "struct<start: int, m: string, near: string>",
+            "struct(a.at + x.gap + x.step AS at, concat(a.out, array(struct(a.at + x.gap AS start, x.m AS m, x.near AS near))) AS out)")
         scored = (
             f"transform(filter({located}, s -> {k.valid.replace('m,', 's.m,')}), s -> struct('{k.name}' AS kind, s.start AS start,"
             f" s.start + length(s.m) AS `end`, least(1.0D, {k.score}D + if(s.near RLIKE '(?i){k.words}', {RAISE}D, 0.0D)) AS score))"
             .replace("\\b", "\\\\b"))
         kept = scored if k.base else f"filter({scored}, s -> s.score >= {LEAST}D)"
         if k.group:  # heads may stand inside the match before them
-            kept = f"aggregate({kept}, cast(array() AS {_SPANS}), (a, s) -> if(size(a) = 0 OR element_at(a, -1).`end` <= s.start, concat(a, array(s)), a))"
+            kept = _scanned(kept, _SPAN, "if(x.start >= a.at, struct(x.`end` AS at, concat(a.out, array(x)) AS out), a)")
         steps.append((f"_s_{k.name}", F.expr(f"if(size(_m_{k.name}) > 0, {kept}, cast(array() AS {_SPANS}))")))
     steps.append(("_found", F.concat(*[F.col(f"_s_{k.name}") for k in KINDS])))
     return steps
@@ -150,9 +171,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for name, column in findings(F.col(own[text_col])):
         out = out.withColumn(name, column)
     out = out.withColumn("_cuts", F.expr("array_sort(_found, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE b.`end` - a.`end` END)"))
+    # a last cut of nothing brings the rest of the text
+    out = out.withColumn("_pieces", F.expr(_scanned(
+        "concat(_cuts, array(struct('' AS kind, length(_text) AS start, length(_text) AS `end`, 0.0D AS score)))",
+        "struct<from: int, upto: int, tag: string>",
+        "if(x.start >= a.at, struct(x.`end` AS at, concat(a.out, array(struct(a.at AS from, x.start AS upto,"
+        " if(x.kind = '', '', concat('[', upper(x.kind), ']')) AS tag))) AS out), struct(greatest(a.at, x.`end`) AS at, a.out AS out))")))
+    # a place in a text is found by reading up to it: each part of the pieces reads in its own stretch
     cut = F.expr(
-        "aggregate(_cuts, struct(0 AS at, '' AS out), (a, s) -> if(s.start >= a.at,"
-        " struct(s.`end` AS at, concat(a.out, substring(_text, a.at + 1, s.start - a.at), '[', upper(s.kind), ']') AS out),"
-        " struct(greatest(a.at, s.`end`) AS at, a.out AS out)), a -> concat(a.out, substring(_text, a.at + 1)))")
+        f"array_join(transform(filter({_parts('_pieces')}, p -> size(p) > 0),"
+        " p -> array_join(element_at(transform(array(substring(_text, p[0].from + 1, element_at(p, -1).upto - p[0].from)),"
+        " t -> transform(p, x -> concat(substring(t, x.from - p[0].from + 1, x.upto - x.from), x.tag))), 1), '')), '')")
     text = F.when(F.size("_found") > 0, cut).otherwise(F.col(own[text_col]))
     return out.select(*[(text if c == text_col else F.col(n)).alias(c) for c, n in own.items()])
