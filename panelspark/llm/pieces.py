@@ -24,7 +24,8 @@ from .common import sliced
 SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-#: Encoded segments and tested neighbours a worker keeps; either cache starts anew when it is full.
+#: Encoded segments and tested neighbours a worker keeps, half of them in an older generation: what is met
+#: again moves to the younger one, what is not goes when that one is full.
 CACHE, FITS = 150_000, 200_000
 
 
@@ -93,6 +94,25 @@ class PieceModel:
         return _COMPILED[self.digest]
 
 
+def _linked(pieces) -> list[list[str]]:
+    """Sets of characters that stand side by side in a piece, directly or through others, the largest first."""
+    beside: dict[str, set[str]] = {}
+    for p in pieces:
+        for x, y in zip(p, p[1:]):
+            beside.setdefault(x, set()).add(y)
+            beside.setdefault(y, set()).add(x)
+    sets, seen = [], set()
+    for c in sorted(beside):
+        if c not in seen:
+            seen.add(c)
+            found = [c]
+            for x in found:
+                found += sorted(beside[x] - seen)
+                seen |= beside[x]
+            sets.append(found)
+    return sorted(sets, key=len, reverse=True)
+
+
 #: More than any id and, below zero, any code point: makes one key of two ids.
 _PAIR = 1 << 22
 
@@ -106,25 +126,27 @@ class Transducer(dict):
         self.ids = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types)) if t == _NORMAL}
         self.ranks = {p: model.scores[i] for p, i in self.ids.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(model.pieces, model.types)) if t == _BYTE}
-        self.root: list = [{}, -1]
-        for piece, i in self.ids.items():
-            node = self.root
-            for c in piece:
-                node = node[0].setdefault(c, [{}, -1])
-            node[1] = i
+        self.root = self._arcs()
+        self.longest = max(map(len, self.ids), default=1)
+        self._merges: dict[int, tuple] = {}
         self._fits: dict[int, bool] = {}
+        self._older: dict[str, bytes] = {}
+        self._older_fits: dict[int, bool] = {}
         self.segments = self._splitter()
 
     def _splitter(self) -> re.Pattern:
-        """Cuts a normalised text where no piece reaches across: before space marks and around ASCII
-        characters that only stand alone."""
+        """Cuts a normalised text where no piece reaches across: before space marks, around ASCII characters
+        that only stand alone, and between scripts, which are the large sets of characters that pieces link by
+        holding them side by side (letters of one alphabet, marks of punctuation)."""
         longer = [p for p in self.ids if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             return re.compile(".+", re.S)
         joined = {c for p in longer for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
+        scripts = [re.escape("".join(x)) for x in _linked(p.lstrip(SPACE) for p in longer) if len(x) > 8]
+        runs = "|".join([f"[{x}]+" for x in scripts] + [f"[^{SPACE}{alone}{''.join(scripts)}]+"])
         only = f"[{alone}]|" if alone else ""
-        return re.compile(f"{only}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        return re.compile(f"{only}{SPACE}*(?:{runs})|{SPACE}+")
 
     def normalized(self, text: str) -> str:
         if self.model.remove_extra_whitespaces:
@@ -133,9 +155,26 @@ class Transducer(dict):
             return ""
         return (SPACE if self.model.add_dummy_prefix else "") + text.replace(" ", SPACE)
 
+    def _arcs(self) -> dict:
+        """Prefix tree of the pieces. Each node holds, under the empty key, the arcs of a place whose longest
+        match ends in it: length and id of every piece on the way, a first character that is no piece included."""
+        root: dict = {"": ()}
+        for piece, i in sorted(self.ids.items()):
+            node = root
+            for c in piece:
+                arcs = node[""] or ((1, -2 - ord(c)),)
+                node = node.setdefault(c, {"": arcs})
+            node[""] = ((1, i),) if len(piece) == 1 else (*node[""], (len(piece), i))
+        return root
+
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self._older = dict(self)
             self.clear()
+        ids = self._older.get(segment)
+        if ids is not None:
+            self[segment] = ids
+            return ids
         path = self.shortest_path(segment)
         out = []
         for code in path:
@@ -156,31 +195,28 @@ class Transducer(dict):
         """Ids along the best path; a character without a piece counts as -2 minus its code point."""
         return self._least_cost(s) if self.model.kind == _UNIGRAM else self._only_path(s)
 
-    def _arcs(self, s: str, i: int) -> list[tuple[int, int]]:
-        """End and id of each piece that begins at ``i``, by length; the character alone if it is no piece."""
-        children, out, j = self.root[0], [], i
-        for c in s[i:]:
-            node = children.get(c)
-            if node is None:
+    def _arcs_at(self, s: str, i: int) -> tuple[tuple[int, int], ...]:
+        """Length and id of each piece that begins at ``i``, by length; the character alone if it is no piece."""
+        node = self.root
+        for c in s[i:i + self.longest]:
+            following = node.get(c)
+            if following is None:
                 break
-            children, t = node
-            j += 1
-            if t >= 0:
-                out.append((j, t))
-        if not out or out[0][0] > i + 1:
-            out.insert(0, (i + 1, -2 - ord(s[i])))
-        return out
+            node = following
+        return node[""] or ((1, -2 - ord(s[i])),)
 
     def _only_path(self, s: str) -> list[int]:
         """The path without an infinite arc: depth first, longest piece first. The start of a text has one
         encoding, so a place that leads nowhere is given up whatever comes before it."""
         n, fits, path, places, given_up = len(s), self._fits, [-1], [0], set()
-        open_arcs = [self._arcs(s, 0)]
+        arcs = self._arcs_at(s, 0)
+        left, at, u = len(arcs), 0, -1
+        waiting: list = []
         while True:
-            arcs, u = open_arcs[-1], path[-1]
-            while arcs:
-                j, t = arcs.pop()
-                if j in given_up:
+            while left:
+                left -= 1
+                step, t = arcs[left]
+                if at + step in given_up:
                     continue
                 fit = fits.get(u * _PAIR + t)
                 if self.fit(u, t) if fit is None else fit:
@@ -188,13 +224,17 @@ class Transducer(dict):
             else:
                 given_up.add(places.pop())
                 path.pop()
-                open_arcs.pop()
+                arcs, left = waiting.pop()
+                at, u = places[-1], path[-1]
                 continue
             path.append(t)
-            if j == n:
+            at, u = at + step, t
+            if at == n:
                 return path[1:]
-            places.append(j)
-            open_arcs.append(self._arcs(s, j))
+            places.append(at)
+            waiting.append((arcs, left))
+            arcs = self._arcs_at(s, at)
+            left = len(arcs)
 
     def _least_cost(self, s: str) -> list[int]:
         n = len(s)
@@ -202,7 +242,8 @@ class Transducer(dict):
         last, back = [-1] * (n + 1), [0] * (n + 1)
         unknown = 10.0 - min(self.model.scores)
         for i in range(n):
-            for j, t in self._arcs(s, i):
+            for step, t in self._arcs_at(s, i):
+                j = i + step
                 new = weight[i] + (unknown if t < 0 else -self.model.scores[t])
                 if weight[j] is None or new < weight[j]:
                     weight[j], last[j], back[j] = new, t, i
@@ -217,15 +258,54 @@ class Transducer(dict):
 
     def fit(self, u: int, t: int) -> bool:
         """Whether merging the text of the two gives these two; ``u`` is -1 at the start."""
-        if len(self._fits) >= FITS:
+        key = u * _PAIR + t
+        fit = self._older_fits.get(key)
+        if fit is None:
+            fit = self._stay_apart(u, t)
+        if len(self._fits) >= FITS // 2:
+            self._older_fits = dict(self._fits)
             self._fits.clear()
-        a, b = self._string(u), self._string(t)
-        fit = a + b not in self.ids and self.merged(a + b) == [a, b] if a else self.merged(b) == [b]
-        self._fits[u * _PAIR + t] = fit
+        self._fits[key] = fit
         return fit
 
-    def merged(self, s: str) -> list[str]:
-        """Merges of a short string in order of score, the leftmost first."""
+    def _stay_apart(self, u: int, t: int) -> bool:
+        """Plays the merges of the two pieces against each other: the better score goes first, of equals the one
+        further left. They stay two unless the pair across the border comes first at some time."""
+        whole, right, _, rights = self._history(t)
+        if u == -1 or not whole:
+            return whole
+        whole, _, left, lefts = self._history(u)
+        if not whole:
+            return False
+        rank, never = self.ranks.get, float("-inf")
+        end = ((never, "", ""),)
+        lefts, rights = lefts + end, rights + end
+        i = k = 0
+        while True:
+            across = rank(left + right, never)
+            a, b = lefts[i][0], rights[k][0]
+            if a >= across and a >= b and a > never:
+                left = lefts[i][2]
+                i += 1
+            elif across >= b:
+                return across == never
+            else:
+                right = rights[k][1]
+                k += 1
+
+    def _history(self, code: int) -> tuple:
+        """Whether merging the text of a piece gives it back; its first and last character; its merges, each as
+        score, first part and last part after it. Kept for each piece of the vocabulary."""
+        found = self._merges.get(code)
+        if found is None:
+            text, steps = self._string(code), []
+            found = (self.merged(text, steps) == [text], text[0], text[-1], tuple(steps))
+            if code >= 0:
+                self._merges[code] = found
+        return found
+
+    def merged(self, s: str, steps: list | None = None) -> list[str]:
+        """Merges of a short string in order of score, the leftmost first; ``steps`` takes each score and state."""
         parts, ranks = list(s), self.ranks
         pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
         while pairs:
@@ -239,6 +319,8 @@ class Transducer(dict):
                 pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
             if at < len(pairs):
                 pairs[at] = ranks.get(parts[at] + parts[at + 1])
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
         return parts
 
     @cached_property
