@@ -15,6 +15,7 @@ import struct
 from dataclasses import dataclass
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -26,7 +27,7 @@ _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: Encoded segments and tested neighbours a worker keeps, half of them in an older generation: what is met
 #: again moves to the younger one, what is not goes when that one is full.
-CACHE, FITS = 150_000, 200_000
+CACHE, FITS = 150_000, 400_000
 
 
 def _fields(data: bytes):
@@ -126,8 +127,12 @@ class Transducer(dict):
         self.ids = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types)) if t == _NORMAL}
         self.ranks = {p: model.scores[i] for p, i in self.ids.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(model.pieces, model.types)) if t == _BYTE}
-        self.root = self._arcs()
-        self.longest = max(map(len, self.ids), default=1)
+        #: Reads every piece of an input in one pass, by end and then longest first.
+        self.reader = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.reader.add_word(piece, (len(piece), i))
+        self.reader.make_automaton()
+        self.single = frozenset(p for p in self.ids if len(p) == 1)
         self._merges: dict[int, tuple] = {}
         self._fits: dict[int, bool] = {}
         self._older: dict[str, bytes] = {}
@@ -155,18 +160,6 @@ class Transducer(dict):
             return ""
         return (SPACE if self.model.add_dummy_prefix else "") + text.replace(" ", SPACE)
 
-    def _arcs(self) -> dict:
-        """Prefix tree of the pieces. Each node holds, under the empty key, the arcs of a place whose longest
-        match ends in it: length and id of every piece on the way, a first character that is no piece included."""
-        root: dict = {"": ()}
-        for piece, i in sorted(self.ids.items()):
-            node = root
-            for c in piece:
-                arcs = node[""] or ((1, -2 - ord(c)),)
-                node = node.setdefault(c, {"": arcs})
-            node[""] = ((1, i),) if len(piece) == 1 else (*node[""], (len(piece), i))
-        return root
-
     def __missing__(self, segment: str) -> bytes:
         if len(self) >= CACHE // 2:
             self._older = dict(self)
@@ -191,67 +184,40 @@ class Transducer(dict):
         found = self.segments.findall(self.normalized(text or ""))
         return np.frombuffer(b"".join(map(self.__getitem__, found)), "<i4")
 
+    def lattice(self, s: str):
+        """The transducer composed with an input: its arcs as last character, (length, id), by end and then
+        longest first. A character that is no piece is an arc of its own, numbered -2 minus its code point."""
+        if self.single.issuperset(s):
+            return self.reader.iter(s)
+        strange = [(i, (1, -2 - ord(c))) for i, c in enumerate(s) if c not in self.single]
+        return sorted([*self.reader.iter(s), *strange], key=lambda arc: (arc[0], -arc[1][0]))
+
     def shortest_path(self, s: str) -> list[int]:
-        """Ids along the best path; a character without a piece counts as -2 minus its code point."""
-        return self._least_cost(s) if self.model.kind == _UNIGRAM else self._only_path(s)
-
-    def _arcs_at(self, s: str, i: int) -> tuple[tuple[int, int], ...]:
-        """Length and id of each piece that begins at ``i``, by length; the character alone if it is no piece."""
-        node = self.root
-        for c in s[i:i + self.longest]:
-            following = node.get(c)
-            if following is None:
-                break
-            node = following
-        return node[""] or ((1, -2 - ord(s[i])),)
-
-    def _only_path(self, s: str) -> list[int]:
-        """The path without an infinite arc: depth first, longest piece first. The start of a text has one
-        encoding, so a place that leads nowhere is given up whatever comes before it."""
-        n, fits, path, places, given_up = len(s), self._fits, [-1], [0], set()
-        arcs = self._arcs_at(s, 0)
-        left, at, u = len(arcs), 0, -1
-        waiting: list = []
-        while True:
-            while left:
-                left -= 1
-                step, t = arcs[left]
-                if at + step in given_up:
-                    continue
-                fit = fits.get(u * _PAIR + t)
-                if self.fit(u, t) if fit is None else fit:
-                    break
-            else:
-                given_up.add(places.pop())
-                path.pop()
-                arcs, left = waiting.pop()
-                at, u = places[-1], path[-1]
-                continue
-            path.append(t)
-            at, u = at + step, t
-            if at == n:
-                return path[1:]
-            places.append(at)
-            waiting.append((arcs, left))
-            arcs = self._arcs_at(s, at)
-            left = len(arcs)
-
-    def _least_cost(self, s: str) -> list[int]:
+        """Ids along the path of least weight; of equal weights the one with the longest last piece."""
         n = len(s)
-        weight: list = [0.0] + [None] * n
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        unknown = 10.0 - min(self.model.scores)
-        for i in range(n):
-            for step, t in self._arcs_at(s, i):
-                j = i + step
-                new = weight[i] + (unknown if t < 0 else -self.model.scores[t])
-                if weight[j] is None or new < weight[j]:
-                    weight[j], last[j], back[j] = new, t, i
-        path, at = [], n
-        while at:
-            path.append(last[at])
-            at = back[at]
-        return path[::-1]
+        last, lengths = [-1] * (n + 1), [0] * (n + 1)
+        if self.model.kind == _UNIGRAM:
+            scores, unknown = self.model.scores, 10.0 - min(self.model.scores)
+            weight = [0.0] + [float("inf")] * n
+            for end, (length, t) in self.lattice(s):
+                new = weight[end + 1 - length] + (unknown if t < 0 else -scores[t])
+                if new < weight[end + 1]:
+                    weight[end + 1], last[end + 1], lengths[end + 1] = new, t, length
+        else:  # weights are 0 or infinite, and one arc into each place has weight 0
+            fits = self._fits
+            done = -1
+            for end, (length, t) in self.lattice(s):
+                if end != done:
+                    u = last[end + 1 - length]
+                    fit = fits.get(u * _PAIR + t)
+                    if self.fit(u, t) if fit is None else fit:
+                        last[end + 1], lengths[end + 1], done = t, length, end
+        path = []
+        while n:
+            path.append(last[n])
+            n -= lengths[n]
+        path.reverse()
+        return path
 
     def _string(self, code: int) -> str:
         return self.model.pieces[code] if code >= 0 else chr(-2 - code) if code < -1 else ""

@@ -56,3 +56,30 @@ def test_unigram_models_take_the_best_score():
     assert [model.pieces[i] for i in machine.encode("  ab ")] == ["▁", "ab"]
     assert [model.pieces[i] for i in machine.encode("aab")] == ["▁a", "ab"]
     assert [model.pieces[i] for i in machine.encode("az")] == ["▁a", "<unk>"]
+
+
+def test_neighbours_are_judged_as_their_merges_go():
+    machine = load_model(PATH).transducer()
+    rng = random.Random(4)
+    pieces = machine.model.pieces
+    some = sorted(machine.ids.values())
+    short = [i for i in some if len(pieces[i]) < 4]
+    for n in range(20_000):
+        u, t = rng.choice((some, short)[n % 2]), rng.choice((some, short)[n % 2])
+        whole = pieces[u] + pieces[t]
+        assert machine._stay_apart(u, t) == (whole not in machine.ids and machine.merged(whole) == [pieces[u], pieces[t]]), whole
+    for t in some:
+        assert machine._stay_apart(-1, t) == (machine.merged(pieces[t]) == [pieces[t]])
+
+
+def test_no_piece_reaches_across_segments_and_small_caches_change_nothing(library, monkeypatch):
+    import panelspark.llm.pieces as module
+    machine = load_model(PATH).transducer()
+    for p in machine.ids:
+        assert machine.segments.findall(p) == [p]
+    monkeypatch.setattr(module, "CACHE", 8)
+    monkeypatch.setattr(module, "FITS", 8)
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices(list("abcdeinorst ,.éж梦1"), k=40))
+        assert machine.encode(text).tolist() == library.encode(text)
