@@ -123,12 +123,12 @@ def _filter_of(seeds: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def best_window(doc: np.ndarray, item: np.ndarray, window: int) -> tuple[int, int]:
-    """Most equal tokens in an aligned window, and where that window starts."""
+def best_window(doc: np.ndarray, item: np.ndarray, window: int) -> tuple[int, int, int]:
+    """Most equal tokens in an aligned window, and where the first and the last such window start."""
     equal = np.concatenate(([0], np.cumsum(doc == item)))
     sums = equal[window:] - equal[:-window]
     at = int(sums.argmax())
-    return int(sums[at]), at
+    return int(sums[at]), at, len(sums) - 1 - int(sums[::-1].argmax())
 
 
 def _verified(joined: DataFrame) -> DataFrame:
@@ -143,14 +143,14 @@ def _verified(joined: DataFrame) -> DataFrame:
                 n, window = min(len(x), len(y)), min(WINDOW, length)
                 if n < window:
                     continue
-                equal, first = best_window(x[:n], y[:n], window)
+                equal, first, last = best_window(x[:n], y[:n], window)
                 if equal >= (EQUAL if length >= WINDOW else length):
-                    out.append((d, i, at - lead + first, equal))
-            columns = list(zip(*out)) or [()] * 4
+                    out.append((d, i, at - lead + first, at - lead + last + window - 1, equal))
+            columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["id", "item_id", "at", "equal"])
+                [pa.array(v, type=k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["id", "item_id", "at", "upto", "equal"])
 
-    return joined.mapInArrow(run, "id long, item_id long, at long, equal int")
+    return joined.mapInArrow(run, "id long, item_id long, at long, upto long, equal int")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -180,7 +180,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     checked = _verified(found.join(right, "hash"))
     return (
         checked.groupBy("id", "item_id")
-        .agg(F.min("at").alias("first_token"), (F.max("at") + WINDOW - 1).alias("last_token"), F.max("equal").alias("most_equal"))
+        .agg(F.min("at").alias("first_token"), F.max("upto").alias("last_token"), F.max("equal").alias("most_equal"))
         .select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "first_token", "last_token", "most_equal"))
 
 

@@ -36,7 +36,7 @@ _MOD97 = (
     " (a, c) -> if(c >= 'A', a * 100 + ascii(c) - 55, a * 10 + cast(c AS int)) % 97) = 1").format(d=_IBAN)
 _PART = "trim(LEADING '0' FROM p)"
 
-#: Characters of an IBAN by country: the registry, then the codes in use beside it.
+#: Fixed values. Characters of an IBAN by country: the registry, then the codes in use beside it.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",

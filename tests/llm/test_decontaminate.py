@@ -73,3 +73,11 @@ def test_odd_documents(spark, odd_documents, no_documents):
     kept = without_contaminated(odd_documents, items)
     assert kept.columns == odd_documents.columns and kept.count() == 8
     assert contaminated(no_documents, items).count() == 0 and contaminated(odd_documents, items.limit(0)).count() == 0
+
+
+def test_last_token_ends_the_passage(spark):
+    items = spark.createDataFrame([(1, "one two three four five"), (2, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "x y one two three four five z"), (2, "a b " + " ".join(f"w{k}" for k in range(20)) + " c")], "doc_id long, text string")
+    rows = sorted(contaminated(docs, items).collect())
+    assert [(r.doc_id, r.item_id, r.first_token, r.last_token) for r in rows] == [(1, 1, 2, 6), (2, 2, 2, 21)]
