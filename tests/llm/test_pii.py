@@ -105,7 +105,7 @@ def test_texts_of_many_matches_equal_plain_search(spark):
     start = perf_counter()
     rows = {r.doc_id: r for r in find_pii(df).collect()}
     clean = {r.doc_id: r.text for r in redact(df).collect()}
-    assert perf_counter() - start < 90
+    assert perf_counter() - start < 300  # a fold that copies all it has gathered takes far longer
     for i, text in enumerate(texts):
         agrees(rows[i], text)
         at, out = 0, []
