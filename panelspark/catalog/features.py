@@ -41,7 +41,12 @@ def ewm_ctes(stem: str, src: str, xs: dict[str, tuple[str, float]]) -> str:
 SPARSE = "CASE WHEN date <= 3000 OR date > 14000 AND date % 3 = 0 THEN v END"
 cte("sparse", """SELECT l_returnflag AS ticker, l_quantity AS v, row_number() OVER (PARTITION BY l_returnflag
     ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS date FROM lineitem""")
-ewm_ctes("ews", "sparse", {"mean": (SPARSE, 0.01)})
+cte("ews_n", f"SELECT *, count(x) OVER ({W}) AS n FROM (SELECT *, {SPARSE} AS x FROM sparse)")
+# the closed form starts anew every 20,000 known values: exp of more than about 70,000 of them is infinite
+RATE = repr(-math.log1p(-0.01))
+cte("ews_s", f"""SELECT *, exp(-{RATE} * m) AS w, exp(-{RATE} * m) * sum(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.01 END * x * exp({RATE} * m))
+    OVER (PARTITION BY ticker, seg ORDER BY date) AS s
+    FROM (SELECT *, greatest(n - 1, 0) // 20000 AS seg, greatest(n - 1, 0) % 20000 + 1 AS m FROM ews_n)""")
 
 
 def ewm_sparse(spark, d):
@@ -52,7 +57,13 @@ def ewm_sparse(spark, d):
     return ewm_scan(rows, ["ticker"], ["date"], "x", 0.01, "mean").select("ticker", "date", rc("mean").alias("mean"))
 
 
-add("ewm_sparse", ewm_sparse, f"SELECT ticker, date, {r('mean')} AS mean FROM ews")
+add("ewm_sparse", ewm_sparse,
+    f"""WITH RECURSIVE ends AS (SELECT ticker, seg, arg_max(s, date) AS s, arg_max(w, date) AS w FROM ews_s GROUP BY 1, 2),
+        into_next AS (
+            SELECT ticker, seg + 1 AS seg, s AS y FROM ends WHERE seg = 0
+            UNION ALL SELECT e.ticker, e.seg + 1, e.s + e.w * i.y FROM into_next i JOIN ends e ON e.ticker IS NOT DISTINCT FROM i.ticker AND e.seg = i.seg)
+        SELECT a.ticker, a.date, {r('a.s + coalesce(a.w * i.y, 0)')} AS mean
+        FROM ews_s a LEFT JOIN into_next i ON a.ticker IS NOT DISTINCT FROM i.ticker AND a.seg = i.seg""", dates="")
 
 cte("px", f"""SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl, row_number() OVER w AS i
     FROM filled WINDOW w AS ({W})""")

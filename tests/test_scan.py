@@ -101,3 +101,21 @@ def test_fold_closes_every_series(spark):
         return (lambda row: seen.append(row) or []), lambda: [(seen[0][0], sum(v for _, v in seen))]
 
     assert {tuple(r) for r in carried(df, ["k"], ["v"], fold, "k string, total long").collect()} == {("a", 3), ("b", 5), (None, 7)}
+
+
+def test_long_series_match_the_sql(spark, tmp_path):
+    """The closed form of the SQL has to start anew: one of 82,000 known values went to infinity."""
+    import duckdb
+    from panelspark.catalog import ORACLES, QUERIES
+    duckdb.sql("""SELECT CASE WHEN i % 50 > 0 THEN 'A' WHEN i % 100 > 0 THEN 'B' END AS l_returnflag, i AS l_orderkey, 1 AS l_linenumber, i % 7 AS l_partkey,
+        i % 5 AS l_suppkey, (1 + hash(i) % 50)::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice FROM range(250000) r(i)
+        """).write_parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["ewm_sparse"](spark, str(tmp_path)).toPandas()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+        want = con.execute(ORACLES["ewm_sparse"]).df()
+    order = ["ticker", "date"]
+    got, want = (x.fillna({"ticker": "~"}).sort_values(order, ignore_index=True) for x in (got, want))
+    assert want["mean"].between(1, 50).all()
+    assert len(got) == 250_000 and got[order].equals(want[order])
+    np.testing.assert_allclose(got["mean"], want["mean"], rtol=0, atol=1.1e-6)
