@@ -132,8 +132,8 @@ cte("mg_all", """SELECT 'buy_hold' AS strategy, date, r1 AS ret FROM mg_in WHERE
     UNION ALL SELECT * FROM (SELECT 'price_regime', date, r1 * coalesce(lag(p) OVER (PARTITION BY 1 ORDER BY date), 0) AS ret FROM mg_in) WHERE ret IS NOT NULL
     UNION ALL SELECT * FROM (SELECT 'macro_regime', date, r1 * coalesce(lag(q) OVER (PARTITION BY 1 ORDER BY date), 0) AS ret FROM mg_in) WHERE ret IS NOT NULL""")
 cte("mg_nav", "SELECT *, nav / max(nav) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY date)) AS nav FROM mg_all)")
-cte("mg_perf", "SELECT strategy, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, min(dd) AS mdd FROM mg_nav GROUP BY 1")
+cte("mg_perf", "SELECT strategy, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe, min(dd) AS mdd FROM mg_nav GROUP BY 1")
 cte("mg_wide", "SELECT max(sharpe) FILTER (WHERE strategy = 'macro_regime') AS ms, max(sharpe) FILTER (WHERE strategy = 'price_regime') AS ps, max(sharpe) FILTER (WHERE strategy = 'buy_hold') AS bs, max(mdd) FILTER (WHERE strategy = 'macro_regime') AS md, max(mdd) FILTER (WHERE strategy = 'price_regime') AS pd FROM mg_perf")
 add("macro_gate", lambda s, d: macro_gate(s, d).select(*[rc(x).alias(x) for x in ("buy_hold_sharpe", "price_sharpe", "macro_sharpe", "sharpe_gain", "dd_gain")], "passed"),
     f"""SELECT {r('bs')} AS buy_hold_sharpe, {r('ps')} AS price_sharpe, {r('ms')} AS macro_sharpe, {r('ms - ps')} AS sharpe_gain, {r('md - pd')} AS dd_gain,
-        (ms - ps >= 0.05) OR (md - pd >= 0.02 AND ms - ps >= -0.01) AS passed FROM mg_wide""", dates="")
+        coalesce((ms - ps >= 0.05) OR (md - pd >= 0.02 AND ms - ps >= -0.01), false) AS passed FROM mg_wide""", dates="")

@@ -17,7 +17,8 @@ def macro_gate(bench: DataFrame, risk_off: DataFrame, scale: float = 100.0, min_
     """Does cutting exposure on macro stress beat the price regime alone?
 
     Passes with a Sharpe gain of at least ``min_sharpe_gain``, or with a drawdown gain of at least
-    ``min_dd_gain`` at no more than 0.01 Sharpe lost. ``scale`` divides returns (noisy inputs).
+    ``min_dd_gain`` at no more than 0.01 Sharpe lost. A Sharpe ratio without deviation, as that of a regime
+    that is never on, is unknown, and the gate does not pass on it. ``scale`` divides returns (noisy inputs).
     """
     w = rg._spec(())
     off = calendar_left_join(bench.select("date"), risk_off, ["date"], "forward")
@@ -38,4 +39,4 @@ def macro_gate(bench: DataFrame, risk_off: DataFrame, scale: float = 100.0, min_
         (pick("macro_regime", "sharpe") - pick("price_regime", "sharpe")).alias("sharpe_gain"),
         (pick("macro_regime", "max_drawdown") - pick("price_regime", "max_drawdown")).alias("dd_gain"))
     passed = (c("sharpe_gain") >= min_sharpe_gain) | ((c("dd_gain") >= min_dd_gain) & (c("sharpe_gain") >= -0.01))
-    return out.withColumn("passed", passed)
+    return out.withColumn("passed", F.coalesce(passed, F.lit(False)))

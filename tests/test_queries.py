@@ -35,3 +35,17 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 200 and not any(k.startswith('op1_') for k in n) and 'pipeline' not in n and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_a_regime_that_is_never_on_does_not_pass_the_gate(spark, folder, tmp_path):
+    """The curve is inverted on every day, so the macro regime has no deviation and no Sharpe ratio."""
+    import duckdb
+    for name in ("lineitem", "part"):
+        os.symlink(f"{folder}/{name}.parquet", tmp_path / f"{name}.parquet")
+    duckdb.sql(f"SELECT * REPLACE('O' AS o_orderstatus) FROM '{folder}/orders.parquet'").write_parquet(str(tmp_path / "orders.parquet"))
+    got = entry_module.queries()["macro_gate"](spark, str(tmp_path)).toPandas()
+    with duckdb.connect() as con:
+        for name in ("lineitem", "part", "orders"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+        assert compare(got, con.execute(entry_module.oracle_sql()["macro_gate"]).df()) == ""
+    assert got.macro_sharpe.isna().all() and got.passed.tolist() == [False]
