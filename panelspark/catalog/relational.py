@@ -169,7 +169,8 @@ def _form4(s, d):
     t.table(s, d, "lineitem").select(
         F.struct(F.when(c("l_returnflag") == "A", "P").when(c("l_returnflag") == "R", "S").otherwise("A").alias("transactionCode")).alias("transactionCoding"),
         F.struct(value(c("l_quantity")).alias("transactionShares"), value(c("l_extendedprice")).alias("transactionPricePerShare")).alias("transactionAmounts"),
-    ).write.format("xml").option("rootTag", "nonDerivativeTable").option("rowTag", "nonDerivativeTransaction").save(path)
+    ).write.format("xml").option("rootTag", "nonDerivativeTable").option("rowTag", "nonDerivativeTransaction").option(
+        "maxRecordsPerFile", 100_000).save(path)  # a document is not split, so about 45 MB each
     return fil.read_form4_xml(s, path)
 
 

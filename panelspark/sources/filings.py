@@ -82,7 +82,11 @@ FORM4_SCHEMA = T.StructType([
 
 
 def read_form4_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Open-market transactions of ownership documents with their signed value."""
+    """Open-market transactions of ownership documents with their signed value.
+
+    One task reads a document from end to end and takes several small ones: a table has to be landed in
+    documents of bounded size, not in one that grows with it.
+    """
     raw = spark.read.format("xml").option("rowTag", "nonDerivativeTransaction").schema(FORM4_SCHEMA).load(path)
     flat = raw.select(
         c("transactionCoding.transactionCode").alias("code"),

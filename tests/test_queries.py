@@ -49,3 +49,13 @@ def test_a_regime_that_is_never_on_does_not_pass_the_gate(spark, folder, tmp_pat
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
         assert compare(got, con.execute(entry_module.oracle_sql()["macro_gate"]).df()) == ""
     assert got.macro_sharpe.isna().all() and got.passed.tolist() == [False]
+
+
+def test_form4_documents_stay_small(spark):
+    """A document is read by one task; all 600,000 rows gave one of 269 MB."""
+    folder = "/root/testdata/sf0.1"
+    df = entry_module.queries()["read_form4_xml"](spark, folder)
+    sizes = [os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles()]
+    assert max(sizes) < 50e6 and sum(sizes) > 2e8
+    kept = spark.read.parquet(f"{folder}/lineitem.parquet").where("l_returnflag <> 'N'").count()
+    assert sum(r.n for r in df.collect()) == kept
