@@ -25,6 +25,8 @@ GENERATION = 100_000
 #: Words of more bytes than this walk their tree alone; entries of the arrays that a batch of words takes.
 LONG_WORD, BATCH = 256, 1 << 17
 NONE = np.int64(1) << 62
+#: The id that stands for a line end between pieces; no vocabulary reaches it.
+MARK = b"\xff\xff\xff\xff"
 #: Characters on whose classes, case and composition Python and the tokenizers library agree one by one.
 _PLAIN = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 #: Pattern of a byte-level splitter that brings none of its own (fixed value).
@@ -85,7 +87,7 @@ class BpeModel:
         return regex.compile(self.pattern).findall
 
     @cached_property
-    def _find_ascii(self) -> Callable[[str], list[str]]:
+    def _ascii_pattern(self) -> str:
         """The same pattern for ASCII texts, whose letters, numbers and spaces the standard library knows too."""
         out, inside, i = [], False, 0
         while i < len(self.pattern):
@@ -99,12 +101,16 @@ class BpeModel:
             inside = True if one == "[" else False if one == "]" else inside
             out.append(self.pattern[i:i + step])
             i += step
-        return re.compile("".join(out), re.ASCII).findall
+        return "".join(out)
+
+    @cached_property
+    def _find_ascii(self) -> Callable[[str], list[str]]:
+        return re.compile(self._ascii_pattern, re.ASCII).findall
 
     @cached_property
-    def letter_runs(self) -> bool:
-        """Is a run of ASCII letters always one word, the same in capitals?"""
-        return self.drops_spaces and self.lower and self._find("xyz") == ["xyz"]
+    def _find_lines(self) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+        """Words and line ends, of texts with other characters and of ASCII texts."""
+        return regex.compile(f"{self.pattern}|\n").findall, re.compile(f"{self._ascii_pattern}|\n", re.ASCII).findall
 
     @cached_property
     def _cut(self) -> re.Pattern | None:
@@ -133,6 +139,16 @@ class BpeModel:
         normal = library.normalizer.normalize_str(text) if library.normalizer else text
         return [bytes(back[c] for c in w).decode() for w, _ in library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def words_of_lines(self, lines: list[bytes]) -> list[str] | None:
+        """Words of texts without white space, a line end after those of each, for a model whose words hold none.
+
+        None if the texts hold a special token or characters that the library has to split.
+        """
+        text = b"\n".join([*lines, b""]).decode()
+        if "<" in text and self._cut is not None and self._cut.search(text) or not text.isascii() and _PLAIN.search(text):
+            return None
+        return self._find_lines[text.isascii()](text.lower() if self.lower else text)
+
     # -- merging
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,12 +307,32 @@ class TextEncoder:
     """
 
     def __init__(self, model: BpeModel, learn: Callable[[list[str]], list[bytes]]):
-        self.model, self.words = model, Cache(learn)
+        self.model, self.learn = model, learn
+        self.words = Cache(self._learn_words if model.drops_spaces else learn)
         self.pieces = Cache(self._learn_pieces)
 
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        if "\n" not in words:
+            return self.learn(words)
+        at = words.index("\n")
+        ids = self.learn(words[:at] + words[at + 1:])
+        return [*ids[:at], MARK, *ids[at:]]
+
     def _learn_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        whole = self.model.letter_runs  # a run of ASCII letters is one word
-        return self.words.join([[p.decode().lower()] if whole and p.isalpha() else self.model.words(p.decode()) for p in pieces])
+        """New pieces of a kind are split in one call; where that cannot be, each one by itself."""
+        known: dict[bytes, bytes] = {}
+        for some in ([p for p in pieces if p.isascii()], [p for p in pieces if not p.isascii()]):
+            words = self.model.words_of_lines(some)
+            if words is None:
+                apart = [self.model.words_of_lines([p]) is None for p in some]
+                alone = [p for p, x in zip(some, apart) if x]
+                known.update(zip(alone, self.words.join([self.model.words(p.decode()) for p in alone])))
+                some = [p for p, x in zip(some, apart) if not x]
+                words = self.model.words_of_lines(some)
+            flat = self.words.join([words])[0]
+            ends = (4 * np.flatnonzero(np.frombuffer(flat, "<u4") == 0xFFFFFFFF)).tolist()
+            known.update(zip(some, [flat[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends)]))
+        return [known[p] for p in pieces]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.model.drops_spaces:

@@ -87,6 +87,22 @@ def test_cache_keeps_two_generations():
     assert len(cache.young) == 2 and len(cache.old) == 1001
 
 
+def test_new_pieces_are_split_together(monkeypatch):
+    """Of about 3,000 new pieces only those that the library has to split, or that hold a special token, are split one by one."""
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    rng = random.Random(6)
+    pieces = [*{"".join(rng.choices(letters, k=9)) + end for letters in ("abcdeths'12", "aeüßñéİ²") for end in (".", "", "***") for _ in range(501)}][:3000]
+    pieces += ["x<|endoftext|>Y", "漢字é", "a<b"]
+    rng.shuffle(pieces)
+    model, library, alone = BpeModel(definition), Tokenizer.from_str(definition), []
+    monkeypatch.setattr(BpeModel, "words", lambda self, text, plain=BpeModel.words: alone.append(text) or plain(self, text))
+    texts = [" ".join(pieces[at:at + 300]) for at in range(0, len(pieces), 300)] + ["", "a\u0301 Σ"]
+    got = TextEncoder(model, model.ids_of).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(alone) <= {"x<|endoftext|>Y", "x", "Y", "漢字é", "a\u0301", "Σ", "σ", ""}
+
+
 def test_other_models_raise():
     with pytest.raises(ValueError):
         BpeModel('{"model": {"type": "Unigram", "vocab": {}}, "added_tokens": [], "normalizer": null}')
