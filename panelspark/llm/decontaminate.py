@@ -177,7 +177,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     found = _document_seeds(kept, bits, masks).drop("length")
     right = seeds.select("hash", F.col("id").alias("item_id"), F.col("before").alias("i_before"), F.col("tokens").alias("i_tokens"), "length").distinct()
-    checked = _verified(found.join(right, "hash"))
+    # seeds are many times their items, so sizes estimated from the items must not choose a broadcast; a join by
+    # exchange also ends the stage, so a task runs one Python worker, not one for the seeds and one for the overlaps
+    checked = _verified(found.join(right.hint("merge"), "hash"))
     return (
         checked.groupBy("id", "item_id")
         .agg(F.min("at").alias("first_token"), F.max("upto").alias("last_token"), F.max("equal").alias("most_equal"))

@@ -81,3 +81,23 @@ def test_last_token_ends_the_passage(spark):
         [(1, "x y one two three four five z"), (2, "a b " + " ".join(f"w{k}" for k in range(20)) + " c")], "doc_id long, text string")
     rows = sorted(contaminated(docs, items).collect())
     assert [(r.doc_id, r.item_id, r.first_token, r.last_token) for r in rows] == [(1, 1, 2, 6), (2, 2, 2, 21)]
+
+
+def python_steps(node):
+    """Most Python steps that run at once in a task of a plan: those of one path without an exchange between them."""
+    def walk(n):
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(n.executedPlan())
+        below = [walk(n.children().apply(k)) for k in range(n.children().size())]
+        open_ = 0 if "Exchange" in name else max([x for x, _ in below], default=0) + ("Arrow" in name or "Python" in name)
+        return open_, max([open_, *[y for x in below for y in x]])
+
+    return walk(node)[1]
+
+
+def test_a_task_runs_one_python_worker(spark, folder, odd_documents):
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")  # small: by its estimate the other side of the join could be broadcast
+    for found in (contaminated(odd_documents, items), without_contaminated(odd_documents, items)):
+        plan = found._jdf.queryExecution().executedPlan()
+        assert python_steps(plan) == 1 and "BroadcastHashJoin Inner" not in str(plan.toString())
