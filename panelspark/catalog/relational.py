@@ -163,14 +163,19 @@ add("submission_join", _submission_join,
         WHERE l_returnflag <> 'N' AND upper(o_orderpriority) < '4' GROUP BY 1, 2""")
 
 
+PLAIN_ROWS = 1_000_000  # transactions up to which ownership documents stay plain text (0.45 GB)
+
+
 def _form4(s, d):
+    """Documents of 100,000 transactions, 45 MB of text each, as a document is not split; a large table's are gzipped."""
     path = scratch(s, "form4")
     value = lambda x: F.struct(x.cast("string").alias("value"))
-    t.table(s, d, "lineitem").select(
+    lines = t.table(s, d, "lineitem")
+    lines.select(
         F.struct(F.when(c("l_returnflag") == "A", "P").when(c("l_returnflag") == "R", "S").otherwise("A").alias("transactionCode")).alias("transactionCoding"),
         F.struct(value(c("l_quantity")).alias("transactionShares"), value(c("l_extendedprice")).alias("transactionPricePerShare")).alias("transactionAmounts"),
     ).write.format("xml").option("rootTag", "nonDerivativeTable").option("rowTag", "nonDerivativeTransaction").option(
-        "maxRecordsPerFile", 100_000).save(path)  # a document is not split, so about 45 MB each
+        "maxRecordsPerFile", 100_000).option("compression", "gzip" if lines.count() > PLAIN_ROWS else "none").save(path)
     return fil.read_form4_xml(s, path)
 
 

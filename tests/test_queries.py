@@ -59,3 +59,19 @@ def test_form4_documents_stay_small(spark):
     assert max(sizes) < 50e6 and sum(sizes) > 2e8
     kept = spark.read.parquet(f"{folder}/lineitem.parquet").where("l_returnflag <> 'N'").count()
     assert sum(r.n for r in df.collect()) == kept
+
+
+def test_form4_documents_of_a_large_table_take_little_disk(spark, tmp_path):
+    """Plain text is 447 bytes a transaction, 25 times the table: 97 GB for 216 million of them."""
+    small = "/root/testdata/sf0.1"
+    os.mkdir(tmp_path / "lineitem.parquet")
+    for k in range(2):
+        os.symlink(f"{small}/lineitem.parquet", tmp_path / f"lineitem.parquet/part-{k}.parquet")
+    df = entry_module.queries()["read_form4_xml"](spark, str(tmp_path))
+    sizes = [os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles()]
+    assert len(sizes) >= 12 and sum(sizes) < 30 * 1_200_000
+    got, once = df.toPandas().set_index("code"), connect(small).execute(entry_module.oracle_sql()["read_form4_xml"]).df().set_index("code")
+    assert sorted(got.index) == ["P", "S"]
+    for code in got.index:
+        assert got.n[code] == 2 * once.n[code] and got.shares[code] == 2 * once.shares[code]
+        assert got.signed_value[code] == pytest.approx(2 * once.signed_value[code], rel=1e-9)
